@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tidegauge.operators.ordered import with_runs
 from tidegauge.operators.quantiles import exact_quantiles
+from tidegauge.session import staged
 
 Z90 = 1.645
 
@@ -86,7 +87,7 @@ def event_metrics(
     df: DataFrame, key: Sequence[str], label: str = "label", pred: str = "pred", t: str = "t"
 ) -> DataFrame:
     """Event counts, recall and median delay per series; recall 0 and no delay without events."""
-    events = detected_events(df, key, label, pred, t)
+    events = staged(detected_events(df, key, label, pred, t), "events")
     counts = events.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_events"), F.count("delay").alias("detected_events")
     )
@@ -124,9 +125,12 @@ def summarize_scores(
 ) -> DataFrame:
     """Calibrate on ``split = 'val'`` rows, judge ``split = 'test'`` rows, per group."""
     val, test = scores.filter("split = 'val'"), scores.filter("split = 'test'")
-    thresholds = blocked_threshold(val, by, quantile, blocks, score)
-    judged = test.join(thresholds, list(by)).withColumn(
-        "pred", (F.col(score) > F.col("threshold")).cast("int")
+    thresholds = staged(blocked_threshold(val, by, quantile, blocks, score), "thresholds")
+    judged = staged(
+        test.join(thresholds, list(by)).withColumn(
+            "pred", (F.col(score) > F.col("threshold")).cast("int")
+        ),
+        "judged",
     )
     return (
         thresholds.join(point_rates(judged, by), list(by))

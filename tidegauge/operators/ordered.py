@@ -4,7 +4,9 @@ Every series carries a dense row index ``t``. Ordered work is cut into chunks
 ``t div CHUNK``; a chunk has at most CHUNK rows whatever the series length, so
 no window ever holds a whole series. What crosses a chunk border is either a
 few neighbour rows (``chunked(back=, ahead=)``) or a carry taken from a table
-with one row per chunk.
+with one row per chunk. A scan first asks whether any series is longer than one
+chunk (a filter on ``t``, answered by Parquet statistics); if none is, the
+carry and its join are left out.
 """
 
 from __future__ import annotations
@@ -156,18 +158,27 @@ def trailing_lists(
 
 
 # --------------------------------------------------------------------- scans
+def fits_chunk(df: DataFrame, t: str = "t", size: int = CHUNK) -> bool:
+    """True when no series has more than ``size`` rows."""
+    return df.filter(F.col(t) >= size).isEmpty()
+
+
 def _carry_join(rows: DataFrame, ends: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.join(ends, [*key, "_chunk"], "left")
 
 
 def fill(
     df: DataFrame, key: Sequence[str], cols: dict[str, str], t: str = "t", backward: bool = False,
-    size: int = CHUNK,
+    size: int = CHUNK, short: bool | None = None,
 ) -> DataFrame:
     """Add ``out`` = last non-null value at or before ``t`` (first at or after if backward)."""
     key = list(key)
     rows = chunked(df, t, size=size)
     local = chunk_window(key, t, backward).rowsBetween(Window.unboundedPreceding, 0)
+    if fits_chunk(df, t, size) if short is None else short:
+        return rows.select(
+            "*", *[F.last(c, ignorenulls=True).over(local).alias(o) for o, c in cols.items()]
+        ).drop("_chunk", "_own")
     pick = F.min_by if backward else F.max_by
     ends = rows.groupBy(*key, "_chunk").agg(
         *[
@@ -193,11 +204,17 @@ def fill(
 
 
 def prefix_sum(
-    df: DataFrame, key: Sequence[str], sums: dict[str, Column], t: str = "t", size: int = CHUNK
+    df: DataFrame, key: Sequence[str], sums: dict[str, Column], t: str = "t", size: int = CHUNK,
+    short: bool | None = None,
 ) -> DataFrame:
     """Add running sums up to and including ``t``."""
     key = list(key)
     rows = chunked(df, t, size=size)
+    local = chunk_window(key, t).rowsBetween(Window.unboundedPreceding, 0)
+    if fits_chunk(df, t, size) if short is None else short:
+        return rows.select("*", *[F.sum(x).over(local).alias(o) for o, x in sums.items()]).drop(
+            "_chunk", "_own"
+        )
     ends = rows.groupBy(*key, "_chunk").agg(
         *[F.sum(x).alias(f"_end_{o}") for o, x in sums.items()]
     )
@@ -206,7 +223,6 @@ def prefix_sum(
         *key, "_chunk",
         *[F.coalesce(F.sum(f"_end_{o}").over(past), F.lit(0)).alias(f"_carry_{o}") for o in sums],
     )
-    local = chunk_window(key, t).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("*", *[F.sum(x).over(local).alias(f"_local_{o}") for o, x in sums.items()])
     joined = _carry_join(rows, ends, key)
     for o in sums:
@@ -222,7 +238,8 @@ def reindexed(df: DataFrame, key: Sequence[str], t: str = "t") -> DataFrame:
 
 
 def reflected_sum(
-    df: DataFrame, key: Sequence[str], increments: dict[str, Column], t: str = "t", size: int = CHUNK
+    df: DataFrame, key: Sequence[str], increments: dict[str, Column], t: str = "t", size: int = CHUNK,
+    short: bool | None = None,
 ) -> DataFrame:
     """``S = max(0, S + x)`` from S = 0, for several increments at once.
 
@@ -241,6 +258,10 @@ def reflected_sum(
             for o in increments
         ],
     )
+    if fits_chunk(df, t, size) if short is None else short:
+        return rows.withColumnsRenamed({f"_s_{o}": o for o in increments}).drop(
+            "_chunk", "_own", *[f"_c_{o}" for o in increments]
+        )
     ends = rows.groupBy(*key, "_chunk").agg(
         *[F.max_by(f"_s_{o}", t).alias(f"_a_{o}") for o in increments],
         *[F.max_by(f"_c_{o}", t).alias(f"_b_{o}") for o in increments],
@@ -294,6 +315,8 @@ def geometric_scan(
             for o, x in inputs.items()
         ],
     )
+    if fits_chunk(df, t, length):
+        return rows.withColumnsRenamed({f"_s_{o}": o for o in inputs}).drop("_chunk", "_own")
     ends = rows.groupBy(*key, "_chunk").agg(
         *[F.max_by(f"_s_{o}", t).alias(f"_z_{o}") for o in inputs]
     )
@@ -343,7 +366,7 @@ def feedback_scan(
         rows["_end"] = [None] * (len(rows) - 1) + [[float(v) for v in end]]
         return rows
 
-    if df.filter(F.col(t) >= size).isEmpty():
+    if fits_chunk(df, t, size):
         out = df.groupBy(*key).applyInPandas(run, full)
         return out.select(*out_schema.fieldNames())
 
@@ -384,7 +407,8 @@ def with_runs(df: DataFrame, key: Sequence[str], flag: Column, t: str = "t") ->
     """Add ``run_start``: first ``t`` of the maximal run of true flags a row is in, else null."""
     rows = with_lag(df.withColumn("_flag", flag), key, {"_before": ("_flag", 1)}, t)
     starts = F.when(F.col("_flag") & ~F.coalesce("_before", F.lit(False)), F.col(t))
-    rows = fill(rows.withColumn("_start", starts), key, {"run_start": "_start"}, t)
+    short = fits_chunk(df, t)
+    rows = fill(rows.withColumn("_start", starts), key, {"run_start": "_start"}, t, short=short)
     return rows.withColumn("run_start", F.when(F.col("_flag"), F.col("run_start"))).drop(
         "_flag", "_before", "_start"
     )

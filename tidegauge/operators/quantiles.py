@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegauge.session import staged
+
+SMALL_GROUP = 1_000_000
 CELLS = 16_384
 PER_OCTAVE = 1_024
 OFFSET = 1_100 * PER_OCTAVE  # keeps every positive double above bucket 0
@@ -19,15 +22,37 @@ def _bucket(v: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], out: str = "value"
+    df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], out: str = "value",
+    small: int = SMALL_GROUP,
 ) -> DataFrame:
     """Rows ``(*by, q, out)``: the quantile ``q`` of ``value`` per group, nulls ignored.
 
-    A histogram on a fixed log scale finds the bucket of each wanted rank, only
-    rows of those buckets are read again, and their distinct values are split
-    into cells before any ranking. Two scans, all counts pre-aggregated.
+    Groups of at most ``small`` rows (checked first) use the built-in aggregate,
+    which holds the distinct values of a group. Otherwise a histogram on a fixed
+    log scale finds the bucket of each wanted rank, only rows of those buckets
+    are read again, and their distinct values are split into cells before any
+    ranking: two scans, all counts pre-aggregated, the same result.
     """
     by = list(by)
+    largest = df.groupBy(*by).agg(F.count(value).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= small:
+        levels = F.array(*[F.lit(float(q)) for q in quantiles])
+        level = F.lit(float(quantiles[0])) if len(quantiles) == 1 else levels
+        picked = (
+            df.filter(F.col(value).isNotNull())
+            .groupBy(*by)
+            .agg(F.percentile(F.col(value).cast("double"), level).alias("_p"))
+        )
+        if len(quantiles) == 1:
+            return picked.select(*by, level.alias("q"), F.col("_p").alias(out))
+        pairs = F.arrays_zip(levels.alias("q"), F.col("_p"))
+        return picked.select(*by, F.inline(pairs).alias("q", out))
+    return _refined_quantiles(df, by, value, quantiles, out)
+
+
+def _refined_quantiles(
+    df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], out: str
+) -> DataFrame:
     data = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     data = data.withColumn("_b", _bucket(F.col("_v")))
     if not by:
@@ -42,7 +67,7 @@ def exact_quantiles(
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
         .withColumn("_from", F.col("_to") - F.col("_n"))
     )
-    wanted = (
+    wanted = staged(
         histogram.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
         .withColumn("_pos", F.col("q") * (F.col("_total") - 1))
         .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -52,18 +77,20 @@ def exact_quantiles(
         )
         .filter("_from <= _rank AND _rank < _to")
         .withColumn("_place", F.col("_rank") - F.col("_from"))
-        .select(*group, "_b", "q", "_side", "_pos", "_place", "_lo", "_hi")
+        .select(*group, "_b", "q", "_side", "_pos", "_place", "_lo", "_hi"),
+        "ranks",
     )
     buckets = wanted.select(*group, "_b", "_lo", "_hi").distinct()
     cell = F.least(
         F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS),
         F.lit(CELLS - 1),
     )
-    values = (
+    values = staged(
         data.join(buckets, [*group, "_b"])
         .groupBy(*group, "_b", "_lo", "_hi", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_cell", F.when(F.col("_lo") == F.col("_hi"), F.lit(0)).otherwise(cell).cast("long"))
+        .withColumn("_cell", F.when(F.col("_lo") == F.col("_hi"), F.lit(0)).otherwise(cell).cast("long")),
+        "values",
     )
     in_bucket = Window.partitionBy(*group, "_b").orderBy("_cell").rowsBetween(
         Window.unboundedPreceding, -1

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tidegauge.operators.ordered import chunk_window, chunked, fill, own_rows, with_lag
 from tidegauge.operators.quantiles import exact_quantiles
+from tidegauge.session import staged
 
 EPS64 = 2.220446049250313e-16
 EPS32 = 1.1920928955078125e-07
@@ -82,12 +83,15 @@ def train_medians(train: DataFrame, key: Sequence[str], cols: Sequence[str]) ->
 def prepare_features(
     df: DataFrame, train: DataFrame, key: Sequence[str], cols: Sequence[str]
 ) -> tuple[DataFrame, list[str]]:
-    """Drop sensors without any train value and fill the rest with train medians."""
+    """Drop sensors without any train value and fill the rest with train medians.
+
+    The filled rows are written once; every later fit and score reads them.
+    """
     keep = usable_sensors(train, cols)
     dropped = [c for c in cols if c not in keep]
     joined = df.drop(*dropped).join(train_medians(train, key, keep), list(key))
     filled = joined.withColumns({c: F.coalesce(F.col(c), F.col(f"median_{c}")) for c in keep})
-    return filled.drop(*[f"median_{c}" for c in keep]), keep
+    return staged(filled.drop(*[f"median_{c}" for c in keep]), "filled"), keep
 
 
 def persistence_residual(

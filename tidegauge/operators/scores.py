@@ -68,7 +68,7 @@ def cusum_reset(
         out["alarm"] = alarms
         return out, [s]
 
-    columns = df.select(*names, *dict.fromkeys([y, mu0, k, h]))
+    columns = df.select(*dict.fromkeys([*names, y, mu0, k, h]))
     return feedback_scan(columns, key, step, schema, t, **options)
 
 
@@ -110,7 +110,7 @@ def adaptive_cusum(
         out["mu"], out["stat_before"], out["alarm"] = levels, stats, alarms
         return out, [s, mu]
 
-    columns = df.select(*names, *dict.fromkeys([y, mean, std, gate, alpha]))
+    columns = df.select(*dict.fromkeys([*names, y, mean, std, gate, alpha]))
     return feedback_scan(columns, key, step, schema, t, **options)
 
 

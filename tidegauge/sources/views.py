@@ -1,4 +1,8 @@
-"""Telemetry views over the given tables, and the same views as SQL."""
+"""Telemetry views over the given tables, and the same views as SQL.
+
+A view is written once as Parquet, like the canonical store it stands for:
+every ordered operator reads its input more than once.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.operators.ordered import with_index
+from tidegauge.session import staged
 
 PANEL_SENSORS = ["click", "error", "purchase", "signup", "view"]
 VECTOR_WIDTH = 64
@@ -26,7 +31,7 @@ def user_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     indexed = with_index(events, ["series_id"], "ts", ["event_id"]).drop("event_id")
     sizes = events.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-    return indexed.join(sizes, "series_id")
+    return staged(indexed.join(sizes, "series_id"), "series")
 
 
 def split_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ def hour_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "h0", F.explode(F.sequence("h0", "h1", F.expr("INTERVAL 1 HOUR"))).alias("hour")
     )
     t = ((F.unix_timestamp("hour") - F.unix_timestamp("h0")) / 3600).cast("long")
-    return (
+    panel = (
         spine.join(cells, "hour", "left")
         .select(F.lit("panel").alias("series_id"), t.alias("t"), F.col("hour").alias("ts"), *PANEL_SENSORS)
         .withColumn("label", (F.col("t") % 60 >= 52).cast("int"))
@@ -61,6 +66,7 @@ def hour_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("t") < 360, "train").when(F.col("t") < 504, "val").otherwise("test"),
         )
     )
+    return staged(panel, "panel")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
