@@ -271,8 +271,11 @@ def scenario_metrics(
 
     Needs ``delta_hat, delta, x_hat, x, unc, onset, offset, amplitude``. With ``peak``
     the denominator is the largest true disturbance and the true support is
-    where it exceeds a tenth of it, for waveforms that are not constant.
+    where it exceeds a tenth of it, for waveforms that are not constant. With a
+    column ``n`` (rows of the series) only supported rows need to come in; the
+    absent ones count as recovered exactly.
     """
+    sparse = "n" in df.columns
     inside = (F.col(t) >= F.col("onset")) & (F.col(t) < F.col("offset"))
     if peak:
         peaks = df.groupBy(*by).agg(
@@ -301,7 +304,9 @@ def scenario_metrics(
         count_if(found & ~true_on).alias("_fp"),
         count_if(~found & true_on).alias("_fn"),
         F.max("unc").alias("_unc"),
-        F.avg(covered).alias("_cover"),
+        (
+            (F.sum(covered) + F.max("n") - F.count(F.lit(1))) / F.max("n") if sparse else F.avg(covered)
+        ).alias("_cover"),
         F.avg(F.when(inside, covered)).alias("_cover_in"),
         F.avg(2.0 * Z90 * F.col("unc")).alias("_sharp"),
     )

@@ -6,6 +6,7 @@ MODULES = [
     "ordering",
     "scoring",
     "injecting",
+    "recovering",
 ]
 
 

@@ -254,7 +254,7 @@ def residual_score_pack(spark, sf_dir):
         SELECT d.series_id, d.gate, d.alpha, d.t, d.s, d.y, r.before,
                CASE WHEN abs(d.y - r.mu) <= d.gate * d.s THEN r.mu + d.alpha * (d.y - r.mu) ELSE r.mu END AS mu
         FROM r JOIN d ON d.series_id = r.series_id AND d.gate = r.gate AND d.alpha = r.alpha AND d.t = r.t + 1))
-    SELECT series_id, gate, alpha, t, {sql_round('mu')} AS mu, {sql_round('before')} AS stat_before, before > 5 * s AS alarm FROM r""",
+    SELECT series_id, gate, alpha, t, {sql_round('mu', 8)} AS mu, {sql_round('before', 8)} AS stat_before, before > 5 * s AS alarm FROM r""",
 )
 def adaptive_cusum(spark, sf_dir):
     grid = F.explode(
@@ -269,7 +269,7 @@ def adaptive_cusum(spark, sf_dir):
     out = scores.adaptive_cusum(
         rows, ["series_id", "gate", "alpha"], "value", "mean_value", "std_value", "gate", "alpha"
     )
-    return rounded(out, "mu", "stat_before")
+    return rounded(out, "mu", "stat_before", digits=8)
 
 
 _SENSOR_EVENTS_SQL = f"""
