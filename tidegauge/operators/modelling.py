@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidegauge.functions.special import lgamma, normal_cdf
@@ -16,6 +17,8 @@ from tidegauge.operators.quantiles import exact_quantiles
 from tidegauge.session import staged
 
 MIN_SAMPLES = 10
+MAX_GROUPS = 10_000
+SHAPE_RANGE = (0.05, 1e4)
 SHAPES = {"student_t": "df", "ged": "beta"}
 
 
@@ -53,63 +56,82 @@ def log_density(family: str, x: Column, loc: Column, scale: Column, shape: Colum
     raise ValueError(f"unknown family {family!r}")
 
 
+def _group_likelihood(family: str, n: float, scale: float, shape: float, total: float) -> float:
+    """Log-likelihood of a group from the sum of its row terms."""
+    if family == "student_t":
+        level = math.lgamma((shape + 1) / 2) - math.lgamma(shape / 2) - 0.5 * math.log(shape * math.pi)
+        return n * (level - math.log(scale)) - (shape + 1) / 2 * total
+    return n * (math.log(shape) - math.log(2.0 * scale) - math.lgamma(1.0 / shape)) - total
+
+
 def fit_shape(
-    df: DataFrame, by: Sequence[str], x: str, family: str, rounds: int = 60, tolerance: float = 1e-4
+    df: DataFrame, by: Sequence[str], x: str, family: str, rounds: int = 60, tolerance: float = 1e-3
 ) -> DataFrame:
     """Likelihood search for Student-t or generalised error parameters per group.
 
-    Each round evaluates the 27 neighbours of a group's current point as 27 sums
-    in one aggregate; a group whose centre wins halves its steps. The current
-    points are a table with one row per group.
+    Each round is one aggregate with the 27 neighbours of every group's current
+    point as 27 sums; a group whose centre wins halves its steps. Only one row
+    per group reaches the driver, and their number is checked.
     """
     if family not in SHAPES:
         raise ValueError(f"unknown family {family!r}")
     by = list(by)
+    if not by:
+        raise ValueError("give at least one group column")
+    spark = df.sparkSession
     data = staged(df.select(*by, F.col(x).alias("_x")).dropna(), "errors")
-    spread = 1.0 if family == "student_t" else math.sqrt(2.0)
-    state = data.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("_x").alias("loc"),
-        (F.greatest(F.stddev_pop("_x"), F.lit(1e-12)) * spread).alias("scale"),
-    ).filter(F.col("n") >= MIN_SAMPLES)
-    state = staged(
-        state.withColumns(
-            {"shape": F.lit(5.0 if family == "student_t" else 2.0), "step": F.lit(0.5), "log_likelihood": F.lit(None).cast("double")}
-        ),
-        "fit",
+    start = data.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_x").alias("loc"), F.stddev_pop("_x").alias("scale")
     )
+    groups = start.filter(F.col("n") >= MIN_SAMPLES).limit(MAX_GROUPS + 1).collect()
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"at most {MAX_GROUPS} groups per likelihood search")
+    key_fields = [data.schema[c] for c in by]
+    numbers = ["loc", "scale", "shape", "step"]
+    schema = T.StructType(key_fields + [T.StructField(c, T.DoubleType()) for c in numbers])
+    spread = 1.0 if family == "student_t" else math.sqrt(2.0)
+    first_shape = 5.0 if family == "student_t" else 2.0
+    state = {
+        tuple(g[c] for c in by): [g["loc"], max(g["scale"], 1e-12) * spread, first_shape, 1.0] for g in groups
+    }
+    sizes = {tuple(g[c] for c in by): g["n"] for g in groups}
+    fitted = dict.fromkeys(state, float("-inf"))
     moves = list(itertools.product((0, -1, 1), repeat=3))
+
+    def moved(point: list[float], move: tuple[int, int, int]) -> tuple[float, float, float]:
+        loc, scale, shape, step = point
+        bounded = min(max(shape * math.exp(move[2] * step), SHAPE_RANGE[0]), SHAPE_RANGE[1])
+        return loc + move[0] * step * scale, scale * math.exp(move[1] * step), bounded
+
+    sums = []
+    for i, (a, b, c) in enumerate(moves):
+        z = f"(_x - (loc + {a} * step * scale)) / (scale * exp({b} * step))"
+        shape = f"least(greatest(shape * exp({c} * step), {SHAPE_RANGE[0]}D), {SHAPE_RANGE[1]}D)"
+        term = f"log1p(pow({z}, 2) / {shape})" if family == "student_t" else f"pow(abs({z}), {shape})"
+        sums.append(F.expr(f"sum({term}) AS s{i}"))
     for _ in range(rounds):
-        if state.filter(F.col("step") > tolerance).isEmpty():
+        open_groups = [k for k, p in state.items() if p[3] > tolerance]
+        if not open_groups:
             break
-        joined = data.join(state, by)
-        points, sums = [], []
-        for i, (a, b, c) in enumerate(moves):
-            loc = F.col("loc") + a * F.col("step") * F.col("scale")
-            scale = F.col("scale") * F.exp(b * F.col("step"))
-            shape = F.least(F.greatest(F.col("shape") * F.exp(c * F.col("step")), F.lit(0.05)), F.lit(1e4))
-            sums.append(F.sum(log_density(family, F.col("_x"), loc, scale, shape)).alias(f"_l{i}"))
-            points.append((loc, scale, shape))
-        best = joined.groupBy(*by).agg(*sums)
-        choice = F.array_max(
-            F.array(*[F.struct(F.col(f"_l{i}").alias("ll"), F.lit(-i).alias("k")) for i in range(len(moves))])
-        )
-        rows = state.drop("log_likelihood").join(best, by).withColumn("_best", choice)
-        at = -F.col("_best.k")
-
-        def chosen(which: int) -> Column:
-            return F.element_at(F.array(*[p[which] for p in points]), (at + 1).cast("int"))
-
-        state = staged(
-            rows.select(
-                *by, "n", chosen(0).alias("loc"), chosen(1).alias("scale"), chosen(2).alias("shape"),
-                F.when(at == 0, F.col("step") / 2).otherwise(F.col("step")).alias("step"),
-                F.col("_best.ll").alias("log_likelihood"),
-            ),
-            "fit",
-        )
+        points = spark.createDataFrame([(*k, *state[k]) for k in open_groups], schema)
+        joined = data.join(F.broadcast(points), by)  # size checked above
+        for row in joined.groupBy(*by).agg(*sums).collect():
+            k = tuple(row[c] for c in by)
+            options = []
+            for i, move in enumerate(moves):
+                loc, scale, shape = moved(state[k], move)
+                options.append((_group_likelihood(family, sizes[k], scale, shape, row[f"s{i}"]), -i, loc, scale, shape))
+            ll, i, loc, scale, shape = max(options)
+            fitted[k] = ll
+            state[k] = [loc, scale, shape, state[k][3] / 2 if i == 0 else state[k][3]]
+    result = T.StructType(
+        key_fields
+        + [T.StructField("n", T.LongType())]
+        + [T.StructField(c, T.DoubleType()) for c in ("loc", "scale", "shape", "log_likelihood")]
+    )
+    rows = [(*k, sizes[k], *p[:3], fitted[k]) for k, p in state.items()]
     ll = F.col("log_likelihood")
-    return state.select(
+    return spark.createDataFrame(rows, result).select(
         *by, F.lit(family).alias("family"), "n", "loc", "scale", "shape", "log_likelihood",
         (6.0 - 2.0 * ll).alias("aic"), (3.0 * F.ln("n") - 2.0 * ll).alias("bic"),
     )

@@ -7,6 +7,7 @@ MODULES = [
     "scoring",
     "injecting",
     "recovering",
+    "modelling",
 ]
 
 

@@ -522,12 +522,12 @@ _TRAJECTORY_SQL = [
 @query(
     "trajectory_metrics",
     f"WITH {SERIES_SQL}, {_FAMILY_SQL}, {_PEAK_SQL} SELECT estimator, series_id, scenario_id, "
-    + ", ".join(f"{sql_round(e, 5)} AS {n}" for e, n in zip(_TRAJECTORY_SQL, TRAJECTORY))
+    + ", ".join(f"{sql_round(e)} AS {n}" for e, n in zip(_TRAJECTORY_SQL, TRAJECTORY))
     + " FROM cnt",
 )
 def trajectory_metrics(spark, sf_dir):
     out = metrics.trajectory_metrics(family_recovered(spark, sf_dir), ["estimator", *PAIR])
-    return rounded(out, *TRAJECTORY, digits=5)
+    return rounded(out, *TRAJECTORY)
 
 
 @query(
@@ -571,12 +571,12 @@ def declared_comparison(spark, sf_dir):
 
 @query(
     "run_ranking",
-    f"""WITH {SERIES_SQL}, r AS (SELECT series_id AS run_name, {sql_round('avg(value)', 3)} AS loss, {sql_round('avg(label)', 3)} AS fpr, max(n) AS recall, min(value) AS delay FROM series GROUP BY series_id)
+    f"""WITH {SERIES_SQL}, r AS (SELECT series_id AS run_name, {sql_round('avg(value)', 8)} AS loss, {sql_round('avg(label)')} AS fpr, max(n) AS recall, min(value) AS delay FROM series GROUP BY series_id)
     SELECT row_number() OVER (ORDER BY loss, fpr, recall DESC, delay, run_name) AS selection_rank, run_name, loss, fpr, recall, delay FROM r""",
 )
 def run_ranking(spark, sf_dir):
     runs = views.user_series(spark, sf_dir).groupBy(F.col("series_id").alias("run_name")).agg(
-        rnd(F.avg("value"), 3).alias("loss"), rnd(F.avg("label"), 3).alias("fpr"),
+        rnd(F.avg("value"), 8).alias("loss"), rnd(F.avg("label")).alias("fpr"),
         F.max("n").alias("recall"), F.min("value").alias("delay"),
     )
     order = [F.col("loss"), F.col("fpr"), F.col("recall").desc(), F.col("delay")]
