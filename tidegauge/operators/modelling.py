@@ -87,8 +87,7 @@ def fit_shape(
     if len(groups) > MAX_GROUPS:
         raise ValueError(f"at most {MAX_GROUPS} groups per likelihood search")
     key_fields = [data.schema[c] for c in by]
-    numbers = ["loc", "scale", "shape", "step"]
-    schema = T.StructType(key_fields + [T.StructField(c, T.DoubleType()) for c in numbers])
+    schema = T.StructType([*key_fields, T.StructField("q", T.ArrayType(T.DoubleType()))])
     spread = 1.0 if family == "student_t" else math.sqrt(2.0)
     first_shape = 5.0 if family == "student_t" else 2.0
     state = {
@@ -104,24 +103,26 @@ def fit_shape(
         return loc + move[0] * step * scale, scale * math.exp(move[1] * step), bounded
 
     sums = []
-    for i, (a, b, c) in enumerate(moves):
-        z = f"(_x - (loc + {a} * step * scale)) / (scale * exp({b} * step))"
-        shape = f"least(greatest(shape * exp({c} * step), {SHAPE_RANGE[0]}D), {SHAPE_RANGE[1]}D)"
-        term = f"log1p(pow({z}, 2) / {shape})" if family == "student_t" else f"pow(abs({z}), {shape})"
+    for i in range(len(moves)):
+        z, shape = f"((_x - q[{3 * i}]) * q[{3 * i + 1}])", f"q[{3 * i + 2}]"
+        term = f"log1p({z} * {z} / {shape})" if family == "student_t" else f"pow(abs({z}), {shape})"
         sums.append(F.expr(f"sum({term}) AS s{i}"))
     for _ in range(rounds):
         open_groups = [k for k, p in state.items() if p[3] > tolerance]
         if not open_groups:
             break
-        points = spark.createDataFrame([(*k, *state[k]) for k in open_groups], schema)
+        tried = {k: [moved(state[k], move) for move in moves] for k in open_groups}
+        points = spark.createDataFrame(
+            [(*k, [v for loc, scale, shape in tried[k] for v in (loc, 1.0 / scale, shape)]) for k in open_groups],
+            schema,
+        )
         joined = data.join(F.broadcast(points), by)  # size checked above
         for row in joined.groupBy(*by).agg(*sums).collect():
             k = tuple(row[c] for c in by)
-            options = []
-            for i, move in enumerate(moves):
-                loc, scale, shape = moved(state[k], move)
-                options.append((_group_likelihood(family, sizes[k], scale, shape, row[f"s{i}"]), -i, loc, scale, shape))
-            ll, i, loc, scale, shape = max(options)
+            ll, i, loc, scale, shape = max(
+                (_group_likelihood(family, sizes[k], scale, shape, row[f"s{i}"]), -i, loc, scale, shape)
+                for i, (loc, scale, shape) in enumerate(tried[k])
+            )
             fitted[k] = ll
             state[k] = [loc, scale, shape, state[k][3] / 2 if i == 0 else state[k][3]]
     result = T.StructType(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,8 +14,6 @@ from tidegauge.operators.linear import column_moments
 from tidegauge.operators.ordered import feedback_scan, geometric_scan, reflected_sum, with_runs
 from tidegauge.operators.scaling import apply_scaler, fit_scaler, persistence_residual
 
-_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType()}
-
 
 def _greatest(cols: Sequence[Column]) -> Column:
     return cols[0] if len(cols) == 1 else F.greatest(*cols)
@@ -33,22 +31,11 @@ def cusum(
     return rows.withColumn("alarm", F.col("s") > h)
 
 
-def cusum_reset(
-    df: DataFrame, key: Sequence[str], y: str, mu0: str, k: str, h: str, t: str = "t", **options
-) -> DataFrame:
-    """One-sided CUSUM that restarts at zero after an alarm.
+Step = Callable[[pd.DataFrame, "list[float] | None"], "tuple[pd.DataFrame, list[float]]"]
 
-    Returns key, t, ``stat_before`` (tested against h), ``stat_after`` and ``alarm``.
-    """
-    schema = T.StructType(
-        _key_fields(df, key, t)
-        + [
-            T.StructField("stat_before", T.DoubleType()),
-            T.StructField("stat_after", T.DoubleType()),
-            T.StructField("alarm", T.BooleanType()),
-        ]
-    )
-    names = [*key, t]
+
+def reset_step(names: Sequence[str], y: str, mu0: str, k: str, h: str) -> Step:
+    """One ordered piece of a CUSUM with reset; state ``[s]``."""
 
     def step(pdf: pd.DataFrame, state: list[float] | None):
         s = state[0] if state else 0.0
@@ -62,12 +49,59 @@ def cusum_reset(
             if s > top:
                 alarms[i] = True
                 s = 0.0
-        out = pdf[names].copy()
+        out = pdf[list(names)].copy()
         out["stat_before"] = before
         out["stat_after"] = np.where(alarms, 0.0, before)
         out["alarm"] = alarms
         return out, [s]
 
+    return step
+
+
+def adaptive_step(
+    names: Sequence[str], y: str, mean: str, std: str, gate: str, alpha: str, slack: float, limit: float
+) -> Step:
+    """One ordered piece of the gated adaptive CUSUM; state ``[s, mu]``."""
+
+    def step(pdf: pd.DataFrame, state: list[float] | None):
+        scale = float(pdf[std].iloc[0])
+        width, rate = float(pdf[gate].iloc[0]) * scale, float(pdf[alpha].iloc[0])
+        s, mu = state if state else (0.0, float(pdf[mean].iloc[0]))
+        stats, levels, alarms = [], [], []
+        for x in pdf[y].astype(float).tolist():
+            if abs(x - mu) <= width:
+                mu += rate * (x - mu)
+            s = max(0.0, s + x - mu - slack * scale)
+            stats.append(s)
+            levels.append(mu)
+            hit = s > limit * scale
+            alarms.append(hit)
+            if hit:
+                s = 0.0
+        out = pdf[list(names)].copy()
+        out["mu"], out["stat_before"], out["alarm"] = levels, stats, alarms
+        return out, [s, mu]
+
+    return step
+
+
+def cusum_reset(
+    df: DataFrame, key: Sequence[str], y: str, mu0: str, k: str, h: str, t: str = "t", **options
+) -> DataFrame:
+    """One-sided CUSUM that restarts at zero after an alarm.
+
+    Returns key, t, ``stat_before`` (tested against h), ``stat_after`` and ``alarm``.
+    """
+    schema = T.StructType(
+        _key_fields(df, key, t)
+        + [
+            T.StructField("stat_before", T.DoubleType()),
+            T.StructField("stat_after", T.DoubleType()),
+            T.StructField("alarm", T.BooleanType()),
+        ]
+    )
+    names = [*key, t]
+    step = reset_step(names, y, mu0, k, h)
     columns = df.select(*dict.fromkeys([*names, y, mu0, k, h]))
     return feedback_scan(columns, key, step, schema, t, **options)
 
@@ -90,26 +124,7 @@ def adaptive_cusum(
         ]
     )
     names = [*key, t]
-
-    def step(pdf: pd.DataFrame, state: list[float] | None):
-        scale = float(pdf[std].iloc[0])
-        width, rate = float(pdf[gate].iloc[0]) * scale, float(pdf[alpha].iloc[0])
-        s, mu = state if state else (0.0, float(pdf[mean].iloc[0]))
-        stats, levels, alarms = [], [], []
-        for x in pdf[y].astype(float).tolist():
-            if abs(x - mu) <= width:
-                mu += rate * (x - mu)
-            s = max(0.0, s + x - mu - slack * scale)
-            stats.append(s)
-            levels.append(mu)
-            hit = s > limit * scale
-            alarms.append(hit)
-            if hit:
-                s = 0.0
-        out = pdf[names].copy()
-        out["mu"], out["stat_before"], out["alarm"] = levels, stats, alarms
-        return out, [s, mu]
-
+    step = adaptive_step(names, y, mean, std, gate, alpha, slack, limit)
     columns = df.select(*dict.fromkeys([*names, y, mean, std, gate, alpha]))
     return feedback_scan(columns, key, step, schema, t, **options)
 

@@ -3,11 +3,13 @@
 from importlib import import_module
 
 MODULES = [
+    "storing",
     "ordering",
     "scoring",
     "injecting",
     "recovering",
     "modelling",
+    "streams",
 ]
 
 
