@@ -323,9 +323,10 @@ def geometric_scan(
     ratio = rho**length
     if ratio > 1e-140:
         ends = geometric_scan(
-            ends, key, {f"_y_{o}": F.col(f"_z_{o}") for o in inputs}, ratio, "_chunk"
+            ends.withColumnRenamed("_chunk", "_block"),
+            key, {f"_y_{o}": F.col(f"_z_{o}") for o in inputs}, ratio, "_block",
         )
-        ends = ends.select(*key, "_chunk", *[F.col(f"_y_{o}").alias(f"_z_{o}") for o in inputs])
+        ends = ends.select(*key, F.col("_block").alias("_chunk"), *[F.col(f"_y_{o}").alias(f"_z_{o}") for o in inputs])
     ends = ends.withColumn("_chunk", F.col("_chunk") + 1)
     joined = _carry_join(rows, ends, key)
     for o in inputs:

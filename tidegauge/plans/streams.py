@@ -37,14 +37,14 @@ def stream_cusum(spark, sf_dir):
       UNION ALL SELECT series_id, t, us, mu, greatest(0.0, (CASE WHEN before > 250.0 THEN 0 ELSE before END) + value - mu - 25.0) FROM (
         SELECT d.series_id, d.t, d.us, d.value, a.before, CASE WHEN abs(d.value - a.mu) <= 80.0 THEN a.mu + 0.05 * (d.value - a.mu) ELSE a.mu END AS mu
         FROM a JOIN d ON d.series_id = a.series_id AND d.t = a.t + 1))
-    SELECT series_id, us, {sql_round('mu', 5)} AS mu, {sql_round('before', 5)} AS stat_before, before > 250.0 AS alarm, 0 AS late_rows FROM a""",
+    SELECT series_id, us, {sql_round('mu', 8)} AS mu, {sql_round('before', 8)} AS stat_before, before > 250.0 AS alarm, 0 AS late_rows FROM a""",
 )
 def stream_adaptive_cusum(spark, sf_dir):
     settings = {"mean": 50.0, "std": 50.0, "gate": 1.6, "alpha": 0.05}
     rows = events(spark, sf_dir).withColumns({k: F.lit(v) for k, v in settings.items()})
     stream = detectors.stream_adaptive_cusum(rows, ["series_id"], "value", "mean", "std", "gate", "alpha")
     out = detectors.run_available(stream).withColumn("us", F.unix_micros("ts")).drop("ts")
-    return rounded(out, "mu", "stat_before", digits=5)
+    return rounded(out, "mu", "stat_before", digits=8)
 
 
 @query(
