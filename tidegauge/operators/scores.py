@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,9 @@ from tidegauge.operators.ordered import feedback_scan, geometric_scan, reflected
 from tidegauge.operators.scaling import apply_scaler, fit_scaler, persistence_residual
 
 
+EXPRESSION_TERMS = 64  # larger projections leave the generated code
+
+
 def _greatest(cols: Sequence[Column]) -> Column:
     return cols[0] if len(cols) == 1 else F.greatest(*cols)
 
@@ -200,13 +204,30 @@ def principal_axes(train: DataFrame, cols: Sequence[str], components: int) -> li
 def spe_score(
     df: DataFrame, cols: Sequence[str], axes: Sequence[Sequence[float]], out: str = "pca_spe"
 ) -> DataFrame:
-    """Squared residual after projection on the principal axes."""
-    total = sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
-    kept = F.lit(0.0)
-    for axis in axes:
-        dot = sum((F.col(c) * F.lit(float(a)) for c, a in zip(cols, axis)), F.lit(0.0))
-        kept = kept + dot * dot
-    return df.withColumn(out, total - kept)
+    """Squared residual after projection on the principal axes.
+
+    A few terms stay one column expression; a wide projection is one matrix
+    product per Arrow batch, without a shuffle either way.
+    """
+    cols = list(cols)
+    if len(cols) * len(axes) <= EXPRESSION_TERMS:
+        total = sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
+        kept = F.lit(0.0)
+        for axis in axes:
+            dot = sum((F.col(c) * F.lit(float(a)) for c, a in zip(cols, axis)), F.lit(0.0))
+            kept = kept + dot * dot
+        return df.withColumn(out, total - kept)
+    basis = np.array(axes).T
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = {name: i for i, name in enumerate(batch.schema.names)}
+            x = np.column_stack([batch.column(place[c]).to_numpy(zero_copy_only=False) for c in cols])
+            score = pa.array((x * x).sum(axis=1) - ((x @ basis) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, out])
+
+    return df.mapInArrow(project, schema)
 
 
 def standardised(

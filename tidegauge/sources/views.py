@@ -1,11 +1,14 @@
 """Telemetry views over the given tables, and the same views as SQL.
 
-A view is written once as Parquet, like the canonical store it stands for:
-every ordered operator reads its input more than once.
+A view is written as Parquet, like the canonical store it stands for: every
+ordered operator reads its input more than once. A session writes a view once
+per state of its table and reuses it while the table's files stay the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored view ``name``, written anew when the events files have changed."""
+    files = table(spark, sf_dir, "events").select("_metadata.file_path", "_metadata.file_modification_time")
+    state = files.agg(F.count_distinct("file_path"), F.max("file_modification_time")).first()
+    key = (spark.sparkContext.applicationId, sf_dir, name, *state)
+    if key not in _STORED:
+        _STORED[key] = staged(build(), name)
+    return _STORED[key]
+
+
 def user_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One series per user: ``series_id, t, ts, value, label`` and its length ``n``."""
+    return _stored(spark, sf_dir, "series", lambda: _user_series(spark, sf_dir))
+
+
+def _user_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("series_id"),
         "event_id",
@@ -31,7 +51,7 @@ def user_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     indexed = with_index(events, ["series_id"], "ts", ["event_id"]).drop("event_id")
     sizes = events.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-    return staged(indexed.join(sizes, "series_id"), "series")
+    return indexed.join(sizes, "series_id")
 
 
 def split_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +68,10 @@ def split_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hour_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One multivariate series: mean value per hour and event type, null where empty."""
+    return _stored(spark, sf_dir, "panel", lambda: _hour_panel(spark, sf_dir))
+
+
+def _hour_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.date_trunc("hour", "ts").alias("hour"), "event_type", "value"
     )
@@ -57,7 +81,7 @@ def hour_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "h0", F.explode(F.sequence("h0", "h1", F.expr("INTERVAL 1 HOUR"))).alias("hour")
     )
     t = ((F.unix_timestamp("hour") - F.unix_timestamp("h0")) / 3600).cast("long")
-    panel = (
+    return (
         spine.join(cells, "hour", "left")
         .select(F.lit("panel").alias("series_id"), t.alias("t"), F.col("hour").alias("ts"), *PANEL_SENSORS)
         .withColumn("label", (F.col("t") % 60 >= 52).cast("int"))
@@ -66,7 +90,6 @@ def hour_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("t") < 360, "train").when(F.col("t") < 504, "val").otherwise("test"),
         )
     )
-    return staged(panel, "panel")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
