@@ -201,6 +201,15 @@ def test_store_round_trip_and_audit_failures(spark, tmp_path):
         store.load_dataset(spark, root, "other", "train")
     with pytest.raises(FileNotFoundError):
         store.load_dataset(spark, root, "hai", "val")
+    sums = store.file_checksums(spark, root)
+    store.write_meta(spark.read.parquet(root), str(tmp_path / "meta"), "hai", sums)
+    meta = store.read_meta(spark, str(tmp_path / "meta"))
+    assert meta["sampling_interval_s"] == 1 and meta["sensor_columns"] == ["P1"]
+    assert {s["split"]: s["rows"] for s in meta["splits"]} == {"train": 3, "test": 3}
+    assert all(len(v) == 64 for v in meta["raw_file_checksums"].values() if v)
+    for kind in ("csv", "json", "parquet"):
+        store.write_table(train, str(tmp_path / kind), kind)
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
     from tidegauge.operators.ordered import with_index
 
     table = with_index(spark.read.parquet(root), ["split"], "timestamp").drop("dataset")

@@ -422,7 +422,12 @@ def hash_rank(df: DataFrame, by: Sequence[str], seed: int, context: Column, cand
     """
     rows = df.withColumn("_digest", seeded_digest(seed, context, F.col(candidate)))
     w = Window.partitionBy(*by).orderBy("_digest", candidate)
-    return rows.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < top).drop("_digest")
+    return (
+        rows.withColumn("_place", F.row_number().over(w))
+        .filter(F.col("_place") <= top)
+        .withColumn("rank", F.col("_place") - 1)
+        .drop("_digest", "_place")
+    )
 
 
 def stratified_grid(
@@ -484,15 +489,19 @@ def require_full_grid(grid: DataFrame, expected: int) -> DataFrame:
 def family_grid(lengths: DataFrame, train_std: DataFrame, per_family: int = 10) -> DataFrame:
     """Ten scenarios per family for every series, all choices by modulo."""
     families = ["step", "ramp", "drift", "pulse", "sinusoid"]
-    spark = lengths.sparkSession
-    at = F.col("id")
-    s = F.pmod(at, F.lit(per_family)).cast("int")
-    family = _pick(families, F.floor(at / per_family), "string")
-    amp = _pick([0.5, 1.0, 1.5, 2.0], F.pmod(s, F.lit(4)), "double")
-    sign = _pick([1, -1], F.pmod(F.floor(s / 4), F.lit(2)), "int")
-    duration = _pick([12, 24, 48], F.pmod(s, F.lit(3)), "long")
-    cells = spark.range(len(families) * per_family).select(
-        s.alias("s"), family.alias("family"), amp.alias("amplitude_std"), sign.alias("sign"), duration.alias("duration")
+    amplitudes, signs, durations = [0.5, 1.0, 1.5, 2.0], [1, -1], [12, 24, 48]
+    cells = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(family).alias("family"), F.lit(s).alias("s"),
+                    F.lit(amplitudes[s % 4]).alias("amplitude_std"),
+                    F.lit(signs[s // 4 % 2]).alias("sign"),
+                    F.lit(durations[s % 3]).cast("long").alias("duration"),
+                )
+                for family in families for s in range(per_family)
+            ]
+        )
     )
     room = F.greatest(F.lit(1), F.col("n") - F.col("duration") - 48)
     onset = (24 + F.pmod(F.col("s") * 37, room)).cast("long")
@@ -505,7 +514,7 @@ def family_grid(lengths: DataFrame, train_std: DataFrame, per_family: int = 10)
             F.col("sign") * F.col("amplitude_std") * F.col("train_std") / F.greatest(F.lit(1), F.col("duration")),
         ),
     )
-    every = lengths.join(train_std, "series_id").join(F.broadcast(cells))  # fifty grid cells
+    every = lengths.join(train_std, "series_id").withColumn("_cell", cells).select("*", "_cell.*")
     return every.withColumn("onset", onset).select(
         "series_id",
         F.format_string(

@@ -255,17 +255,29 @@ def tau_for_far(df: DataFrame, by: Sequence[str], x: str, rates: Sequence[float]
     if any(not 0.0 < r < 1.0 for r in rates):
         raise ValueError("rates must be in (0, 1)")
     rows = df.select(*by, F.abs(x).alias("_a"))
-    q = staged(exact_quantiles(rows, by, "_a", [1.0 - r for r in rates], "_q"), "levels")
-    joined = rows.join(q, by) if by else rows.join(F.broadcast(q))  # one row per rate
-    far = 1.0 - F.col("q")
-    per = joined.groupBy(*by, "q", "_q").agg(
-        F.avg((F.col("_a") >= F.col("_q")).cast("int")).alias("_share"),
-        F.min(F.when(F.col("_a") > F.col("_q"), F.col("_a"))).alias("_next"),
-    )
-    over = F.col("_share") > far + 1e-15
-    return per.select(
-        *by, F.round(far, 9).alias("far"), F.when(over, F.coalesce("_next", "_q")).otherwise(F.col("_q")).alias("tau")
+    levels = [1.0 - r for r in rates]
+    found = exact_quantiles(rows, by, "_a", levels, "_q").groupBy(*by).agg(
+        *[F.max(F.when(F.col("q") == level, F.col("_q"))).alias(f"_q{i}") for i, level in enumerate(levels)]
     )
+    joined = rows.join(found, by) if by else rows.join(F.broadcast(found))  # one row
+    sums = []
+    for i in range(len(rates)):
+        level = F.col(f"_q{i}")
+        sums += [
+            F.max(level).alias(f"_q{i}"),
+            F.avg((F.col("_a") >= level).cast("int")).alias(f"_share{i}"),
+            F.min(F.when(F.col("_a") > level, F.col("_a"))).alias(f"_next{i}"),
+        ]
+    pairs = [
+        F.struct(
+            F.lit(float(rate)).alias("far"),
+            F.when(F.col(f"_share{i}") > rate + 1e-15, F.coalesce(f"_next{i}", f"_q{i}"))
+            .otherwise(F.col(f"_q{i}")).alias("tau"),
+        )
+        for i, rate in enumerate(rates)
+    ]
+    per = joined.groupBy(*by).agg(*sums)
+    return per.select(*by, F.explode(F.array(*pairs)).alias("_p")).select(*by, "_p.*")
 
 
 def enrich_ledger(ledger: DataFrame, fits: DataFrame, by: Sequence[str], train_std: Column) -> DataFrame:

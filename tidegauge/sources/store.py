@@ -103,6 +103,35 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_meta(df: DataFrame, path: str, dataset: str, checksums: DataFrame | None = None) -> None:
+    """Save the metadata of one dataset as a single JSON record under ``path``.
+
+    Interval, sensors and constant sensors, start, end and rows per split, raw file
+    checksums: a few values per split, gathered by aggregates.
+    """
+    mine = df.filter(F.col("dataset") == dataset)
+    sensors = sensor_columns(df)
+    constants = constant_columns(mine.filter("split = 'train'"), sensors)
+    entry = F.struct("split", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "rows")
+    record = store_meta(mine).agg(F.sort_array(F.collect_list(entry)).alias("splits"))  # one entry per split
+    words = F.lit(None).cast("array<string>") if not constants else F.array(*[F.lit(c) for c in constants])
+    record = record.select(
+        F.lit(dataset).alias("dataset"), F.lit(DATASETS.get(dataset)).alias("sampling_interval_s"),
+        F.array(*[F.lit(s) for s in sensors]).alias("sensor_columns"), words.alias("constant_columns"), "splits",
+    )
+    if checksums is not None:
+        sums = checksums.agg(F.map_from_entries(F.collect_list(F.struct("file", "sha256"))).alias("raw_file_checksums"))
+        record = record.join(F.broadcast(sums))  # one row
+    record.coalesce(1).write.json(path)
+
+
+def read_meta(spark: SparkSession, path: str) -> dict:
+    row = spark.read.json(path).first()
+    if row is None:
+        raise FileNotFoundError(f"no metadata in {path}")
+    return row.asDict(recursive=True)
+
+
 # ------------------------------------------------------------------------- audit
 def _per_split(df: DataFrame, sensors: Sequence[str]) -> dict[str, dict]:
     sums = df.groupBy("split").agg(
