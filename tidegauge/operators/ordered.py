@@ -12,15 +12,16 @@ carry and its join are left out.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
-from tidegauge.session import staged
+from tidegauge.session import spread, staged
 
 CHUNK = 65_536
 RANK_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
@@ -145,10 +146,15 @@ def with_lag(
 
 def trailing_lists(
     df: DataFrame, key: Sequence[str], length: int, lists: dict[str, Column | str], t: str = "t",
-    end: int = 0,
+    end: int = 0, wide: bool = False,
 ) -> DataFrame:
-    """Add ``collect_list`` of each column over rows ``[t-length+1+end, t+end]``, ``end <= 0``."""
+    """Add ``collect_list`` of each column over rows ``[t-length+1+end, t+end]``, ``end <= 0``.
+
+    ``wide`` keeps the exchange at full width for costly work on the lists.
+    """
     rows = chunked(df, t, back=length - 1 - end)
+    if wide:
+        rows = spread(rows, *key, "_chunk")
     w = chunk_window(key, t).rowsBetween(end - length + 1, end)
     cols = [
         F.collect_list(F.col(c) if isinstance(c, str) else c).over(w).alias(out)
@@ -338,69 +344,90 @@ def geometric_scan(
     return joined.drop("_chunk", "_own", *drop)
 
 
+Step = Callable[
+    [dict[str, np.ndarray], "list[float] | None"], "tuple[dict[str, np.ndarray], list[float]]"
+]
+
+
+def _run_sorted(
+    rows: DataFrame, key: list[str], group: list[str], step: Step, fields: Sequence[T.StructField], t: str
+) -> DataFrame:
+    """Run ``step`` over each ``group`` in ``t`` order; ``_in``, if present, is its start state.
+
+    Rows are sorted inside hash partitions and stream through in Arrow batches. A
+    group that spans batches goes on with its state, so none is held whole and
+    short series cost no call each. ``_end`` is the state after a piece.
+    """
+    schema = T.StructType(
+        [rows.schema[c] for c in dict.fromkeys([*key, *group, t])]
+        + list(fields)
+        + [T.StructField("_end", T.ArrayType(T.DoubleType()))]
+    )
+    kept = [f.name for f in schema.fields[: -len(fields) - 1]]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ids = pdf[group]
+            begins = np.flatnonzero((ids != ids.shift()).any(axis=1).to_numpy())
+            columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+            results = {n: [] for n in names}
+            ends = [None] * len(pdf)
+            for begin, end in zip(begins, [*begins[1:], len(pdf)]):
+                mine = tuple(columns[c][begin] for c in group)
+                if mine != current:
+                    current = mine
+                    start = columns["_in"][begin] if "_in" in columns else None
+                    state = None if start is None else [float(v) for v in start]
+                out, state = step({c: v[begin:end] for c, v in columns.items()}, state)
+                for n in names:
+                    results[n].append(out[n])
+                ends[end - 1] = [float(v) for v in state]
+            rows_out = {c: columns[c] for c in kept}
+            rows_out.update({n: np.concatenate(parts) for n, parts in results.items()})
+            yield pd.DataFrame(rows_out).assign(_end=ends)
+
+    return spread(rows, *group).sortWithinPartitions(*group, t).mapInPandas(run, schema)
+
+
 def feedback_scan(
-    df: DataFrame,
-    key: Sequence[str],
-    step: Callable[[pd.DataFrame, list[float] | None], tuple[pd.DataFrame, list[float]]],
-    out_schema: T.StructType,
-    t: str = "t",
-    size: int = CHUNK,
+    df: DataFrame, key: Sequence[str], step: Step, fields: Sequence[T.StructField], t: str = "t", size: int = CHUNK
 ) -> DataFrame:
     """Recurrence whose state feeds back into its input (CUSUM with reset).
 
-    ``step(rows, state)`` runs one chunk in ``t`` order and returns its output
-    rows and the end state; ``state=None`` is the series start. Chunks first
+    ``step(columns, state)`` runs a piece of one series in ``t`` order and returns its
+    output arrays and the end state; ``state=None`` is the series start. Chunks first
     run in parallel from the start state; then only chunks whose true incoming
     state differs from the one used run again, until none differs. Such states
     forget their start (they return to zero), so few rounds are needed, but
-    the result is the sequential one in any case. ``out_schema`` must hold the
-    key and ``t``.
+    the result is the sequential one in any case. Returns key, ``t`` and ``fields``.
     """
     key = list(key)
-    full = T.StructType([*out_schema.fields, T.StructField("_end", T.ArrayType(T.DoubleType()))])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t, kind="stable").reset_index(drop=True)
-        state = pdf["_in"].iloc[0] if "_in" in pdf.columns else None
-        rows, end = step(pdf, None if state is None else [float(v) for v in state])
-        rows = rows.copy()
-        rows["_end"] = [None] * (len(rows) - 1) + [[float(v) for v in end]]
-        return rows
-
+    result = [*key, t, *[f.name for f in fields]]
     if fits_chunk(df, t, size):
-        out = df.groupBy(*key).applyInPandas(run, full)
-        return out.select(*out_schema.fieldNames())
+        return _run_sorted(df, key, key, step, fields, t).select(*result)
 
+    group = [*key, "_chunk"]
     rows = staged(chunked(df, t, size=size).drop("_own"), "chunks")
-    first = rows.groupBy(*key, "_chunk").applyInPandas(run, full)
-    done = staged(first.withColumn("_chunk", F.floor(F.col(t) / size).cast("long")), "scan")
+    unused = F.lit(None).cast("array<double>")
+    done = staged(_run_sorted(rows, key, group, step, fields, t).withColumn("_used", unused), "scan")
     while True:
-        ends = done.filter("_end IS NOT NULL").select(*key, "_chunk", "_end")
-        if "_used" not in done.columns:
-            used = ends.select(*key, "_chunk").withColumn("_used", F.lit(None).cast("array<double>"))
-        else:
-            used = done.filter("_end IS NOT NULL").select(*key, "_chunk", "_used")
-        incoming = ends.select(
-            *key, (F.col("_chunk") + 1).alias("_chunk"), F.col("_end").alias("_in")
+        ends = done.filter("_end IS NOT NULL").groupBy(*group).agg(
+            F.max_by("_end", t).alias("_end"), F.max_by("_used", t).alias("_used")
         )
+        incoming = ends.select(*key, (F.col("_chunk") + 1).alias("_chunk"), F.col("_end").alias("_in"))
         stale = staged(
-            used.join(incoming, [*key, "_chunk"])
-            .filter(~F.col("_used").eqNullSafe(F.col("_in")))
-            .drop("_used"),
+            ends.join(incoming, group).filter(~F.col("_used").eqNullSafe(F.col("_in"))).select(*group, "_in"),
             "stale",
         )
         if stale.isEmpty():
-            return done.select(*out_schema.fieldNames())
-        again = (
-            rows.join(stale, [*key, "_chunk"])
-            .groupBy(*key, "_chunk")
-            .applyInPandas(run, full)
-            .withColumn("_chunk", F.floor(F.col(t) / size).cast("long"))
-            .join(stale.withColumnRenamed("_in", "_used"), [*key, "_chunk"])
-        )
-        kept = done.join(stale.select(*key, "_chunk"), [*key, "_chunk"], "left_anti")
-        if "_used" not in kept.columns:
-            kept = kept.withColumn("_used", F.lit(None).cast("array<double>"))
+            return done.select(*result)
+        again = _run_sorted(rows.join(stale, group), key, group, step, fields, t)
+        again = again.join(stale.withColumnRenamed("_in", "_used"), group)
+        kept = done.join(stale.select(*group), group, "left_anti")
         done = staged(kept.unionByName(again), "scan")
 
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.operators.linear import column_moments
-from tidegauge.operators.ordered import feedback_scan, geometric_scan, reflected_sum, with_runs
+from tidegauge.operators.ordered import Step, feedback_scan, geometric_scan, reflected_sum, with_runs
 from tidegauge.operators.scaling import apply_scaler, fit_scaler, persistence_residual
 
 
@@ -23,10 +22,6 @@ def _greatest(cols: Sequence[Column]) -> Column:
     return cols[0] if len(cols) == 1 else F.greatest(*cols)
 
 
-def _key_fields(df: DataFrame, key: Sequence[str], t: str) -> list[T.StructField]:
-    return [df.schema[k] for k in key] + [T.StructField(t, T.LongType())]
-
-
 def cusum(
     df: DataFrame, key: Sequence[str], y: Column, mu0: Column, k: Column, h: Column, t: str = "t"
 ) -> DataFrame:
@@ -35,60 +30,60 @@ def cusum(
     return rows.withColumn("alarm", F.col("s") > h)
 
 
-Step = Callable[[pd.DataFrame, "list[float] | None"], "tuple[pd.DataFrame, list[float]]"]
-
-
-def reset_step(names: Sequence[str], y: str, mu0: str, k: str, h: str) -> Step:
+def reset_step(y: str, mu0: str, k: str, h: str) -> Step:
     """One ordered piece of a CUSUM with reset; state ``[s]``."""
 
-    def step(pdf: pd.DataFrame, state: list[float] | None):
+    def step(columns: dict[str, np.ndarray], state: list[float] | None):
         s = state[0] if state else 0.0
-        before = np.empty(len(pdf))
-        limit = pdf[h].to_numpy(dtype=float)
-        drift = (pdf[y] - pdf[mu0] - pdf[k]).to_numpy(dtype=float)
-        alarms = np.zeros(len(pdf), dtype=bool)
+        drift = (columns[y] - columns[mu0] - columns[k]).astype(float)
+        limit = columns[h].astype(float)
+        before, alarms = np.empty(len(drift)), np.zeros(len(drift), dtype=bool)
         for i, (x, top) in enumerate(zip(drift.tolist(), limit.tolist())):
             s = max(0.0, s + x)
             before[i] = s
             if s > top:
                 alarms[i] = True
                 s = 0.0
-        out = pdf[list(names)].copy()
-        out["stat_before"] = before
-        out["stat_after"] = np.where(alarms, 0.0, before)
-        out["alarm"] = alarms
-        return out, [s]
+        return {"stat_before": before, "stat_after": np.where(alarms, 0.0, before), "alarm": alarms}, [s]
 
     return step
 
 
-def adaptive_step(
-    names: Sequence[str], y: str, mean: str, std: str, gate: str, alpha: str, slack: float, limit: float
-) -> Step:
+RESET_FIELDS = [
+    T.StructField("stat_before", T.DoubleType()),
+    T.StructField("stat_after", T.DoubleType()),
+    T.StructField("alarm", T.BooleanType()),
+]
+
+
+def adaptive_step(y: str, mean: str, std: str, gate: str, alpha: str, slack: float, limit: float) -> Step:
     """One ordered piece of the gated adaptive CUSUM; state ``[s, mu]``."""
 
-    def step(pdf: pd.DataFrame, state: list[float] | None):
-        scale = float(pdf[std].iloc[0])
-        width, rate = float(pdf[gate].iloc[0]) * scale, float(pdf[alpha].iloc[0])
-        s, mu = state if state else (0.0, float(pdf[mean].iloc[0]))
-        stats, levels, alarms = [], [], []
-        for x in pdf[y].astype(float).tolist():
+    def step(columns: dict[str, np.ndarray], state: list[float] | None):
+        scale = float(columns[std][0])
+        width, rate = float(columns[gate][0]) * scale, float(columns[alpha][0])
+        s, mu = state if state else (0.0, float(columns[mean][0]))
+        values = columns[y].astype(float)
+        before, levels = np.empty(len(values)), np.empty(len(values))
+        for i, x in enumerate(values.tolist()):
             if abs(x - mu) <= width:
                 mu += rate * (x - mu)
             s = max(0.0, s + x - mu - slack * scale)
-            stats.append(s)
-            levels.append(mu)
-            hit = s > limit * scale
-            alarms.append(hit)
-            if hit:
+            before[i], levels[i] = s, mu
+            if s > limit * scale:
                 s = 0.0
-        out = pdf[list(names)].copy()
-        out["mu"], out["stat_before"], out["alarm"] = levels, stats, alarms
-        return out, [s, mu]
+        return {"mu": levels, "stat_before": before, "alarm": before > limit * scale}, [s, mu]
 
     return step
 
 
+ADAPTIVE_FIELDS = [
+    T.StructField("mu", T.DoubleType()),
+    T.StructField("stat_before", T.DoubleType()),
+    T.StructField("alarm", T.BooleanType()),
+]
+
+
 def cusum_reset(
     df: DataFrame, key: Sequence[str], y: str, mu0: str, k: str, h: str, t: str = "t", **options
 ) -> DataFrame:
@@ -96,18 +91,8 @@ def cusum_reset(
 
     Returns key, t, ``stat_before`` (tested against h), ``stat_after`` and ``alarm``.
     """
-    schema = T.StructType(
-        _key_fields(df, key, t)
-        + [
-            T.StructField("stat_before", T.DoubleType()),
-            T.StructField("stat_after", T.DoubleType()),
-            T.StructField("alarm", T.BooleanType()),
-        ]
-    )
-    names = [*key, t]
-    step = reset_step(names, y, mu0, k, h)
-    columns = df.select(*dict.fromkeys([*names, y, mu0, k, h]))
-    return feedback_scan(columns, key, step, schema, t, **options)
+    columns = df.select(*dict.fromkeys([*key, t, y, mu0, k, h]))
+    return feedback_scan(columns, key, reset_step(y, mu0, k, h), RESET_FIELDS, t, **options)
 
 
 def adaptive_cusum(
@@ -119,18 +104,9 @@ def adaptive_cusum(
     ``mean``, ``std``, ``gate`` and ``alpha`` are columns, so one call runs a grid of
     settings crossed into the key. Returns key, t, ``mu``, ``stat_before``, ``alarm``.
     """
-    schema = T.StructType(
-        _key_fields(df, key, t)
-        + [
-            T.StructField("mu", T.DoubleType()),
-            T.StructField("stat_before", T.DoubleType()),
-            T.StructField("alarm", T.BooleanType()),
-        ]
-    )
-    names = [*key, t]
-    step = adaptive_step(names, y, mean, std, gate, alpha, slack, limit)
-    columns = df.select(*dict.fromkeys([*names, y, mean, std, gate, alpha]))
-    return feedback_scan(columns, key, step, schema, t, **options)
+    columns = df.select(*dict.fromkeys([*key, t, y, mean, std, gate, alpha]))
+    step = adaptive_step(y, mean, std, gate, alpha, slack, limit)
+    return feedback_scan(columns, key, step, ADAPTIVE_FIELDS, t, **options)
 
 
 def cusum_score(
@@ -154,26 +130,23 @@ def cusum_score_reset(
 
     The returned score is the one before the reset.
     """
-    schema = T.StructType(_key_fields(df, key, t) + [T.StructField(out, T.DoubleType())])
-    names = [*key, t]
     cols = list(cols)
 
-    def step(pdf: pd.DataFrame, state: list[float] | None):
-        z = pdf[cols].to_numpy(dtype=float)
+    def step(columns: dict[str, np.ndarray], state: list[float] | None):
+        z = np.column_stack([columns[c] for c in cols]).astype(float)
         both = np.concatenate([z, -z], axis=1) - slack
         s = np.array(state) if state else np.zeros(both.shape[1])
-        limit = pdf[reset].to_numpy(dtype=float)
-        score = np.empty(len(pdf))
+        limit = columns[reset].astype(float)
+        score = np.empty(len(both))
         for i, x in enumerate(both):
             s = np.maximum(0.0, s + x)
             score[i] = s.max()
             if score[i] > limit[i]:
                 s = np.zeros_like(s)
-        rows = pdf[names].copy()
-        rows[out] = score
-        return rows, list(s)
+        return {out: score}, list(s)
 
-    return feedback_scan(df.select(*names, *cols, reset), key, step, schema, t, **options)
+    fields = [T.StructField(out, T.DoubleType())]
+    return feedback_scan(df.select(*key, t, *cols, reset), key, step, fields, t, **options)
 
 
 def ewma_score(

@@ -15,15 +15,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.operators.ordered import trailing_lists
+from tidegauge.session import spread
 
 MAX_ROWS = 4_096  # length of one offline problem; rolling windows serve longer series
-STACK = 4_096  # problems solved together
+STACK = 512  # problems solved together, small enough to stay in cache
 
 
 def soft(x: np.ndarray, limit: float) -> np.ndarray:
     return np.sign(x) * np.maximum(np.abs(x) - limit, 0.0)
 
 
+def difference_transposed(v: np.ndarray, order: int) -> np.ndarray:
+    """Transposed ``order``-th difference applied to every row."""
+    for _ in range(order):
+        edge = np.zeros((len(v), 1))
+        v = -np.diff(v, axis=1, prepend=edge, append=edge)
+    return v
+
+
 def step_terms(lambda_tv: float, lambda_l1: float, rho: float = 2.0) -> list[tuple]:
     """Box, sparsity and first differences: (difference order, penalty, boxed, rho)."""
     return [(0, 0.0, True, rho), (0, lambda_l1, False, rho), (1, lambda_tv, False, rho)]
@@ -60,11 +69,11 @@ def solve_stack(
     if n == 1:
         return d, iterations
     terms = [term for term in terms if n > term[0]]
-    operators = [np.diff(np.eye(n), n=order, axis=0) for order, *_ in terms]
     if n not in inverses:
         system = weight * np.eye(n)
-        for op, (_, _, _, rho) in zip(operators, terms):
-            system += rho * op.T @ op
+        for order, _, _, rho in terms:
+            difference = np.diff(np.eye(n), n=order, axis=0)
+            system += rho * difference.T @ difference
         inverses[n] = np.linalg.inv(system)
     inverse = inverses[n]
 
@@ -74,8 +83,8 @@ def solve_stack(
     u = [np.zeros_like(part) for part in z]
     for it in range(1, max_iter + 1):
         right = weight * r
-        for op, (order, _, _, rho), zk, uk in zip(operators, terms, z, u):
-            right = right + rho * ((zk - uk) if order == 0 else (zk - uk) @ op)
+        for (order, _, _, rho), zk, uk in zip(terms, z, u):
+            right += rho * difference_transposed(zk - uk, order)
         new = right @ inverse
         gap = np.zeros(len(active))
         moved = np.max(np.abs(new - d), axis=1)
@@ -185,7 +194,7 @@ def whole_problems(rows: DataFrame, key: Sequence[str], t: str = "t") -> DataFra
     if not rows.groupBy(*key).count().filter(F.col("count") > MAX_ROWS).isEmpty():
         raise ValueError(f"problems are limited to {MAX_ROWS} rows; use rolling windows")
     cells = F.sort_array(F.collect_list(F.struct(t, "r", "low", "high")))
-    return rows.groupBy(*key).agg(cells.alias("_c")).select(
+    return spread(rows, *key).groupBy(*key).agg(cells.alias("_c")).select(
         *key, F.col(f"_c.{t}").alias(t), F.col("_c.r").alias("r"), F.col("_c.low").alias("low"), F.col("_c.high").alias("high")
     )
 
@@ -208,7 +217,7 @@ def recover_rolling(
     No row looks ahead and no window waits for another, so series of any length
     run in parallel. Windows start cold.
     """
-    lists = trailing_lists(rows, key, window, {"_r": "r", "_low": "low", "_high": "high"}, t)
+    lists = trailing_lists(rows, key, window, {"_r": "r", "_low": "low", "_high": "high"}, t, wide=True)
     problems = lists.select(
         *key, t, F.col("_r").alias("r"), F.col("_low").alias("low"), F.col("_high").alias("high")
     )

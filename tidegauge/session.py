@@ -68,3 +68,12 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` ahead of costly Python work.
+
+    The exchange is the one the following grouping or window needs anyway; naming
+    its size keeps it from being merged into few tasks because its bytes are few.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

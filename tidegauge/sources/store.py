@@ -98,9 +98,11 @@ def constant_columns(df: DataFrame, cols: Sequence[str], rule: str = "distinct")
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 per file under ``path`` (files below the 2 GB limit of a binary row)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), "length"
+    folder = "/" + path.rstrip("/").split("/")[-1] + "/"
+    below = F.when(F.contains("path", F.lit(folder)), F.substring_index("path", folder, -1)).otherwise(
+        F.element_at(F.split("path", "/"), -1)
     )
+    return files.select(below.alias("file"), F.sha2("content", 256).alias("sha256"), "length")
 
 
 def write_meta(df: DataFrame, path: str, dataset: str, checksums: DataFrame | None = None) -> None:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from tidegauge.operators.scores import Step, adaptive_step, reset_step
+from tidegauge.operators.ordered import Step
+from tidegauge.operators.scores import ADAPTIVE_FIELDS, RESET_FIELDS, adaptive_step, reset_step
 from tidegauge.session import new_path
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -33,8 +34,8 @@ _STATE = T.StructType(
 class OrderedProcessor(StatefulProcessor):
     """Runs a step function over the rows of a key in time order across batches."""
 
-    def __init__(self, step: Step, ts: str) -> None:
-        self.step, self.ts = step, ts
+    def __init__(self, step: Step, key: list[str], ts: str) -> None:
+        self.step, self.key, self.ts = step, key, ts
 
     def init(self, handle) -> None:
         self.state = handle.getValueState("state", _STATE)
@@ -49,35 +50,33 @@ class OrderedProcessor(StatefulProcessor):
         fresh = np.ones(len(batch), dtype=bool) if last is None else (micros > last).to_numpy()
         late = int(late) + int((~fresh).sum())
         if fresh.any():
-            out, values = self.step(batch[fresh].reset_index(drop=True), values)
+            rows = batch[fresh]
+            out, values = self.step({c: rows[c].to_numpy() for c in rows.columns}, values)
             last = int(micros.max())
-            out["late_rows"] = late
-            yield out
+            yield rows[[*self.key, self.ts]].assign(**out, late_rows=late)
         self.state.update(([float(v) for v in values], last, late))
 
     def close(self) -> None:
         pass
 
 
-def _run(stream: DataFrame, key: Sequence[str], step: Step, ts: str, fields: list[tuple[str, T.DataType]], delay: str) -> DataFrame:
+def _run(stream: DataFrame, key: Sequence[str], step: Step, ts: str, fields: Sequence[T.StructField], delay: str) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     schema = T.StructType(
         [stream.schema[k] for k in key]
         + [stream.schema[ts]]
-        + [T.StructField(n, kind) for n, kind in fields]
+        + list(fields)
         + [T.StructField("late_rows", T.LongType())]
     )
     rows = stream.withWatermark(ts, delay)
     return rows.groupBy(*key).transformWithStateInPandas(
-        statefulProcessor=OrderedProcessor(step, ts), outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=OrderedProcessor(step, list(key), ts), outputStructType=schema, outputMode="Append", timeMode="None"
     )
 
 
 def stream_cusum(stream: DataFrame, key: Sequence[str], y: str, mu0: str, k: str, h: str, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """CUSUM with reset per key; the statistic before and after the reset, and the alarm."""
-    step = reset_step([*key, ts], y, mu0, k, h)
-    fields = [("stat_before", T.DoubleType()), ("stat_after", T.DoubleType()), ("alarm", T.BooleanType())]
-    return _run(stream, key, step, ts, fields, delay)
+    return _run(stream, key, reset_step(y, mu0, k, h), ts, RESET_FIELDS, delay)
 
 
 def stream_adaptive_cusum(
@@ -85,33 +84,29 @@ def stream_adaptive_cusum(
     slack: float = 0.5, limit: float = 5.0, delay: str = "1 hour",
 ) -> DataFrame:
     """Gated adaptive CUSUM per key."""
-    step = adaptive_step([*key, ts], y, mean, std, gate, alpha, slack, limit)
-    fields = [("mu", T.DoubleType()), ("stat_before", T.DoubleType()), ("alarm", T.BooleanType())]
-    return _run(stream, key, step, ts, fields, delay)
+    step = adaptive_step(y, mean, std, gate, alpha, slack, limit)
+    return _run(stream, key, step, ts, ADAPTIVE_FIELDS, delay)
 
 
-def ewma_step(names: Sequence[str], y: str, alpha: float) -> Step:
+def ewma_step(y: str, alpha: float) -> Step:
     """EWMA from zero and first difference; state ``[ewma, last value]``."""
 
-    def step(pdf: pd.DataFrame, state: list[float] | None):
-        x = pdf[y].to_numpy(dtype=float)
+    def step(columns: dict[str, np.ndarray], state: list[float] | None):
+        x = columns[y].astype(float)
         level, before = state if state else (0.0, x[0])
         levels = np.empty(len(x))
         for i, v in enumerate(x.tolist()):
             level = alpha * v + (1.0 - alpha) * level
             levels[i] = level
-        out = pdf[list(names)].copy()
-        out["ewma"] = np.abs(levels)
-        out["residual"] = np.diff(x, prepend=before)
-        return out, [level, float(x[-1])]
+        return {"ewma": np.abs(levels), "residual": np.diff(x, prepend=before)}, [level, float(x[-1])]
 
     return step
 
 
 def stream_ewma(stream: DataFrame, key: Sequence[str], y: str, alpha: float = 0.2, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """EWMA score and persistence residual per key."""
-    fields = [("ewma", T.DoubleType()), ("residual", T.DoubleType())]
-    return _run(stream, key, ewma_step([*key, ts], y, alpha), ts, fields, delay)
+    fields = [T.StructField("ewma", T.DoubleType()), T.StructField("residual", T.DoubleType())]
+    return _run(stream, key, ewma_step(y, alpha), ts, fields, delay)
 
 
 def stream_activation(
