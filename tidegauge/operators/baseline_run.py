@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators import metrics, scores
-from tidegauge.operators.ordered import reindexed
+from tidegauge.operators.ordered import longest_series, reindexed
 from tidegauge.operators.scaling import (
     apply_scaler,
     fit_scaler,
@@ -62,6 +62,7 @@ def run_baselines(
     features, cols = split_features(df, key, cols)
     residuals = [f"r_{c}" for c in cols]
     features = staged(features, "features")
+    longest = longest_series(features)
     train = features.filter("split = 'train'")
     params = fit_scaler(train, key, [*cols, *residuals])
     parts = apply_scaler(features, params, key, [*cols, *residuals])
@@ -73,9 +74,9 @@ def run_baselines(
     for names, prefix in ((cols, ""), (residuals, "residual_")):
         axes = scores.principal_axes(train_z, names, components)
         rows = scores.spe_score(rows, names, axes, f"{prefix}pca_spe")
-        rows = scores.ewma_score(rows, part_key, names, alpha, out=f"{prefix}ewma")
-    rows = scores.cusum_score(rows, part_key, cols, slack, out="cusum")
-    rows = scores.cusum_score(rows, part_key, residuals, slack, out="residual_cusum")
+        rows = scores.ewma_score(rows, part_key, names, alpha, out=f"{prefix}ewma", longest=longest)
+    rows = scores.cusum_score(rows, part_key, cols, slack, out="cusum", longest=longest)
+    rows = scores.cusum_score(rows, part_key, residuals, slack, out="residual_cusum", longest=longest)
     rows = staged(rows, "scored")
 
     val = rows.filter("split = 'val'")

@@ -169,19 +169,29 @@ def fits_chunk(df: DataFrame, t: str = "t", size: int = CHUNK) -> bool:
     return df.filter(F.col(t) >= size).isEmpty()
 
 
+def longest_series(df: DataFrame, t: str = "t") -> int:
+    """Rows of the longest series, to hand to several scans over the same rows."""
+    top = df.agg(F.max(t)).first()[0]
+    return 0 if top is None else int(top) + 1
+
+
+def _short(df: DataFrame, t: str, size: int, longest: int | None) -> bool:
+    return fits_chunk(df, t, size) if longest is None else longest <= size
+
+
 def _carry_join(rows: DataFrame, ends: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.join(ends, [*key, "_chunk"], "left")
 
 
 def fill(
     df: DataFrame, key: Sequence[str], cols: dict[str, str], t: str = "t", backward: bool = False,
-    size: int = CHUNK, short: bool | None = None,
+    size: int = CHUNK, longest: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = last non-null value at or before ``t`` (first at or after if backward)."""
     key = list(key)
     rows = chunked(df, t, size=size)
     local = chunk_window(key, t, backward).rowsBetween(Window.unboundedPreceding, 0)
-    if fits_chunk(df, t, size) if short is None else short:
+    if _short(df, t, size, longest):
         return rows.select(
             "*", *[F.last(c, ignorenulls=True).over(local).alias(o) for o, c in cols.items()]
         ).drop("_chunk", "_own")
@@ -211,13 +221,13 @@ def fill(
 
 def prefix_sum(
     df: DataFrame, key: Sequence[str], sums: dict[str, Column], t: str = "t", size: int = CHUNK,
-    short: bool | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
     """Add running sums up to and including ``t``."""
     key = list(key)
     rows = chunked(df, t, size=size)
     local = chunk_window(key, t).rowsBetween(Window.unboundedPreceding, 0)
-    if fits_chunk(df, t, size) if short is None else short:
+    if _short(df, t, size, longest):
         return rows.select("*", *[F.sum(x).over(local).alias(o) for o, x in sums.items()]).drop(
             "_chunk", "_own"
         )
@@ -245,7 +255,7 @@ def reindexed(df: DataFrame, key: Sequence[str], t: str = "t") -> DataFrame:
 
 def reflected_sum(
     df: DataFrame, key: Sequence[str], increments: dict[str, Column], t: str = "t", size: int = CHUNK,
-    short: bool | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
     """``S = max(0, S + x)`` from S = 0, for several increments at once.
 
@@ -264,7 +274,7 @@ def reflected_sum(
             for o in increments
         ],
     )
-    if fits_chunk(df, t, size) if short is None else short:
+    if _short(df, t, size, longest):
         return rows.withColumnsRenamed({f"_s_{o}": o for o in increments}).drop(
             "_chunk", "_own", *[f"_c_{o}" for o in increments]
         )
@@ -295,7 +305,8 @@ def reflected_sum(
 
 
 def geometric_scan(
-    df: DataFrame, key: Sequence[str], inputs: dict[str, Column], rho: float, t: str = "t"
+    df: DataFrame, key: Sequence[str], inputs: dict[str, Column], rho: float, t: str = "t",
+    longest: int | None = None,
 ) -> DataFrame:
     """``s_t = rho * s_{t-1} + x_t`` from s = 0, with ``0 <= rho <= 1`` and dense ``t``.
 
@@ -309,7 +320,7 @@ def geometric_scan(
     if rho == 0.0:
         return df.select("*", *[x.alias(o) for o, x in inputs.items()])
     if rho == 1.0:
-        return prefix_sum(df, key, inputs, t)
+        return prefix_sum(df, key, inputs, t, longest=longest)
     length = max(1, min(CHUNK, int(150 * math.log(10) / -math.log(rho))))
     rows = chunked(df, t, size=length)
     place = F.pmod(F.col(t), F.lit(length)).cast("double")
@@ -321,7 +332,7 @@ def geometric_scan(
             for o, x in inputs.items()
         ],
     )
-    if fits_chunk(df, t, length):
+    if _short(df, t, length, longest):
         return rows.withColumnsRenamed({f"_s_{o}": o for o in inputs}).drop("_chunk", "_own")
     ends = rows.groupBy(*key, "_chunk").agg(
         *[F.max_by(f"_s_{o}", t).alias(f"_z_{o}") for o in inputs]
@@ -431,12 +442,15 @@ def feedback_scan(
         done = staged(kept.unionByName(again), "scan")
 
 
-def with_runs(df: DataFrame, key: Sequence[str], flag: Column, t: str = "t") -> DataFrame:
+def with_runs(
+    df: DataFrame, key: Sequence[str], flag: Column, t: str = "t", longest: int | None = None
+) -> DataFrame:
     """Add ``run_start``: first ``t`` of the maximal run of true flags a row is in, else null."""
     rows = with_lag(df.withColumn("_flag", flag), key, {"_before": ("_flag", 1)}, t)
     starts = F.when(F.col("_flag") & ~F.coalesce("_before", F.lit(False)), F.col(t))
-    short = fits_chunk(df, t)
-    rows = fill(rows.withColumn("_start", starts), key, {"run_start": "_start"}, t, short=short)
+    if longest is None and fits_chunk(df, t):
+        longest = CHUNK
+    rows = fill(rows.withColumn("_start", starts), key, {"run_start": "_start"}, t, longest=longest)
     return rows.withColumn("run_start", F.when(F.col("_flag"), F.col("run_start"))).drop(
         "_flag", "_before", "_start"
     )

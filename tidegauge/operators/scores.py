@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.operators.linear import column_moments
-from tidegauge.operators.ordered import Step, feedback_scan, geometric_scan, reflected_sum, with_runs
+from tidegauge.operators.ordered import (
+    Step,
+    feedback_scan,
+    geometric_scan,
+    longest_series,
+    reflected_sum,
+    with_runs,
+)
 from tidegauge.operators.scaling import apply_scaler, fit_scaler, persistence_residual
 
 
@@ -111,14 +118,14 @@ def adaptive_cusum(
 
 def cusum_score(
     df: DataFrame, key: Sequence[str], cols: Sequence[str], slack: float = 0.5, t: str = "t",
-    out: str = "cusum",
+    out: str = "cusum", longest: int | None = None,
 ) -> DataFrame:
     """Two-sided multivariate CUSUM score: the largest side over all sensors."""
     steps = {}
     for c in cols:
         steps[f"_up_{c}"] = F.col(c) - slack
         steps[f"_dn_{c}"] = -F.col(c) - slack
-    rows = reflected_sum(df, key, steps, t)
+    rows = reflected_sum(df, key, steps, t, longest=longest)
     return rows.withColumn(out, _greatest([F.col(c) for c in steps])).drop(*steps)
 
 
@@ -151,12 +158,12 @@ def cusum_score_reset(
 
 def ewma_score(
     df: DataFrame, key: Sequence[str], cols: Sequence[str], alpha: float = 0.2, t: str = "t",
-    out: str = "ewma",
+    out: str = "ewma", longest: int | None = None,
 ) -> DataFrame:
     """Largest absolute exponentially weighted mean over the sensors."""
     if not 0.0 < alpha <= 1.0:
         raise ValueError("alpha must be in (0, 1]")
-    rows = geometric_scan(df, key, {f"_e_{c}": alpha * F.col(c) for c in cols}, 1.0 - alpha, t)
+    rows = geometric_scan(df, key, {f"_e_{c}": alpha * F.col(c) for c in cols}, 1.0 - alpha, t, longest)
     states = [f"_e_{c}" for c in cols]
     return rows.withColumn(out, _greatest([F.abs(F.col(c)) for c in states])).drop(*states)
 
@@ -217,9 +224,10 @@ def baseline_scores(
     params = fit_scaler(train, key, cols)
     axes = principal_axes(apply_scaler(train, params, key, cols), cols, components)
     rows = spe_score(apply_scaler(df, params, key, cols), cols, axes, f"{prefix}pca_spe")
-    rows = ewma_score(rows, key, cols, alpha, t, f"{prefix}ewma")
+    longest = longest_series(df, t)
+    rows = ewma_score(rows, key, cols, alpha, t, f"{prefix}ewma", longest)
     if reset is None:
-        return cusum_score(rows, key, cols, slack, t, f"{prefix}cusum").drop(*cols)
+        return cusum_score(rows, key, cols, slack, t, f"{prefix}cusum", longest).drop(*cols)
     reset_scores = cusum_score_reset(rows, key, cols, reset, slack, t, f"{prefix}cusum")
     return rows.drop(*cols, reset).join(reset_scores, [*key, t])
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.operators import metrics, scaling, scores
-from tidegauge.operators.baseline_run import run_baselines
-from tidegauge.operators.ordered import reindexed
+from tidegauge.operators.baseline_run import run_baselines, split_features
+from tidegauge.operators.ordered import longest_series, reindexed
 from tidegauge.plans.registry import query, rnd, rounded, sql_round
+from tidegauge.session import staged
 from tidegauge.sources import views
 from tidegauge.sources.views import PANEL_SENSORS, PANEL_SQL, SERIES_SQL
 
@@ -591,19 +592,17 @@ thr AS (SELECT series_id, baseline, max(q) AS threshold FROM (
     FROM r LEFT JOIN evm ON evm.series_id = r.series_id AND evm.baseline = r.baseline""",
 )
 def series_score_summary(spark, sf_dir):
-    from tidegauge.operators.baseline_run import split_features
-
     rows, cols = split_features(views.split_series(spark, sf_dir), KEY, ["value"])
+    rows = staged(rows, "features")
     both = [*cols, "r_value"]
     params = scaling.fit_scaler(rows.filter("split = 'train'"), KEY, both)
     rows = scaling.apply_scaler(rows.filter("split <> 'train'"), params, KEY, both)
     part = ["series_id", "split"]
-    rows = scores.cusum_score(rows, part, ["value"], out="cusum")
-    rows = scores.cusum_score(rows, part, ["r_value"], out="residual_cusum")
-    rows = scores.ewma_score(rows, part, ["value"], out="ewma")
-    rows = scores.ewma_score(rows, part, ["r_value"], out="residual_ewma")
-    from tidegauge.session import staged
-
+    n = longest_series(rows)
+    rows = scores.cusum_score(rows, part, ["value"], out="cusum", longest=n)
+    rows = scores.cusum_score(rows, part, ["r_value"], out="residual_cusum", longest=n)
+    rows = scores.ewma_score(rows, part, ["value"], out="ewma", longest=n)
+    rows = scores.ewma_score(rows, part, ["r_value"], out="residual_ewma", longest=n)
     names = ["cusum", "residual_cusum", "ewma", "residual_ewma"]
     long = staged(rows.unpivot([*part, "t", "label"], names, "baseline", "score"), "scores")
     out = metrics.summarize_scores(long, ["series_id", "baseline"], 0.9, 3).drop(
