@@ -216,25 +216,29 @@ def panel_length(spark, sf_dir) -> int:
     g AS (SELECT *, row_number() OVER (ORDER BY fi, ci, di, oi, ai) - 1 AS k FROM (
       SELECT f.*, c.*, d.*, o.oi, least(o.o, greatest(0, n - 21)) AS o, a.*, n FROM n,
        (VALUES (0, 'step'), (1, 'ramp'), (2, 'periodic')) f(fi, f), (VALUES (0, 'click'), (1, 'view')) c(ci, c),
-       (VALUES (0, 20), (1, 50)) d(di, d), (VALUES (0, 180), (1, 360), (2, 690)) o(oi, o), (VALUES (0, 1.0), (1, 5.0)) a(ai, a))
+       (VALUES (0, 20), (1, 50)) d(di, d), (SELECT r AS oi, 24 * r AS o FROM n, range((n + 23) // 24) q(r)) o, (VALUES (0, 1.0), (1, 5.0)) a(ai, a))
       WHERE o + d <= n)
     SELECT format('sweep_{:06d}_{}', k, f) AS scenario_id, f AS family, c AS sensor, o AS onset, d AS duration, a::DOUBLE AS amplitude FROM g""",
 )
 def scenario_grid(spark, sf_dir):
-    out = injection.scenario_grid(spark, "panel", panel_length(spark, sf_dir), **GRID)
+    """A sweep with one onset per day of the panel."""
+    n = panel_length(spark, sf_dir)
+    out = injection.scenario_grid(spark, "panel", n, **{**GRID, "onsets": list(range(0, n, 24))})
     return out.select("scenario_id", "family", F.col("sensors")[0].alias("sensor"), "onset", "duration", "amplitude")
 
 
 @query(
     "scenario_cycle",
-    """WITH n AS (SELECT date_diff('hour', min(date_trunc('hour', ts)), max(date_trunc('hour', ts))) + 1 AS n FROM events),
+    """WITH n AS (SELECT date_diff('hour', min(date_trunc('hour', ts)), max(date_trunc('hour', ts))) + 1 AS n, count(*) // 10 AS total FROM events),
     g AS (SELECT i, n, ['step', 'ramp', 'periodic'][i % 3 + 1] AS f, ['click', 'view'][i % 2 + 1] AS c, [20, 50][i % 2 + 1] AS d,
-       least([180, 360, 690][i % 3 + 1], greatest(0, n - 21)) AS o, [1.0, 5.0][i % 2 + 1] AS a FROM n, range(1000) r(i))
+       least([180, 360, 690][i % 3 + 1], greatest(0, n - 21)) AS o, [1.0, 5.0][i % 2 + 1] AS a FROM n, range(total) r(i))
     SELECT format('batch_{:06d}_{}', i, f) AS scenario_id, f AS family, c AS sensor,
       CASE WHEN o + d > n THEN greatest(0, n - d) // 2 ELSE o END AS onset, d AS duration, a::DOUBLE AS amplitude FROM g""",
 )
 def scenario_cycle(spark, sf_dir):
-    out = injection.scenario_cycle(spark, "panel", panel_length(spark, sf_dir), 1000, **GRID)
+    """One scenario for every ten events."""
+    total = views.table(spark, sf_dir, "events").count() // 10
+    out = injection.scenario_cycle(spark, "panel", panel_length(spark, sf_dir), total, **GRID)
     return out.select("scenario_id", "family", F.col("sensors")[0].alias("sensor"), "onset", "duration", "amplitude")
 
 
@@ -246,7 +250,7 @@ def _hash_int(low: str, high: str, what: str) -> str:
     "random_corpus",
     f"""WITH n AS (SELECT count(*) // 10 AS total, (SELECT date_diff('hour', min(date_trunc('hour', ts)), max(date_trunc('hour', ts))) + 1 FROM events) AS n FROM events),
     k AS (SELECT greatest(1, total // 10) AS per, * FROM n),
-    g AS (SELECT n, [{', '.join(repr(f) for f in FAMILIES)}][i // per + 1] AS f, i % per AS j FROM k, range(20000) r(i) WHERE i < least(total, per * 10)),
+    g AS (SELECT n, [{', '.join(repr(f) for f in FAMILIES)}][i // per + 1] AS f, i % per AS j FROM k, range(least(total, per * 10)) r(i)),
     m AS (SELECT *, format('{{}}_{{:05d}}', f, j) AS name FROM g),
     d AS (SELECT *, least({_hash_int('20', '100', 'duration')}, n - 1) AS d FROM m)
     SELECT name AS scenario_id, f AS family, ['click', 'view'][{_hash_int('0', '2', 'channel')} + 1] AS sensor,
