@@ -6,6 +6,7 @@ from tidegauge.llm.common import ORACLES, QUERIES
 
 MODULES = [
     "chat_format",
+    "decontamination",
     "line_dedup",
     "token_counts",
 ]
