@@ -8,6 +8,7 @@ MODULES = [
     "chat_format",
     "decontamination",
     "line_dedup",
+    "near_dedup",
     "token_counts",
 ]
 
