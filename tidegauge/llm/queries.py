@@ -9,6 +9,7 @@ MODULES = [
     "decontamination",
     "line_dedup",
     "near_dedup",
+    "quality_rules",
     "token_counts",
 ]
 

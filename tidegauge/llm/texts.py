@@ -8,6 +8,7 @@ have equal hashes in every task; the number of words only costs array passes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -65,44 +66,57 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 STRETCH = 4_000_000
 
 
-def words_of(texts: list[str | None], lower: bool = False) -> Words:
-    """Word hashes of every text; null and blank texts have none."""
-    parts, counts, held, size = [], [], [], 0
+def stretches(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """The encoded texts in order, in lists of some ``STRETCH`` bytes; a null is empty."""
+    held, size = [], 0
     for text in texts:
         raw = b"" if text is None else text.encode()
         held.append(raw)
         size += len(raw) + 1
         if size >= STRETCH:
-            _hash_stretch(held, lower, parts, counts)
+            yield held
             held, size = [], 0
-    _hash_stretch(held, lower, parts, counts)
-    hashes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    sizes = np.concatenate(counts) if counts else np.empty(0, np.int64)
+    if held:
+        yield held
+
+
+def joined(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the texts, each closed by a line break, and where each one ends."""
+    data = np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
+    return data, np.cumsum([len(raw) + 1 for raw in held])
+
+
+def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every word and the byte behind it."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data]])))
+    return edge[0::2], edge[1::2]
+
+
+def words_of(texts: list[str | None], lower: bool = False) -> Words:
+    """Word hashes of every text; null and blank texts have none."""
+    parts = [_hashed(held, lower) for held in stretches(texts)]
+    hashes = np.concatenate([h for h, _ in parts]) if parts else np.empty(0, np.uint64)
+    sizes = np.concatenate([n for _, n in parts]) if parts else np.empty(0, np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     return Words(hashes, first, np.repeat(np.arange(len(sizes)), sizes))
 
 
-def _hash_stretch(held: list[bytes], lower: bool, parts: list, counts: list) -> None:
-    if not held:
-        return
-    data = np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
-    start, end = edge[0::2], edge[1::2]
+def _hashed(held: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    data, ends = joined(held)
+    start, end = word_edges(data)
     up, down = _power(len(data) + 1)
     total = np.cumsum(_byte_table(lower)[data] * up[: len(data)])
     before = np.where(start > 0, total[start - 1], np.uint64(0))
     value = (total[end - 1] - before) * down[start]
-    parts.append(mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    ends = np.cumsum([len(raw) + 1 for raw in held])
-    counts.append(np.diff(np.concatenate([[0], np.searchsorted(start, ends)])))
+    hashes = mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return hashes, np.diff(np.searchsorted(start, ends), prepend=0)
 
 
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
 
 
 def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and owners of all ``n``-word windows that lie inside one text."""
+    """Hashes and first words of all ``n``-word windows that lie inside one text."""
     h = words.hashes
     if len(h) < n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -110,13 +124,14 @@ def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     value = np.zeros(count, np.uint64)
     for k in range(n):
         value += h[k : k + count] * _MULTIPLIERS[k % 64]
-    inside = words.owner[:count] == words.owner[n - 1 :]
-    return mix(value[inside]), words.owner[:count][inside]
+    start = np.flatnonzero(words.owner[:count] == words.owner[n - 1 :])
+    return mix(value[start]), start
 
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Like ``windows``; a text of one to ``n - 1`` words gives its whole sequence as one."""
-    value, owner = windows(words, n)
+    """Hashes and owners of the windows; a text of 1 to ``n - 1`` words gives one, itself."""
+    value, start = windows(words, n)
+    owner = words.owner[start]
     sizes = np.diff(words.first)
     short = np.flatnonzero((sizes > 0) & (sizes < n))
     if len(short):
