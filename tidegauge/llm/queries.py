@@ -8,6 +8,7 @@ MODULES = [
     "chat_format",
     "decontamination",
     "line_dedup",
+    "mixing",
     "near_dedup",
     "quality_rules",
     "token_counts",
