@@ -8,6 +8,7 @@ MODULES = [
     "chat_format",
     "decontamination",
     "line_dedup",
+    "lm_scoring",
     "mixing",
     "near_dedup",
     "quality_rules",
