@@ -13,6 +13,7 @@ MODULES = [
     "near_dedup",
     "quality_rules",
     "token_counts",
+    "toxicity",
 ]
 
 for _name in MODULES:
