@@ -72,7 +72,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     document's word that the item's first word falls on (negative if cut off)."""
     items = staged(benchmark_items(benchmark), "items")
     seeds = _windows(items, "item_id").select("key", "item_id", F.col("at").alias("item_at")).distinct()
-    docs = docs.withColumn("text_key", text_hash())
+    docs = docs.select("doc_id", "text", text_hash().alias("text_key"))
     spoken = docs.select(*DOC, words("text").alias("w"))
     met = _windows(spoken, *DOC).join(broadcast_if_small(staged(seeds, "seeds"), BROADCAST_ROWS), "key")
     hits = met.select(*DOC, "item_id", (F.col("at") - F.col("item_at")).alias("at")).distinct()
@@ -131,7 +131,7 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = staged(contaminated(docs, benchmark), "contaminated")
     found = found.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
     own = [c for c in docs.columns if c not in ("contaminated", "item_id", "n_items", "matched_words")]
-    met = docs.withColumn("_key", text_hash()).join(
+    met = docs.select(*own, text_hash().alias("_key")).join(
         broadcast_if_small(found, BROADCAST_ROWS),
         F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")),
         "left",
@@ -147,7 +147,13 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    return judge(docs, benchmark).filter("not contaminated").select(*docs.columns)
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"))
+    kept = docs.withColumn("_key", text_hash()).join(
+        broadcast_if_small(staged(found, "contaminated"), BROADCAST_ROWS),
+        F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")),
+        "left_anti",
+    )
+    return kept.drop("_key")
 
 
 def _sql_seeds(picked: tuple[int, ...]) -> str:

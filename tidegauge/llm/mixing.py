@@ -192,10 +192,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     def cut(text: pd.Series, words: pd.Series) -> pd.Series:
         return pd.Series([_first_words(t, w) for t, w in zip(text, words)])
 
-    taken = mixed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "size", *new)
+    taken = mixed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("size").alias("_size"), *new)
     met = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")))
-    whole = met.filter("words = size").select(*own, *new)
-    short = met.filter("words < size").withColumn("text", cut("text", "words")).select(*own, *new)
+    whole = met.filter("words = _size").select(*own, *new)
+    short = met.filter("words < _size").withColumn("text", cut("text", "words")).select(*own, *new)
     return whole.union(short).repartition("shard").sortWithinPartitions("shard", "shard_order", "doc_id", "pass")
 
 
