@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidegauge.llm import texts
 from tidegauge.llm.common import broadcast_if_small, query, table
@@ -189,11 +190,19 @@ def _judged(held: list[bytes], weights: np.ndarray, threshold: float) -> dict[st
     }
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with the counts, the score and ``kept``; see the module for the columns."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights of the bins and the threshold."""
     raw, trusted = gram_counts(docs, labels)
     weights = log_ratios(raw, trusted)
-    threshold = score_threshold(docs, labels, weights) if trusted.any() else -np.inf
+    return weights, score_threshold(docs, labels, weights) if trusted.any() else -np.inf
+
+
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with the counts, the score and ``kept``; columns of these names are replaced."""
+    return _apply(docs, *fit(docs, labels))
+
+
+def _apply(docs: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
     new = [c.split()[0] for c in _RESULT.split(", ")]
     own = [c for c in docs.columns if c not in new]
     source = docs.select(*own)
@@ -202,8 +211,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield from _judge_batch(batch, own, new, weights, threshold)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in own)
-    return source.mapInArrow(run, f"{fields}, {_RESULT}")
+    return source.mapInArrow(run, StructType([*source.schema.fields, *StructType.fromDDL(_RESULT).fields]))
 
 
 def _judge_batch(batch: pa.RecordBatch, own, new, weights, threshold) -> Iterator[pa.RecordBatch]:
@@ -216,9 +224,9 @@ def _judge_batch(batch: pa.RecordBatch, own, new, weights, threshold) -> Iterato
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rejected ones."""
-    columns = [F.col(c) for c in docs.columns]
-    return judge(docs, labels).filter("kept").select(*columns)
+    """``docs`` without the rejected ones, all columns as they are."""
+    whole = docs.select("text", F.struct("*").alias("_whole"))
+    return _apply(whole, *fit(docs, labels)).filter("kept").select("_whole.*")
 
 
 @query("op2_quality_rules")
