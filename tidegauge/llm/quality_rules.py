@@ -3,8 +3,9 @@
 Byte n-grams are hashed into a fixed number of bins. Two multinomials, one from trusted
 documents (``labels.quality = 1``) and one from the whole corpus, give every bin the log
 of the ratio of its probabilities; a document's score is the mean over its n-grams, so
-length does not count. Every document is kept whose score reaches a threshold: the score
-that all but ``TRUSTED_LOSS`` of the trusted documents reach. Nothing is drawn at random.
+length does not count. Every document is kept whose score reaches a threshold: ``SLACK``
+below the score that all but ``TRUSTED_LOSS`` of the trusted documents reach, of those that
+pass the counting rules. Nothing is drawn at random.
 
 Both models are counted over all documents; what reaches the driver is one number per
 bin and a histogram of trusted scores on a fixed grid, whatever the corpus holds.
@@ -32,7 +33,8 @@ GRAM = 3
 BIN_BITS = 16
 BINS = 1 << BIN_BITS
 SMOOTHING = 1.0
-TRUSTED_LOSS = 0.001
+TRUSTED_LOSS = 0.0002
+SLACK = 0.01
 GRID = 1000  # histogram cells per unit of score
 
 MIN_WORDS = 10
@@ -116,12 +118,13 @@ def _scores(held: list[bytes], weights: np.ndarray) -> np.ndarray:
 
 
 def score_threshold(docs: DataFrame, labels: DataFrame, weights: np.ndarray) -> float:
-    """The grid score that all but ``TRUSTED_LOSS`` of the trusted documents reach."""
+    """``SLACK`` below the grid score that nearly all trusted documents reach."""
 
     def run(batches):
         for batch in batches:
             for held in texts.stretches(texts.column(batch, "text")):
-                cells = np.floor(_scores(held, weights) * GRID).astype(np.int64)
+                found = _judged(held, weights, -np.inf)
+                cells = np.floor(found["score"][found["kept"]] * GRID).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cells)], names=["cell"])
 
     trusted = _marked(docs, labels).filter("_trusted").select("text")
@@ -130,7 +133,7 @@ def score_threshold(docs: DataFrame, labels: DataFrame, weights: np.ndarray) ->
     for c in cells:
         below += c["count"]
         if below > allowed:
-            return c["cell"] / GRID
+            return c["cell"] / GRID - SLACK
     return -np.inf
 
 

@@ -177,12 +177,11 @@ def _weights(rows: DataFrame, candidates: list[str], rate: float, words: tuple[i
 
     def run(batches):
         for batch in batches:
-            out = set()
+            out = []
             for text, toxic in _rows(batch):
                 said = ["", *_WORD.findall(fold(text)), ""]
-                for i, word in enumerate(said[1:-1]):
-                    out.update((stem, f"{said[i]} {said[i + 2]}", toxic) for stem in _stems(word) if stem in known)
-            yield _pairs(list(out), ["stem", "place", "toxic"], [pa.string(), pa.string(), pa.int64()])
+                out += {(stem, f"{said[i]} {said[i + 2]}", toxic) for i, word in enumerate(said[1:-1]) for stem in _stems(word) if stem in known}
+            yield _pairs(out, ["stem", "place", "toxic"], [pa.string(), pa.string(), pa.int64()])
 
     places = rows.mapInArrow(run, "stem string, place string, toxic bigint").groupBy("stem", "place").agg(F.max("toxic").alias("toxic"), F.count("*").alias("n"))
     sums = places.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("places"), F.sum("n").alias("n")).collect()
