@@ -7,10 +7,11 @@ hashed keys, equal keys meet, and the earliest line of a key stands for all othe
 two lines of a key are near, so no pairs are needed inside it. Each found line is then
 verified against its earliest partner word by word.
 
-Variants are emitted in two steps, so that a line costs a few keys and not one per word.
-First ``PARTS`` coarse variants leave out a quarter of the line each; only lines that
-share one go on, and they emit the single-word variants of that quarter. Both steps are
-complete: a near pair agrees outside the quarter that holds the edit.
+Variants are emitted coarse to fine, so that a line costs a few keys and not one per
+word. First a line leaves out either half; lines that share a half with another one leave
+out each of ``PARTS`` parts; lines that share the rest then emit the single-word variants
+of that part. Every step is complete: a near pair agrees outside the part that holds the
+edit.
 
 What stays: the earliest of equal lines and of near lines, by (doc_id, position); a line
 with an earlier near line goes even if that one goes too. Near matches need
@@ -18,9 +19,10 @@ with an earlier near line goes even if that one goes too. Near matches need
 lines are compared for equality.
 
 Defined cases. Lines are cut at ``\\n`` alone and compared by their words, so white space
-does not count; blank lines stay. A null text stays null. A null doc_id comes first. Rows
-that repeat id and text are one document. Further columns are kept as they are. An empty
-table gives an empty result.
+does not count; blank lines stay. A null text stays null. A null doc_id comes first. The
+same line at the same position of rows with one doc_id is one line, so a repeated row
+stays as it is. Further columns are kept as they are. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import SPACES, broadcast_if_small, query, table, text_hash
 from tidegauge.session import staged
 
+# The white space between words, as characters to trim.
+_WHITE = " \t\n\x0b\x0c\r"
+
 PARTS = 4
 MIN_WORDS = 5
 
@@ -42,67 +47,88 @@ DOC = ["doc_id", "text_key"]
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(line, SPACES), lambda w: w != "")
+    """Words of a line that is not blank."""
+    return F.split(F.trim(line, F.lit(_WHITE)), SPACES)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text_key", text_hash())
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Lines that have words: document, position and the hashes of the words."""
-    lines = docs.select(*DOC, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    hashed = lines.select(*DOC, "pos", F.transform(words(F.col("line")), lambda w: F.xxhash64(w)).alias("w"))
-    return hashed.filter(F.size("w") > 0).withColumns({"n": F.size("w"), "line_key": F.xxhash64("w")})
-
-
-def _bounds(short: Column, part: int) -> tuple[Column, Column]:
-    """Where a part of a line of ``short`` words begins and ends."""
-    return F.floor(short * part / PARTS).cast("int"), F.floor(short * (part + 1) / PARTS).cast("int")
-
+def _half_keys() -> list[Column]:
+    """Keys of either half, as the shorter (or equal) and as the longer line of a pair.
 
-def _coarse_keys() -> Column:
-    """Keys of the line without one part, as the shorter (or equal) and as the longer line."""
+    The lines of a near pair agree on the half, measured on the shorter one, that does
+    not hold the edit.
+    """
     n, w, keys = F.col("n"), F.col("w"), []
     for extra in (0, 1):
         short = n - extra
-        for part in range(PARTS):
-            start, end = _bounds(short, part)
-            rest = F.concat(F.slice(w, F.lit(1), start), F.slice(w, end + extra + 1, n - end - extra))
-            key = F.xxhash64(short, F.lit(part), rest)
-            keys.append(F.when(short >= MIN_WORDS, key))
-    return F.array(*keys)
+        front = F.floor(short / 2).cast("int")
+        back = short - front
+        for side, half in enumerate((F.slice(w, F.lit(1), front), F.slice(w, n - back + 1, back))):
+            keys.append(F.when(short >= MIN_WORDS, F.xxhash64(short, F.lit(side), half)))
+    return keys
+
+
+def line_places(docs: DataFrame) -> DataFrame:
+    """Every line that has words: its place, key, number of words and half keys.
+
+    The blank test looks at the line and not at its words, and the outer explode adds no
+    test: a filter on a computed column would compute it twice.
+    """
+    lines = _keyed(docs).select(*DOC, F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    spoken = lines.filter(F.trim("line", F.lit(_WHITE)) != "").select(*DOC, "pos", words(F.col("line")).alias("w"))
+    sized = spoken.withColumn("n", F.size("w"))
+    return sized.select(
+        *DOC, "pos", "n", F.xxhash64("w").alias("line_key"), *(k.alias(f"half_{i}") for i, k in enumerate(_half_keys()))
+    )
+
 
+def _order() -> Column:
+    """Place in the corpus as one number, which hash aggregation can hold."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63))).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """One row per distinct line: first place, number of words and its coarse keys."""
-    lines = _lines(docs).select(
-        "line_key", "n", F.struct("doc_id", "pos", "text_key").alias("place"), _coarse_keys().alias("keys")
+
+def distinct_lines(places: DataFrame) -> DataFrame:
+    """One row per distinct line: first place, number of words and its half keys."""
+    halves = [F.min(f"half_{i}").alias(f"half_{i}") for i in range(4)]
+    ordered = places.withColumn("place", _order())
+    return ordered.groupBy("line_key", "n").agg(
+        F.min("place").alias("place"), F.min_by("doc_id", "place").alias("doc_id"), F.min_by("pos", "place").alias("pos"), *halves
     )
-    return lines.groupBy("line_key", "n").agg(F.min("place").alias("first"), F.first("keys").alias("keys"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Keys that several rows have."""
+    return rows.groupBy("key").count().filter("count > 1").select("key")
 
 
 def near_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines with an earlier near line, by key, with the earliest one; verified."""
-    emitted = lines.filter(F.col("n") >= MIN_WORDS).select(
-        "line_key", "n", "first", F.posexplode("keys").alias("slot", "key")
+    emitted = lines.filter(F.col("n") > MIN_WORDS - 1).select(
+        "line_key", F.explode_outer(F.array(*(f"half_{i}" for i in range(4)))).alias("key")
     ).filter(F.col("key").isNotNull())
-    shared = staged(emitted.groupBy("key").count().filter("count > 1").select("key"), "line-keys")
-    going = emitted.join(broadcast_if_small(shared, BROADCAST_ROWS), "key")
-    going = going.groupBy("line_key", "n", "first").agg(F.collect_list(F.struct("slot", "key")).alias("slots"))
+    halves = staged(_shared(emitted), "half-keys")
+    going = emitted.join(broadcast_if_small(halves, BROADCAST_ROWS), "key").select("line_key").distinct()
     # The words are read again for these lines alone, from their first place.
-    wanted = staged(going.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), "first", "line_key", "slots"), "line-candidates")
-    found = _with_words(docs, wanted)
-    lines_found = staged(found, "line-words")
-    variants = lines_found.select("line_key", "first", "w", F.explode("slots").alias("s")).select(
-        "line_key", "first", F.explode(_fine_keys()).alias("key")
+    wanted = staged(lines.join(going, "line_key").select("line_key", "doc_id", "pos", "place"), "line-candidates")
+    found = staged(_with_words(docs, wanted), "line-words")
+    coarse = found.select("line_key", F.posexplode_outer(_coarse_keys()).alias("slot", "key")).filter(F.col("key").isNotNull())
+    quarters = staged(_shared(coarse), "line-keys")
+    slots = coarse.join(broadcast_if_small(quarters, BROADCAST_ROWS), "key").groupBy("line_key").agg(
+        F.collect_list(F.struct("slot", "key")).alias("slots")
     )
-    earliest = variants.groupBy("key").agg(F.min(F.struct("first", "line_key")).alias("e"), F.count("*").alias("c"))
-    earliest = staged(earliest.filter("c > 1").select("key", "e"), "line-variants")
-    linked = variants.join(earliest, "key").filter(F.col("e.first") < F.col("first"))
-    pairs = linked.groupBy("line_key").agg(F.min("e").alias("e"))
-    pairs = pairs.select("line_key", F.col("e.line_key").alias("earlier_key"))
-    said = lines_found.select("line_key", "w")
+    variants = found.join(slots, "line_key").select("line_key", "place", "w", F.explode_outer("slots").alias("s")).select(
+        "line_key", "place", F.explode_outer(_fine_keys()).alias("key")
+    ).filter(F.col("key").isNotNull())
+    variants = staged(variants, "line-variants")
+    earliest = variants.groupBy("key").agg(
+        F.min("place").alias("first"), F.min_by("line_key", "place").alias("earlier_key"), F.count("*").alias("c")
+    ).filter("c > 1")
+    linked = variants.join(earliest, "key").filter("first < place")
+    pairs = linked.groupBy("line_key").agg(F.min_by("earlier_key", "first").alias("earlier_key"))
+    said = found.select("line_key", "w")
     both = pairs.join(said, "line_key").join(
         said.select(F.col("line_key").alias("earlier_key"), F.col("w").alias("v")), "earlier_key"
     )
@@ -111,12 +137,29 @@ def near_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Candidate lines with their words; the documents are exchanged only if there are many."""
-    w = wanted.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "first", "line_key", "slots")
-    met = docs.select(*DOC, "text").join(
-        broadcast_if_small(w, BROADCAST_ROWS // 4), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))
-    )
-    line = F.element_at(F.split("text", "\n"), F.col("first.pos") + 1)
-    return met.select("line_key", "first", "slots", words(line).alias("w")).dropDuplicates(["line_key"])
+    w = wanted.select(F.col("doc_id").alias("_d"), "pos", "place", "line_key")
+    met = docs.select("doc_id", "text").join(broadcast_if_small(w, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_d")))
+    line = F.get(F.split("text", "\n"), F.col("pos"))
+    said = met.select("line_key", "place", words(line).alias("w")).filter(F.xxhash64("w") == F.col("line_key"))
+    return said.dropDuplicates(["line_key"])
+
+
+def _bounds(short: Column, part: int | Column) -> tuple[Column, Column]:
+    """Where a part of a line of ``short`` words begins and ends."""
+    return F.floor(short * part / PARTS).cast("int"), F.floor(short * (part + 1) / PARTS).cast("int")
+
+
+def _coarse_keys() -> Column:
+    """Keys of the line without one part, as the shorter (or equal) and as the longer line."""
+    w, keys = F.col("w"), []
+    n = F.size("w")
+    for extra in (0, 1):
+        short = n - extra
+        for part in range(PARTS):
+            start, end = _bounds(short, part)
+            rest = F.concat(F.slice(w, F.lit(1), start), F.slice(w, end + extra + 1, n - end - extra))
+            keys.append(F.when(short >= MIN_WORDS, F.xxhash64(short, F.lit(part), rest)))
+    return F.array(*keys)
 
 
 def _fine_keys() -> Column:
@@ -129,7 +172,7 @@ def _fine_keys() -> Column:
     extra = F.floor(slot / PARTS).cast("int")
     part = F.pmod(slot, F.lit(PARTS))
     short = F.size(w) - extra
-    start, end = F.floor(short * part / PARTS).cast("int"), F.floor(short * (part + 1) / PARTS).cast("int")
+    start, end = _bounds(short, part)
     region = F.slice(w, start + 1, end - start + extra)
     size = F.size(region)
 
@@ -166,18 +209,16 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """Per document the positions of lines that go: ``doc_id, text_key, exact, near``."""
-    docs = _keyed(docs)
-    lines = staged(distinct_lines(docs), "lines")
+    """Per document the positions of lines that go: ``doc_id, text_key, gone, n_near, n_exact``."""
+    places = staged(line_places(docs), "line-places")
+    lines = staged(distinct_lines(places), "lines")
     near = near_links(docs, lines).select("line_key", F.lit(True).alias("near"))
-    fate = lines.select("line_key", "first").join(near, "line_key", "left")
-    every = _lines(docs).select("line_key", *DOC, "pos")
-    judged = every.join(fate, "line_key").withColumns({
+    fate = lines.select("line_key", F.col("doc_id").alias("first_doc"), F.col("pos").alias("first_pos")).join(near, "line_key", "left")
+    judged = places.select("line_key", *DOC, "pos").join(fate, "line_key").withColumns({
         "near": F.coalesce("near", F.lit(False)),
-        "later": ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos")) & (F.col("first.text_key") == F.col("text_key"))),
+        "later": ~(F.col("first_doc").eqNullSafe(F.col("doc_id")) & (F.col("first_pos") == F.col("pos"))),
     })
-    gone = judged.filter("near or later")
-    return gone.groupBy(*DOC).agg(
+    return judged.filter("near or later").groupBy(*DOC).agg(
         F.collect_set("pos").alias("gone"),
         F.count_if(F.col("near")).alias("n_near"),
         F.count_if(~F.col("near")).alias("n_exact"),
