@@ -51,10 +51,6 @@ def words(line: Column) -> Column:
     return F.split(F.trim(line, F.lit(_WHITE)), SPACES)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text_key", text_hash())
-
-
 def _half_keys() -> list[Column]:
     """Keys of either half, as the shorter (or equal) and as the longer line of a pair.
 
@@ -77,7 +73,8 @@ def line_places(docs: DataFrame) -> DataFrame:
     The blank test looks at the line and not at its words, and the outer explode adds no
     test: a filter on a computed column would compute it twice.
     """
-    lines = _keyed(docs).select(*DOC, F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    keyed = docs.select("doc_id", "text", text_hash().alias("text_key"))
+    lines = keyed.select(*DOC, F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     spoken = lines.filter(F.trim("line", F.lit(_WHITE)) != "").select(*DOC, "pos", words(F.col("line")).alias("w"))
     sized = spoken.withColumn("n", F.size("w"))
     return sized.select(
@@ -229,9 +226,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the shortened text and ``n_near``, ``n_exact`` lines taken out of it."""
     gone = dropped_lines(docs)
     kept = [F.col(f"d.{c}") for c in docs.columns if c not in ("text", "n_near", "n_exact")]
-    keyed = _keyed(docs).alias("d")
+    keyed = docs.withColumn("_key", text_hash()).alias("d")
     met = keyed.join(
-        gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_key") == F.col("g.text_key")), "left"
+        gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._key") == F.col("g.text_key")), "left"
     )
     lines = F.split(F.col("d.text"), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g.gone"))
