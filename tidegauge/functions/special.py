@@ -4,32 +4,50 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+from numpy.polynomial import chebyshev
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Abramowitz and Stegun 7.1.26, absolute error below 1.5e-7.
-ERF_P = 0.3275911
-ERF_A = [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
+REACH = 6.0  # beyond, the complement is below one rounding step
+
+
+def _complement_polynomial(degree: int = 26) -> list[float]:
+    """``exp(z * z) * erfc(z)`` on ``[0, REACH]`` as a polynomial in the mapped ``2 / (2 + z)``.
+
+    Interpolated in Chebyshev points, where its coefficients fall off geometrically.
+    """
+    low = 2.0 / (2.0 + REACH)
+    nodes = np.cos(np.pi * (np.arange(degree + 1) + 0.5) / (degree + 1))
+    z = 2.0 / ((nodes + 1.0) / 2.0 * (1.0 - low) + low) - 2.0
+    values = [math.exp(x * x) * math.erfc(x) for x in z]
+    return chebyshev.cheb2poly(chebyshev.chebfit(nodes, values, degree)).tolist()
+
+
+COMPLEMENT = _complement_polynomial()
 
 
 def erf(x: Column) -> Column:
-    k = 1.0 / (1.0 + ERF_P * F.abs(x))
+    """Error function, to about 1e-14."""
+    z = F.least(F.abs(x), F.lit(REACH))
+    low = 2.0 / (2.0 + REACH)
+    y = (2.0 / (2.0 + z) - low) / (1.0 - low) * 2.0 - 1.0
     poly = F.lit(0.0)
-    for a in reversed(ERF_A):
-        poly = (poly + a) * k
-    return F.signum(x) * (1.0 - poly * F.exp(-x * x))
+    for c in reversed(COMPLEMENT):
+        poly = poly * y + c
+    return F.signum(x) * (1.0 - poly * F.exp(-z * z))
 
 
 def normal_cdf(z: Column) -> Column:
     return 0.5 * (1.0 + erf(z / math.sqrt(2.0)))
 
 
-def sql_normal_cdf(z: str) -> str:
-    k = f"(1.0 / (1.0 + {ERF_P} * abs(({z}) / sqrt(2.0))))"
-    poly = "0.0"
-    for a in reversed(ERF_A):
-        poly = f"(({poly} + {a}) * {k})"
-    return f"(0.5 * (1.0 + sign({z}) * (1.0 - {poly} * exp(-({z}) * ({z}) / 2.0))))"
+def sql_normal_cdf(z: str, terms: int = 160) -> str:
+    """Another form for comparison: the series of positive terms around zero."""
+    square = f"least(({z}) * ({z}), 64.0)"
+    series = f"list_reduce(list_transform(range({terms}, 0, -1), lambda k_: k_::DOUBLE), lambda sum_, k_: 1.0 + sum_ * {square} / (2.0 * k_ + 1.0), 1.0::DOUBLE)"
+    half = f"sqrt({square}) * exp(-{square} / 2.0) / sqrt(2.0 * pi()) * {series}"
+    return f"(0.5 + sign({z}) * least(0.5, {half}))"
 
 
 def lgamma(x: Column) -> Column:

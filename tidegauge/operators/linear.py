@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 MAX_COLUMNS = 2_048
 
 
-def column_moments(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """``[1, cols]^T [1, cols]`` summed over all rows.
+def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+
+
+def column_moments(df: DataFrame, cols: Sequence[str], shift: Sequence[float] | None = None) -> np.ndarray:
+    """``[1, cols - shift]^T [1, cols - shift]`` summed over all complete rows.
 
     Each task multiplies its Arrow batches and emits one upper triangle; the
-    driver receives columns x columns numbers, whatever the row count.
+    driver receives columns x columns numbers, whatever the row count. A ``shift``
+    near the means keeps the digits of columns that lie far from zero.
     """
     cols = list(cols)
+    origin = np.zeros(len(cols)) if shift is None else np.array(shift, dtype=float)
     if len(cols) > MAX_COLUMNS:
         raise ValueError(f"at most {MAX_COLUMNS} columns fit one moment matrix")
     width = len(cols) + 1
@@ -29,7 +35,7 @@ def column_moments(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
         for batch in batches:
             x = np.ones((batch.num_rows, width))
             for i in range(width - 1):
-                x[:, i + 1] = batch.column(i).to_numpy(zero_copy_only=False)
+                x[:, i + 1] = batch.column(i).to_numpy(zero_copy_only=False) - origin[i]
             total += x.T @ x
         yield pa.RecordBatch.from_arrays(
             [
@@ -40,10 +46,8 @@ def column_moments(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
             names=["i", "j", "s"],
         )
 
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    sums = (
-        values.mapInArrow(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    )
+    parts = complete_rows(df, cols).mapInArrow(partial, "i int, j int, s double")
+    sums = parts.groupBy("i", "j").agg(F.sum("s").alias("s"))
     out = np.zeros((width, width))
     for i, j, s in sums.collect():  # width * (width + 1) / 2 rows
         out[i, j] = out[j, i] = s
@@ -53,21 +57,25 @@ def column_moments(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
 def ridge_fit(
     df: DataFrame, target: str, companions: Sequence[str], alpha: float = 1.0, standardize: bool = True
 ) -> dict:
-    """Ridge regression of ``target`` on ``companions`` from one pass of moments.
+    """Ridge regression of ``target`` on ``companions`` from the moments about the means.
 
     With ``standardize`` the penalty acts on unit-variance companions and a
-    centred target; without it the intercept stays unpenalised.
+    centred target; without it the intercept stays unpenalised. Rows with a null are
+    left out, ``dropped`` of them.
     """
     companions = list(companions)
     if target in companions:
         raise ValueError("the target cannot be a companion sensor")
-    moments = column_moments(df, [*companions, target])
-    n = moments[0, 0]
-    if n == 0:
+    cols = [*companions, target]
+    first = complete_rows(df, cols).agg(F.count(F.lit(1)), *[F.avg(c) for c in cols]).first()
+    if not first[0]:
         raise ValueError("no complete rows to fit")
+    moments = column_moments(df, cols, first[1:])
+    n = moments[0, 0]
     p = len(companions)
-    mean = moments[0, 1:] / n
-    centred = moments[1:, 1:] - n * np.outer(mean, mean)
+    rest = moments[0, 1:] / n
+    mean = np.array(first[1:]) + rest
+    centred = moments[1:, 1:] - n * np.outer(rest, rest)
     xx, xy, yy = centred[:p, :p], centred[:p, p], centred[p, p]
     scale = np.ones(p)
     if standardize:
@@ -82,6 +90,7 @@ def ridge_fit(
         "weights": weights.tolist(),
         "intercept": float(mean[p] - mean[:p] @ weights),
         "residual_variance": variance,
+        "dropped": df.count() - int(n),
         "r2": float(1.0 - variance / (yy / n)) if yy > 0 else 0.0,
     }
 

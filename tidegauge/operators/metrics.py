@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidegauge.operators.ordered import with_runs
+from tidegauge.operators.ordered import with_rank, with_runs
 from tidegauge.operators.quantiles import exact_quantiles
 from tidegauge.session import staged
 
@@ -476,16 +475,20 @@ def pivot_metric(df: DataFrame, rows: Sequence[str], column: str, values: Sequen
 def rank_runs(
     runs: DataFrame, order: Sequence[Column], metrics: Sequence[str], name: str = "run_name", position: str = "position"
 ) -> DataFrame:
-    """Stable multi-key ranking of a table of runs; nulls and duplicate names are refused."""
+    """Stable multi-key ranking of a table of runs; nulls and duplicate names are refused.
+
+    ``order`` are ascending values (negate a column for the other way); the rows are ranked
+    in sorted range partitions, not in one task.
+    """
     broken = runs.groupBy(name).agg(
         F.count(F.lit(1)).alias("_n"),
         F.max(F.expr(" OR ".join(f"{m} IS NULL" for m in metrics))).alias("_null"),
     ).filter("_n > 1 OR _null")
     if not broken.isEmpty():
         raise ValueError("runs need complete metrics and unique names")
-    return runs.withColumn(
-        "selection_rank", F.row_number().over(Window.orderBy(*order, position)).cast("long")
-    )
+    keys = {f"_o{i}": c for i, c in enumerate(order)}
+    ranked = with_rank(runs.withColumns(keys), [], [*keys, position], "selection_rank")
+    return ranked.withColumn("selection_rank", F.col("selection_rank") + 1).drop(*keys)
 
 
 def pick_config(configs: DataFrame, tie: Sequence[str], fpr: str = "fpr", tpr: str = "tpr") -> DataFrame:

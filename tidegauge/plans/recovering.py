@@ -36,12 +36,28 @@ def block(spark, sf_dir):
     )
 
 
+def _body(rows):
+    """Rows of the block and, per series, the deviation of its history."""
+    std = rows.filter("t < 0").groupBy("series_id").agg(F.stddev_samp("value").alias("train_std"))
+    return rows.filter("t >= 0").select("series_id", "t", F.col("value").alias("x"), "n"), std
+
+
 def attacked(spark, sf_dir, rows=None):
+    """The attacked cells of every stratified step scenario, those of its interval alone."""
+    rows = block(spark, sf_dir) if rows is None else rows
+    body, std = _body(rows)
+    cells = stratified(spark, sf_dir).join(std, "series_id").withColumn(
+        "t", F.explode(F.sequence("onset", F.col("offset") - 1))
+    )
+    joined = cells.join(body, ["series_id", "t"])
+    return joined.withColumn("delta", F.col("amplitude")).withColumn("y", F.col("x") + F.col("delta"))
+
+
+def attacked_whole(spark, sf_dir, rows=None):
     """Every stratified step scenario on the whole block of its series."""
     rows = block(spark, sf_dir) if rows is None else rows
     grid = staged(stratified(spark, sf_dir), "grid")
-    std = rows.filter("t < 0").groupBy("series_id").agg(F.stddev_samp("value").alias("train_std"))
-    body = rows.filter("t >= 0").select("series_id", "t", F.col("value").alias("x"), "n")
+    body, std = _body(rows)
     inside = (F.col("t") >= F.col("onset")) & (F.col("t") < F.col("offset"))
     joined = grid.join(std, "series_id").join(body, "series_id")
     return joined.withColumn("delta", F.when(inside, F.col("amplitude")).otherwise(0.0)).withColumn(
@@ -107,7 +123,7 @@ _register_persistence("seasonal_recovery", 5)
 )
 def undeclared_persistence(spark, sf_dir):
     rows = block(spark, sf_dir)
-    hits = attacked(spark, sf_dir, rows)
+    hits = attacked_whole(spark, sf_dir, rows)
     past = hits.select(*PAIR).distinct().join(rows.filter("t < 0 AND t >= -2"), "series_id")
     whole = hits.select(*PAIR, "t", "y").unionByName(past.select(*PAIR, "t", F.col("value").alias("y")))
     out = recovery.persistence_undeclared(whole, PAIR, 2)
@@ -579,7 +595,7 @@ def run_ranking(spark, sf_dir):
         rnd(F.avg("value"), 8).alias("loss"), rnd(F.avg("label")).alias("fpr"),
         F.max("n").alias("recall"), F.min("value").alias("delay"),
     )
-    order = [F.col("loss"), F.col("fpr"), F.col("recall").desc(), F.col("delay")]
+    order = [F.col("loss"), F.col("fpr"), -F.col("recall"), F.col("delay")]
     out = metrics.rank_runs(staged(runs, "runs"), order, ["loss", "fpr", "recall", "delay"], position="run_name")
     return out.select("selection_rank", "run_name", "loss", "fpr", "recall", "delay")
 
