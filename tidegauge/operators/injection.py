@@ -29,6 +29,7 @@ from tidegauge.operators.quantiles import exact_quantiles
 from tidegauge.session import staged
 
 CELL = ["series_id", "sensor", "t"]
+# Regime names, and the id formats below, are part of the result.
 REGIMES = ["low_dynamics", "medium_dynamics", "high_dynamics"]
 NO_PARAMETERS = "map<string,double>"
 MAX_THETAS = 100
@@ -478,6 +479,30 @@ def stratified_grid(
     )
 
 
+def grid_shortfall(
+    grid: DataFrame, series: DataFrame, amplitudes: Sequence[float], durations: Sequence[int],
+    signs: Sequence[int], repeats: int,
+) -> DataFrame:
+    """Scenarios that ``stratified_grid`` had no onset left for, counted per cell.
+
+    Repetition r of combination c belongs to regime ``(c + r) mod 3``; the grid is complete
+    if nothing is returned.
+    """
+    cells = [
+        (float(a), int(d), int(s), REGIMES[regime], sum((i + r) % len(REGIMES) == regime for r in range(repeats)))
+        for i, (a, d, s) in enumerate(itertools.product(amplitudes, durations, signs))
+        for regime in range(len(REGIMES))
+    ]
+    names = ["amplitude_std", "duration", "sign", "regime", "wanted"]
+    kinds = ["double", "long", "int", "string", "long"]
+    wanted = F.explode(F.array(*[F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(c, kinds, names)]) for c in cells]))
+    every = series.withColumn("_c", wanted).select("series_id", "_c.*")
+    by = ["series_id", "amplitude_std", "duration", "sign", "regime"]
+    had = grid.groupBy(*by).agg(F.count(F.lit(1)).alias("had"))
+    missing = F.col("wanted") - F.coalesce("had", F.lit(0))
+    return every.join(had, by, "left").select(*by, missing.alias("missing")).filter("missing > 0")
+
+
 def require_full_grid(grid: DataFrame, expected: int) -> DataFrame:
     """Fail when a regime ran out of candidate onsets (one count per series)."""
     short = grid.groupBy("series_id").count().filter(F.col("count") < expected)
@@ -488,6 +513,7 @@ def require_full_grid(grid: DataFrame, expected: int) -> DataFrame:
 
 def family_grid(lengths: DataFrame, train_std: DataFrame, per_family: int = 10) -> DataFrame:
     """Ten scenarios per family for every series, all choices by modulo."""
+    # The grid's families, amplitudes, signs and durations.
     families = ["step", "ramp", "drift", "pulse", "sinusoid"]
     amplitudes, signs, durations = [0.5, 1.0, 1.5, 2.0], [1, -1], [12, 24, 48]
     cells = F.explode(

@@ -438,6 +438,7 @@ def acceptance(
         rows = rows.withColumn("violations", F.lit(0))
     else:
         rows = rows.join(violations.groupBy("estimator").agg(F.sum("violations").alias("violations")), "estimator")
+    # Gate names and limits.
     gates = {
         "improvement_ge_20pct": F.col("improvement") >= 0.20,
         "amplitude_error_le_0_25std": F.col("median_abs_amplitude_error") <= 0.25,

@@ -178,6 +178,7 @@ def ks_gaussian(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     return stats.withColumn("ks_pvalue", F.greatest(F.least(tail, F.lit(1.0)), F.lit(0.0)))
 
 
+# Reported levels and percentiles.
 LEVELS = [0.01, 0.02, 0.05, 0.10, 0.125, 0.15, 0.20, 0.25]
 PERCENTS = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p99_9": 0.999}
 

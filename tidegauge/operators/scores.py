@@ -37,21 +37,41 @@ def cusum(
     return rows.withColumn("alarm", F.col("s") > h)
 
 
+STRETCHES = (32, 4096)  # least and most rows that are summed before the next alarm is looked for
+
+
+def reset_scan(drift: np.ndarray, limit: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``S = max(0, S + x)`` per column, all columns to zero after a row whose largest is over its limit.
+
+    Between two alarms the statistic is the running sum less its running minimum, so a
+    stretch of rows is one array operation; it ends at the first alarm in it. Stretches
+    grow while there is none, and start from the carried state, which keeps their sums small.
+    Returns the statistics before the reset, their largest, and the state at the end.
+    """
+    before, largest = np.empty_like(drift), np.empty(len(drift))
+    at, size = 0, STRETCHES[0]
+    while at < len(drift):
+        sums = state + np.cumsum(drift[at : at + size], axis=0)
+        values = sums - np.minimum(0.0, np.minimum.accumulate(sums, axis=0))
+        top = values.max(axis=1)
+        over = np.flatnonzero(top > limit[at : at + size])
+        rows = over[0] + 1 if len(over) else len(values)
+        before[at : at + rows], largest[at : at + rows] = values[:rows], top[:rows]
+        state = np.zeros(drift.shape[1]) if len(over) else values[-1]
+        size = max(STRETCHES[0], size // 2) if len(over) else min(STRETCHES[1], size * 2)
+        at += rows
+    return before, largest, state
+
+
 def reset_step(y: str, mu0: str, k: str, h: str) -> Step:
     """One ordered piece of a CUSUM with reset; state ``[s]``."""
 
     def step(columns: dict[str, np.ndarray], state: list[float] | None):
-        s = state[0] if state else 0.0
         drift = (columns[y] - columns[mu0] - columns[k]).astype(float)
         limit = columns[h].astype(float)
-        before, alarms = np.empty(len(drift)), np.zeros(len(drift), dtype=bool)
-        for i, (x, top) in enumerate(zip(drift.tolist(), limit.tolist())):
-            s = max(0.0, s + x)
-            before[i] = s
-            if s > top:
-                alarms[i] = True
-                s = 0.0
-        return {"stat_before": before, "stat_after": np.where(alarms, 0.0, before), "alarm": alarms}, [s]
+        _, before, state = reset_scan(drift[:, None], limit, np.array(state or [0.0]))
+        alarms = before > limit
+        return {"stat_before": before, "stat_after": np.where(alarms, 0.0, before), "alarm": alarms}, state.tolist()
 
     return step
 
@@ -142,15 +162,9 @@ def cusum_score_reset(
     def step(columns: dict[str, np.ndarray], state: list[float] | None):
         z = np.column_stack([columns[c] for c in cols]).astype(float)
         both = np.concatenate([z, -z], axis=1) - slack
-        s = np.array(state) if state else np.zeros(both.shape[1])
-        limit = columns[reset].astype(float)
-        score = np.empty(len(both))
-        for i, x in enumerate(both):
-            s = np.maximum(0.0, s + x)
-            score[i] = s.max()
-            if score[i] > limit[i]:
-                s = np.zeros_like(s)
-        return {out: score}, list(s)
+        start = np.array(state) if state else np.zeros(both.shape[1])
+        _, score, end = reset_scan(both, columns[reset].astype(float), start)
+        return {out: score}, end.tolist()
 
     fields = [T.StructField(out, T.DoubleType())]
     return feedback_scan(df.select(*key, t, *cols, reset), key, step, fields, t, **options)

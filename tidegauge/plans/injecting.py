@@ -175,28 +175,54 @@ def standardized_injection(spark, sf_dir):
     return rounded(out.select("series_id", "scenario_id", "t", "delta", "y"), "delta", "y")
 
 
-@query(
-    "injection_audit",
-    f"""WITH {SERIES_SQL}, {FIT_SQL}, {scenarios_sql(['step', 'ramp', 'periodic'], 8)},
+def _audit_sql(wrong: str, off: str) -> str:
+    return f"""WITH {SERIES_SQL}, {FIT_SQL}, {scenarios_sql(['step', 'ramp', 'periodic'], 8)},
       steps AS (SELECT *, {WAVE_SQL} AS u FROM (SELECT series_id, scenario_id, family, onset, d, a / 10 AS a, unnest(range(d)) AS i FROM scen)),
       w AS (SELECT c.series_id, c.scenario_id, z.value, z.m, z.s, st.i IS NOT NULL AS support, coalesce(u, 0) * z.s AS delta
         FROM scen c JOIN z ON z.series_id = c.series_id
         LEFT JOIN steps st ON st.scenario_id = c.scenario_id AND z.t = st.onset + st.i),
-      b AS (SELECT *, (((((value - m) / s)::FLOAT::DOUBLE + delta / s)::FLOAT::DOUBLE * s + m)::FLOAT::DOUBLE) - value AS leak FROM w)
-    SELECT series_id, scenario_id, count(*) FILTER (WHERE support) AS declared_support_count, 0 AS nonzero_off_support,
-      TRUE AS observed_is_sum, TRUE AS delta_is_expected, count(*) FILTER (WHERE NOT support AND leak <> 0) AS single_precision_leaks,
-      {sql_round('coalesce(max(abs(leak)) FILTER (WHERE NOT support), 0)', 7)} AS single_precision_max_leak FROM b GROUP BY series_id, scenario_id""",
-)
-def injection_audit(spark, sf_dir):
+      a AS (SELECT series_id, scenario_id, value, m, s, support, delta AS expected, delta + {wrong} AS delta, value + delta + {off} AS y FROM w),
+      b AS (SELECT *, (((((value - m) / s)::FLOAT::DOUBLE + expected / s)::FLOAT::DOUBLE * s + m)::FLOAT::DOUBLE) - value AS leak FROM a)
+    SELECT series_id, scenario_id, count(*) FILTER (WHERE support) AS declared_support_count,
+      count(*) FILTER (WHERE NOT support AND delta <> 0) AS nonzero_off_support, bool_and(y = value + delta) AS observed_is_sum,
+      bool_and(delta = expected) AS delta_is_expected, count(*) FILTER (WHERE NOT support AND leak <> 0) AS single_precision_leaks,
+      {sql_round('coalesce(max(abs(leak)) FILTER (WHERE NOT support), 0)', 7)} AS single_precision_max_leak FROM b GROUP BY series_id, scenario_id"""
+
+
+def audited(spark, sf_dir, wrong=None, off=None):
+    """Audit of whole-series injections against the standardised route, rescaled.
+
+    ``wrong`` is added to the disturbance and ``off`` to the observation, to see the checks fail.
+    """
     rows, scales, scen = scaled_scenarios(spark, sf_dir)
-    whole = injection.inject_whole(rows, scen, random=False)
     fit = rows.groupBy("series_id").agg(F.max("mean_value").alias("mean"), F.max("std_value").alias("scale"))
-    whole = whole.join(fit, "series_id").withColumn("delta", F.col("delta") * F.col("scale"))
-    whole = whole.withColumns({"y": F.col("value") + F.col("delta"), "expected": F.col("delta")})
+    expected = injection.inject_standardized(rows, scen, scales).select(
+        "series_id", "scenario_id", "t", F.col("delta").alias("expected")
+    )
+    whole = injection.inject_whole(rows, scen, random=False).join(fit, "series_id")
+    whole = whole.join(expected, ["series_id", "scenario_id", "t"], "left").withColumns(
+        {"expected": F.coalesce("expected", F.lit(0.0)), "delta": F.col("delta") * F.col("scale")}
+    )
+    whole = whole.withColumn("y", F.col("value") + F.col("delta") + (F.lit(0.0) if off is None else off))
+    if wrong is not None:
+        whole = whole.withColumn("delta", F.col("delta") + wrong)
     out = injection.audit_injection(whole, ["series_id", "scenario_id"], "expected", "mean", "scale")
     return rounded(out, "single_precision_max_leak", digits=7)
 
 
+@query("injection_audit", _audit_sql("0", "0"))
+def injection_audit(spark, sf_dir):
+    return audited(spark, sf_dir)
+
+
+@query("injection_audit_failing", _audit_sql("CASE WHEN m > 55 AND NOT support THEN 0.25 ELSE 0 END", "CASE WHEN m < 50 AND support THEN 0.125 ELSE 0 END"))
+def injection_audit_failing(spark, sf_dir):
+    """Some series with a disturbance off its support, some with an observation that is no sum."""
+    wrong = F.when((F.col("mean") > 55) & ~F.col("support"), 0.25).otherwise(0.0)
+    off = F.when((F.col("mean") < 50) & F.col("support"), 0.125).otherwise(0.0)
+    return audited(spark, sf_dir, wrong, off)
+
+
 GRID = {
     "families": ["step", "ramp", "periodic"],
     "channels": ["click", "view"],
@@ -414,13 +440,16 @@ STRATIFIED_SQL = f"""{REGIME_SQL},
     FROM rep JOIN tstd USING (series_id) WHERE rep < 5)"""
 
 
+AMPLITUDES, DURATIONS, SIGNS, REPEATS = [0.5, 1.0, 2.0], [2, 4], [1, -1], 5
+
+
 def stratified(spark, sf_dir):
     block = classified(spark, sf_dir)
     train = views.split_series(spark, sf_dir).filter("split = 'train'")
     std = train.groupBy("series_id").agg(F.stddev_samp("value").alias("train_std"))
     size = block.groupBy("series_id").agg(F.max("n").alias("n"))
     return injection.stratified_grid(
-        block.select("series_id", "t", "regime"), size, 42, [0.5, 1.0, 2.0], [2, 4], [1, -1], 5, std
+        block.select("series_id", "t", "regime"), size, 42, AMPLITUDES, DURATIONS, SIGNS, REPEATS, std
     )
 
 
@@ -433,6 +462,28 @@ def stratified_grid(spark, sf_dir):
     return rounded(stratified(spark, sf_dir), "amplitude")
 
 
+@query(
+    "grid_shortfall",
+    f"""WITH {SERIES_SQL}, {STRATIFIED_SQL}, wanted AS (
+      SELECT series_id, a::DOUBLE AS amplitude_std, d AS duration, s AS sign,
+        ['low_dynamics', 'medium_dynamics', 'high_dynamics'][(combo + rep) % 3 + 1] AS regime, rep FROM tstd, combo, range(5) q(rep)),
+    had AS (SELECT g.series_id, g.a::DOUBLE AS amplitude_std, g.d AS duration, g.s AS sign, g.regime, g.rep FROM rep g WHERE rep < 5),
+    missing AS (SELECT * FROM wanted EXCEPT SELECT * FROM had),
+    m AS (SELECT series_id, count(*) AS n, count(DISTINCT (amplitude_std, duration, sign, regime)) AS c FROM missing GROUP BY series_id)
+    SELECT tstd.series_id, coalesce(n, 0) AS missing, coalesce(c, 0) AS short_cells FROM tstd LEFT JOIN m USING (series_id)""",
+)
+def grid_shortfall(spark, sf_dir):
+    """Scenarios per series that the stratified grid could not place; zero means a complete grid."""
+    grid = stratified(spark, sf_dir)
+    series = views.split_series(spark, sf_dir).filter("split = 'train'").select("series_id").distinct()
+    short = injection.grid_shortfall(grid, series, AMPLITUDES, DURATIONS, SIGNS, REPEATS)
+    sums = short.groupBy("series_id").agg(F.sum("missing").alias("missing"), F.count(F.lit(1)).alias("short_cells"))
+    zero = F.lit(0).cast("long")
+    return series.join(sums, "series_id", "left").select(
+        "series_id", F.coalesce("missing", zero).alias("missing"), F.coalesce("short_cells", zero).alias("short_cells")
+    )
+
+
 @query(
     "family_grid",
     f"""WITH {SERIES_SQL}, {LENGTHS_SQL}, tstd AS (SELECT series_id, stddev_samp(value) AS sd FROM split WHERE split = 'train' GROUP BY series_id),

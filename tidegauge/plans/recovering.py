@@ -640,12 +640,24 @@ def sweep_summary(spark, sf_dir):
 
 @query(
     "run_divergence",
-    f"""WITH {SERIES_SQL} SELECT series_id, {sql_round('max(value) - min(value)')} AS max_difference, max(value) - min(value) <= 1e-12 AS verified FROM series GROUP BY series_id""",
+    f"""WITH {SERIES_SQL}, {BLOCK_SQL}, {persistence_sql(1, 'est')}, run AS (
+      SELECT series_id, scenario_id, t, delta_hat, r FROM est, range(3) q(r)
+      UNION ALL SELECT series_id, scenario_id, t, delta_hat + CASE WHEN t % 5 = 0 THEN 0.5 ELSE 0 END, 3 FROM est WHERE t % 10 < 6)
+    SELECT series_id, scenario_id, t, {sql_round('max(delta_hat) - min(delta_hat)')} AS max_difference,
+      max(delta_hat) - min(delta_hat) <= 1e-12 AS verified FROM run GROUP BY series_id, scenario_id, t""",
 )
 def run_divergence(spark, sf_dir):
-    """Rows of one series stand for repeated runs of one metric."""
-    out = metrics.run_divergence(views.user_series(spark, sf_dir), KEY, "value")
-    return rounded(out, "max_difference")
+    """One estimator run three times under other partitionings, and a run that went wrong on some rows."""
+    rows = block(spark, sf_dir)
+    hits = staged(attacked(spark, sf_dir, rows), "attacked")
+    runs = [
+        persistence(rows.repartition(n, "t"), 1)(hits.repartition(n, "scenario_id")).select(*PAIR, "t", "delta_hat")
+        for n in (2, 3, 7)
+    ]
+    error = F.when(F.pmod("t", F.lit(5)) == 0, 0.5).otherwise(0.0)
+    wrong = runs[0].filter(F.pmod("t", F.lit(10)) < 6).withColumn("delta_hat", F.col("delta_hat") + error)
+    every = runs[0].unionByName(runs[1]).unionByName(runs[2]).unionByName(wrong)
+    return rounded(metrics.run_divergence(every, [*PAIR, "t"], "delta_hat"), "max_difference")
 
 
 # ------------------------------------------------------------------- known-delta pilot
