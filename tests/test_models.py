@@ -199,3 +199,32 @@ def test_candidate_norms_agree_with_all_pairs(spark):
     assert l1["ambiguous"] is False and l1["certified"]
     open_case = recovery.candidate_separation(df, tau=1e6).first()
     assert open_case["ambiguous"] is None and not open_case["certified"]
+
+
+def test_axes_belong_to_their_key(spark):
+    rng = np.random.default_rng(3)
+    blocks = {"a": rng.normal(size=(60, 3)) @ np.diag([5.0, 1.0, 0.2]), "b": rng.normal(size=(50, 3)) @ np.diag([0.1, 1.0, 7.0])}
+    rows = [(k, i, *map(float, x)) for k, block in blocks.items() for i, x in enumerate(block)]
+    df = spark.createDataFrame(rows, "series_id string, t long, x double, y double, z double").repartition(3)
+    cols = ["x", "y", "z"]
+    axes = scores.keyed_axes(df, ["series_id"], cols, 2)
+    got = {(r["series_id"], r["t"]): r["pca_spe"] for r in scores.keyed_spe_score(df, ["series_id"], cols, axes).collect()}
+    for k, block in blocks.items():
+        _, _, v = np.linalg.svd(block, full_matrices=False)
+        want = (block**2).sum(axis=1) - ((block @ v[:2].T) ** 2).sum(axis=1)
+        assert np.allclose([got[k, i] for i in range(len(block))], want, atol=1e-9)
+
+
+def test_reset_scan_against_a_loop():
+    rng = np.random.default_rng(8)
+    for level in (-0.4, 0.1, 2.0):
+        drift = rng.normal(level, 1.0, size=(9000, 2))
+        limit = rng.uniform(3, 6, size=9000)
+        before, largest, end = scores.reset_scan(drift, limit, np.array([1.0, 0.0]))
+        s = np.array([1.0, 0.0])
+        for i, x in enumerate(drift):
+            s = np.maximum(0.0, s + x)
+            assert np.allclose(before[i], s, atol=1e-9) and abs(largest[i] - s.max()) < 1e-9
+            if s.max() > limit[i]:
+                s = np.zeros(2)
+        assert np.allclose(end, s, atol=1e-9)

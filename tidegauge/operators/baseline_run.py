@@ -72,8 +72,8 @@ def run_baselines(
     rows = parts.filter("split <> 'train'")
     train_z = parts.filter("split = 'train'")
     for names, prefix in ((cols, ""), (residuals, "residual_")):
-        axes = scores.principal_axes(train_z, names, components)
-        rows = scores.spe_score(rows, names, axes, f"{prefix}pca_spe")
+        axes = staged(scores.keyed_axes(train_z, key, names, components), "axes")
+        rows = scores.keyed_spe_score(rows, key, names, axes, f"{prefix}pca_spe")
         rows = scores.ewma_score(rows, part_key, names, alpha, out=f"{prefix}ewma", longest=longest)
     rows = scores.cusum_score(rows, part_key, cols, slack, out="cusum", longest=longest)
     rows = scores.cusum_score(rows, part_key, residuals, slack, out="residual_cusum", longest=longest)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,10 @@ from tidegauge.operators.ordered import (
     with_runs,
 )
 from tidegauge.operators.scaling import apply_scaler, fit_scaler, persistence_residual
+from tidegauge.session import staged
 
 
+MAX_SENT_KEYS = 10_000  # axes of more keys are joined by a shuffle and not sent to every task
 EXPRESSION_TERMS = 64  # larger projections leave the generated code
 
 
@@ -195,6 +198,56 @@ def principal_axes(train: DataFrame, cols: Sequence[str], components: int) -> li
     return axes[:, order].T.tolist()
 
 
+def keyed_axes(train: DataFrame, key: Sequence[str], cols: Sequence[str], components: int) -> DataFrame:
+    """``principal_axes`` of every key by itself: the key and ``axes``, one array per component.
+
+    A task multiplies its Arrow batches key by key; one Gram matrix per key and task is
+    exchanged, and the axes of a key are found where its sums meet.
+    """
+    key, cols = list(key), list(cols)
+    if not 1 <= components <= len(cols):
+        raise ValueError("components must be between 1 and the sensor count")
+    width = len(cols)
+    fields = [train.schema[k] for k in key]
+    grams = T.StructType([*fields, T.StructField("gram", T.ArrayType(T.DoubleType()))])
+    found = T.StructType([*fields, T.StructField("axes", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = batch.to_pandas()
+            rows = []
+            for name, part in table.groupby(key, dropna=False):
+                x = part[cols].to_numpy(float)
+                rows.append({**dict(zip(key, name)), "gram": (x.T @ x).ravel().tolist()})
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[*key, "gram"]), preserve_index=False)
+
+    def axes(part: pd.DataFrame) -> pd.DataFrame:
+        gram = np.sum([np.array(g) for g in part["gram"]], axis=0).reshape(width, width)
+        values, vectors = np.linalg.eigh(gram)
+        top = np.argsort(values)[::-1][:components]
+        return part[key].head(1).assign(axes=[vectors[:, top].T.tolist()])
+
+    values = train.select(*key, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
+    return values.mapInArrow(partial, grams).groupBy(*key).applyInPandas(axes, found)
+
+
+def keyed_spe_score(
+    df: DataFrame, key: Sequence[str], cols: Sequence[str], axes: DataFrame, out: str = "pca_spe"
+) -> DataFrame:
+    """``spe_score`` with every key's own axes from ``keyed_axes``."""
+    cols = list(cols)
+    total = sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
+    x = F.array(*cols)
+    dots = F.transform(
+        "_axes", lambda axis: F.aggregate(F.zip_with(axis, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    )
+    kept = F.aggregate(dots, F.lit(0.0), lambda s, v: s + v * v)
+    small = axes.withColumnRenamed("axes", "_axes")
+    if small.limit(MAX_SENT_KEYS + 1).count() <= MAX_SENT_KEYS:
+        small = F.broadcast(small)
+    return df.join(small, list(key), "left").withColumn(out, total - kept).drop("_axes")
+
+
 def spe_score(
     df: DataFrame, cols: Sequence[str], axes: Sequence[Sequence[float]], out: str = "pca_spe"
 ) -> DataFrame:
@@ -236,8 +289,8 @@ def baseline_scores(
 ) -> DataFrame:
     """CUSUM, EWMA and PCA residual scores of ``df`` standardised from ``train``."""
     params = fit_scaler(train, key, cols)
-    axes = principal_axes(apply_scaler(train, params, key, cols), cols, components)
-    rows = spe_score(apply_scaler(df, params, key, cols), cols, axes, f"{prefix}pca_spe")
+    axes = staged(keyed_axes(apply_scaler(train, params, key, cols), key, cols, components), "axes")
+    rows = keyed_spe_score(apply_scaler(df, params, key, cols), key, cols, axes, f"{prefix}pca_spe")
     longest = longest_series(df, t)
     rows = ewma_score(rows, key, cols, alpha, t, f"{prefix}ewma", longest)
     if reset is None:
