@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -58,8 +59,32 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
+# All intermediates of one run lie in one folder, which goes with the session.
+RUN = f"run-{uuid.uuid4().hex}"
+_made: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{work_folder(spark)}/{RUN}"
+    if folder not in _made:
+        _made.add(folder)
+        atexit.register(_remove_at_exit, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete the intermediates of this run; DataFrames that read them end with it."""
+    _remove(spark, f"{work_folder(spark)}/{RUN}")
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped context can't reach its file system
+        _remove(spark, folder)
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
