@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import linear, recovery, scores, solver
+from tidegauge.operators import injection, linear, modelling, recovery, scores, solver
 from tidegauge.operators.baseline_run import run_baselines
 
 KEY = ["series_id"]
@@ -228,3 +228,26 @@ def test_reset_scan_against_a_loop():
             if s.max() > limit[i]:
                 s = np.zeros(2)
         assert np.allclose(end, s, atol=1e-9)
+
+
+def test_many_reversion_rates_give_the_same_walk(spark, monkeypatch):
+    rows = [("s", f"c{i}", "ou", ["v"], 3, 40 + i, 5.0, {"theta": 0.05 * (i + 1)}) for i in range(4)]
+    df = spark.createDataFrame(
+        rows,
+        "series_id string, scenario_id string, family string, sensors array<string>, onset long, duration long, amplitude double, parameters map<string,double>",
+    )
+    run = lambda: {(r["scenario_id"], r["i"]): r["delta"] for r in injection.scenario_deltas(df, 7).collect()}
+    want = run()
+    monkeypatch.setattr(injection, "MAX_THETAS", 1)
+    got = run()
+    assert want.keys() == got.keys() and len(want) > 150 and all(abs(want[k] - got[k]) < 1e-9 for k in want)
+
+
+def test_shape_search_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(x)) for g in "abc" for x in rng.standard_t(4, size=300)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    run = lambda: {r["g"]: (r["loc"], r["scale"], r["shape"], r["converged"]) for r in modelling.fit_shape(df, ["g"], "x", "student_t").collect()}
+    want = run()
+    monkeypatch.setattr(modelling, "MAX_GROUPS", 1)
+    assert all(np.allclose(run()[g][:3], want[g][:3]) and want[g][3] for g in "abc")

@@ -11,8 +11,10 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidegauge.functions.hashing import gaussian, seeded_digest, uniform, uniform_int
@@ -24,7 +26,7 @@ from tidegauge.functions.waveforms import (
     waveform,
 )
 from tidegauge.operators.metrics import count_if
-from tidegauge.operators.ordered import geometric_scan, prefix_sum, with_lag
+from tidegauge.operators.ordered import feedback_scan, geometric_scan, prefix_sum, with_lag
 from tidegauge.operators.quantiles import exact_quantiles
 from tidegauge.session import staged
 
@@ -32,7 +34,7 @@ CELL = ["series_id", "sensor", "t"]
 # Regime names, and the id formats below, are part of the result.
 REGIMES = ["low_dynamics", "medium_dynamics", "high_dynamics"]
 NO_PARAMETERS = "map<string,double>"
-MAX_THETAS = 100
+MAX_THETAS = 100  # so many reversion rates get a plan branch each; more run row by row in one
 
 
 def no_parameters() -> Column:
@@ -88,6 +90,19 @@ def _brownian(steps: DataFrame, seed: int) -> DataFrame:
     ).drop("_peak")
 
 
+_DELTA = T.StructField("delta", T.DoubleType())
+
+
+def _reverting_step(columns: dict[str, np.ndarray], state: list[float] | None):
+    """``s = rho * s + x`` with the rate as a column."""
+    s = state[0] if state else 0.0
+    out = np.empty(len(columns["_x"]))
+    for i, (rho, x) in enumerate(zip(columns["_rho"].tolist(), columns["_x"].tolist())):
+        s = rho * s + x
+        out[i] = s
+    return {"delta": out}, [s]
+
+
 def _mean_reverting(steps: DataFrame, seed: int) -> DataFrame:
     key = ["series_id", "scenario_id"]
     amp, p = F.col("amplitude"), F.col("parameters")
@@ -102,7 +117,8 @@ def _mean_reverting(steps: DataFrame, seed: int) -> DataFrame:
     )
     ratios = [r[0] for r in steps.select("_rho").distinct().limit(MAX_THETAS + 1).collect()]
     if len(ratios) > MAX_THETAS:
-        raise ValueError(f"at most {MAX_THETAS} distinct reversion rates per call")
+        scanned = feedback_scan(steps.select(*key, "i", "_rho", "_x"), key, _reverting_step, [_DELTA], "i")
+        return steps.drop("_rho", "_x").join(scanned, [*key, "i"])
     parts = [
         geometric_scan(steps.filter(F.col("_rho") == r), key, {"delta": F.col("_x")}, r, "i") for r in ratios
     ]

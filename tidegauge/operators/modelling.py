@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from tidegauge.operators.quantiles import exact_quantiles
 from tidegauge.session import staged
 
 MIN_SAMPLES = 10
-MAX_GROUPS = 10_000
+MAX_GROUPS = 10_000  # groups searched together; more are searched in slices
 SHAPE_RANGE = (0.05, 1e4)
 SHAPES = {"student_t": "df", "ged": "beta"}
 
@@ -71,7 +72,8 @@ def fit_shape(
 
     Each round is one aggregate with the 27 neighbours of every group's current
     point as 27 sums; a group whose centre wins halves its steps. Only one row
-    per group reaches the driver, and their number is checked.
+    per group reaches the driver, at most ``MAX_GROUPS`` at a time. ``converged`` tells
+    whether a group's steps got below the tolerance within the rounds.
     """
     if family not in SHAPES:
         raise ValueError(f"unknown family {family!r}")
@@ -83,9 +85,14 @@ def fit_shape(
     start = data.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("_x").alias("loc"), F.stddev_pop("_x").alias("scale")
     )
-    groups = start.filter(F.col("n") >= MIN_SAMPLES).limit(MAX_GROUPS + 1).collect()
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"at most {MAX_GROUPS} groups per likelihood search")
+    start = staged(start.filter(F.col("n") >= MIN_SAMPLES), "groups")
+    count = start.count()
+    if count > MAX_GROUPS:
+        slices = -(-2 * count // MAX_GROUPS)
+        place = F.pmod(F.xxhash64(*by), F.lit(slices))
+        parts = [fit_shape(df.filter(place == i), by, x, family, rounds, tolerance) for i in range(slices)]
+        return reduce(DataFrame.unionByName, parts)
+    groups = start.collect()
     key_fields = [data.schema[c] for c in by]
     schema = T.StructType([*key_fields, T.StructField("q", T.ArrayType(T.DoubleType()))])
     spread = 1.0 if family == "student_t" else math.sqrt(2.0)
@@ -129,12 +136,13 @@ def fit_shape(
         key_fields
         + [T.StructField("n", T.LongType())]
         + [T.StructField(c, T.DoubleType()) for c in ("loc", "scale", "shape", "log_likelihood")]
+        + [T.StructField("converged", T.BooleanType())]
     )
-    rows = [(*k, sizes[k], *p[:3], fitted[k]) for k, p in state.items()]
+    rows = [(*k, sizes[k], *p[:3], fitted[k], p[3] <= tolerance) for k, p in state.items()]
     ll = F.col("log_likelihood")
     return spark.createDataFrame(rows, result).select(
         *by, F.lit(family).alias("family"), "n", "loc", "scale", "shape", "log_likelihood",
-        (6.0 - 2.0 * ll).alias("aic"), (3.0 * F.ln("n") - 2.0 * ll).alias("bic"),
+        (6.0 - 2.0 * ll).alias("aic"), (3.0 * F.ln("n") - 2.0 * ll).alias("bic"), "converged",
     )
 
 
@@ -148,7 +156,7 @@ def rank_models(fits: DataFrame, by: Sequence[str], criterion: str = "aic") -> D
 
 def fit_all(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """Gaussian, Student-t and generalised error fits of every group in one table."""
-    gaussian = fit_gaussian(df, by, x).withColumns({"family": F.lit("gaussian"), "shape": F.lit(None).cast("double")})
+    gaussian = fit_gaussian(df, by, x).withColumns({"family": F.lit("gaussian"), "shape": F.lit(None).cast("double"), "converged": F.lit(True)})
     out = gaussian
     for family in SHAPES:
         out = out.unionByName(fit_shape(df, by, x, family))

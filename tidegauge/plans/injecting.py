@@ -380,7 +380,7 @@ def rejected_scenarios(spark, sf_dir):
     base = series_scenarios(rows, ["step"], 8)
     name = F.col("series_id").cast("string")
     bad = (
-        base.unionByName(base.withColumns({"scenario_id": F.concat(name, F.lit("_late")), "duration": F.lit(10_000).cast("long")}))
+        base.unionByName(base.withColumns({"scenario_id": F.concat(name, F.lit("_late")), "duration": F.col("onset") * 3 + 3}))
         .unionByName(base.withColumns({"scenario_id": F.concat(name, F.lit("_odd")), "family": F.lit("sawtooth")}))
         .unionByName(
             base.withColumns({"scenario_id": F.concat(name, F.lit("_twice")), "sensors": F.array(F.lit("value"), F.lit("value"))})

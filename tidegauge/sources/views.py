@@ -75,6 +75,9 @@ def _hour_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.date_trunc("hour", "ts").alias("hour"), "event_type", "value"
     )
+    others = events.filter(~F.col("event_type").isin(PANEL_SENSORS)).select("event_type").limit(1).collect()
+    if others:
+        raise ValueError(f"event type {others[0][0]!r} has no column in the panel")
     cells = events.groupBy("hour").pivot("event_type", PANEL_SENSORS).agg(F.avg("value"))
     bounds = events.agg(F.min("hour").alias("h0"), F.max("hour").alias("h1"))
     spine = bounds.select(
@@ -95,6 +98,8 @@ def _hour_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 64-sensor series: columns ``v0..v63`` in ``vec_id`` order."""
     raw = table(spark, sf_dir, "embeddings")
+    if raw.filter(F.size("embedding") != VECTOR_WIDTH).limit(1).count():
+        raise ValueError(f"every vector needs {VECTOR_WIDTH} numbers")
     return raw.select(
         F.lit("vec").alias("series_id"),
         F.col("vec_id").alias("t"),
