@@ -45,7 +45,7 @@ from tidegauge.session import spread, staged
 MASS = 200.0
 
 # Text in one block, and in one hash range of keys. Both are what a task holds at once.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 RANGE_CHARS = 4_000_000
 
 MODULUS, HELD_OUT = 7, 2
