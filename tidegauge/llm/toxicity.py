@@ -218,13 +218,14 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
     return frozenset(r["phrase"] for r in able.orderBy(F.desc("docs"), "phrase").limit(MAX_STEMS).collect())
 
 
-def _curve(density: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+def _curve(density: np.ndarray, toxic: np.ndarray, count: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a slightly regularised logistic regression, by Newton steps."""
     x = np.column_stack([density, np.ones(len(density))])
     theta, penalty = np.zeros(2), np.diag([1e-3, 1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -50, 50)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (toxic - p) - penalty @ theta)
+        bend = (x * (count * p * (1 - p))[:, None]).T @ x + penalty
+        step = np.linalg.solve(bend, x.T @ (count * (toxic - p)) - penalty @ theta)
         theta = theta + step
         if np.abs(step).max() < 1e-9:
             break
@@ -251,8 +252,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
             out = [(lexicon.density(text), toxic) for text, toxic in _rows(batch)]
             yield _pairs(out, ["density", "toxic"], [pa.float64(), pa.int64()])
 
-    told = rows.mapInArrow(run, "density double, toxic bigint").orderBy("density", "toxic").toPandas()
-    slope, offset = _curve(told["density"].to_numpy(), told["toxic"].to_numpy(float))
+    told = rows.mapInArrow(run, "density double, toxic bigint").groupBy("density", "toxic").count().toPandas()
+    told = told.sort_values(["density", "toxic"])
+    slope, offset = _curve(told["density"].to_numpy(), told["toxic"].to_numpy(float), told["count"].to_numpy(float))
     return Lexicon(weights, lexicon.exceptions, slope, offset)
 
 
