@@ -80,7 +80,9 @@ def test_tree_deals_the_quotas_exactly(llm):
     assert len({(d["s"], d["block"], d["pass"]) for d in dealt}) == len(dealt) == sum(want.values())
 
 
-def test_mixture_has_whole_texts(docs, empty, clashing):
+@pytest.mark.parametrize("sent", [mixing.BROADCAST_ROWS, 0])
+def test_mixture_has_whole_texts(docs, empty, clashing, monkeypatch, sent):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", sent)
     by_key = defaultdict(set)
     for r in docs.collect():
         by_key[r["doc_id"]].add(r["text"])
