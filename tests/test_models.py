@@ -81,9 +81,24 @@ def test_rolling_recovery_never_looks_ahead(spark):
     assert a["delta_hat"][16] == pytest.approx(whole["delta_hat"].iloc[-1], abs=1e-12)
 
 
-def test_long_offline_problems_are_refused(spark):
-    with pytest.raises(ValueError):
-        solver.recover_whole(problem(spark, np.zeros(solver.MAX_ROWS + 1)), ["k"], solver.step_terms(1, 0))
+@pytest.mark.parametrize("terms", [solver.step_terms(1.0, 0.05), solver.trend_terms(0.05, 0.5, 1.0), solver.trend_terms(0.1, 0.0, 2.0)])
+def test_band_solves_the_system(terms):
+    rng = np.random.default_rng(4)
+    for n in (3, 4, 5, 60):
+        right = rng.normal(size=(6, n))
+        assert np.allclose(solver.Band(n, 0.7, terms)(right), solver._dense(n, 0.7, terms)(right), atol=1e-11)
+
+
+def test_long_offline_problem(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    r = rng.normal(0, 0.1, 300) + np.where(np.arange(300) > 150, 2.0, 0.0)
+    run = lambda x, **o: solver.recover_whole(problem(spark, x), ["k"], solver.step_terms(1.0, 0.05), **o).orderBy("t").toPandas()
+    want = run(r)
+    monkeypatch.setattr(solver, "DENSE_ROWS", 10)
+    assert np.allclose(run(r)["delta_hat"], want["delta_hat"], atol=1e-9)
+    long = np.where(np.arange(20_000) > 9_000, 2.0, 0.0)
+    got = run(long, max_iter=12)
+    assert len(got) == 20_000 and abs(got["delta_hat"].iloc[15_000] - 2.0) < 0.2
 
 
 @pytest.mark.parametrize("standardize", [True, False])

@@ -6,7 +6,7 @@ task stacks problems of equal length into a matrix and runs all of them in step.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from tidegauge.operators.ordered import trailing_lists
 from tidegauge.session import spread
 
-MAX_ROWS = 4_096  # length of one offline problem; rolling windows serve longer series
+DENSE_ROWS = 1_024  # up to this length the system's inverse is kept; longer ones use its band
+KEPT_SYSTEMS = 32  # solved systems that a task keeps, by length
 STACK = 512  # problems solved together, small enough to stay in cache
 
 
@@ -54,9 +55,60 @@ def objective(r: np.ndarray, d: np.ndarray, weight: float, terms: Sequence[tuple
     return loss
 
 
+class Band:
+    """Factors of the system ``w I + sum rho D^T D``, whose band is two wide at most.
+
+    Memory and work are linear in the length, so a problem may be a whole series.
+    """
+
+    def __init__(self, n: int, weight: float, terms: Sequence[tuple]):
+        main, one, two = np.full(n, float(weight)), np.zeros(n), np.zeros(n)
+        for order, _, _, rho in terms:
+            stencil = np.array([[1.0], [-1.0, 1.0], [1.0, -2.0, 1.0]][order]) * 1.0
+            last = n - order
+            for i, a in enumerate(stencil):
+                main[i : i + last] += rho * a * a
+                for gap, off in ((1, one), (2, two)):
+                    if i + gap < len(stencil):
+                        off[i : i + last] += rho * a * stencil[i + gap]
+        a0, a1, a2 = main.tolist(), one.tolist(), two.tolist()
+        d, l1, l2 = [0.0] * n, [0.0] * (n + 2), [0.0] * (n + 2)
+        for i in range(n):
+            if i > 1:
+                l2[i] = a2[i - 2] / d[i - 2]
+            if i > 0:
+                l1[i] = (a1[i - 1] - (l2[i] * d[i - 2] * l1[i - 1] if i > 1 else 0.0)) / d[i - 1]
+            d[i] = a0[i] - (l1[i] ** 2 * d[i - 1] if i > 0 else 0.0) - (l2[i] ** 2 * d[i - 2] if i > 1 else 0.0)
+        self.d, self.l1, self.l2 = np.array(d), l1, l2
+
+    def __call__(self, right: np.ndarray) -> np.ndarray:
+        """Forward and backward substitution, for all rows in step."""
+        x = np.ascontiguousarray(right.T)
+        n, l1, l2 = len(x), self.l1, self.l2
+        for i in range(1, n):
+            x[i] -= l1[i] * x[i - 1]
+            if i > 1:
+                x[i] -= l2[i] * x[i - 2]
+        x /= self.d[:, None]
+        for i in range(n - 2, -1, -1):
+            x[i] -= l1[i + 1] * x[i + 1]
+            if i + 2 < n:
+                x[i] -= l2[i + 2] * x[i + 2]
+        return np.ascontiguousarray(x.T)
+
+
+def _dense(n: int, weight: float, terms: Sequence[tuple]) -> Callable[[np.ndarray], np.ndarray]:
+    system = weight * np.eye(n)
+    for order, _, _, rho in terms:
+        difference = np.diff(np.eye(n), n=order, axis=0)
+        system += rho * difference.T @ difference
+    matrix = np.linalg.inv(system)
+    return lambda right: right @ matrix
+
+
 def solve_stack(
     r: np.ndarray, low: np.ndarray, high: np.ndarray, weight: float, terms: Sequence[tuple],
-    max_iter: int, tol: float, least_iter: int, watch_box: bool, inverses: dict,
+    max_iter: int, tol: float, least_iter: int, watch_box: bool, inverses: dict[int, Callable],
 ) -> tuple[np.ndarray, np.ndarray]:
     """Minimise ``w/2 |r-d|^2 + sum_k penalty_k |D^k d|_1`` in the box, row by row of ``r``.
 
@@ -70,11 +122,9 @@ def solve_stack(
         return d, iterations
     terms = [term for term in terms if n > term[0]]
     if n not in inverses:
-        system = weight * np.eye(n)
-        for order, _, _, rho in terms:
-            difference = np.diff(np.eye(n), n=order, axis=0)
-            system += rho * difference.T @ difference
-        inverses[n] = np.linalg.inv(system)
+        if len(inverses) >= KEPT_SYSTEMS:
+            inverses.clear()
+        inverses[n] = Band(n, weight, terms) if n > DENSE_ROWS else _dense(n, weight, terms)
     inverse = inverses[n]
 
     out = d.copy()
@@ -85,7 +135,7 @@ def solve_stack(
         right = weight * r
         for (order, _, _, rho), zk, uk in zip(terms, z, u):
             right += rho * difference_transposed(zk - uk, order)
-        new = right @ inverse
+        new = inverse(right)
         gap = np.zeros(len(active))
         moved = np.max(np.abs(new - d), axis=1)
         for k, (order, penalty, boxed, rho) in enumerate(terms):
@@ -140,7 +190,7 @@ def solve_problems(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inverses: dict[int, np.ndarray] = {}
+        inverses: dict[int, Callable] = {}
         for batch in batches:
             table = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             starts, r = _lists(table["r"])
@@ -151,8 +201,6 @@ def solve_problems(
             counts = np.zeros(batch.num_rows, dtype=np.int32)
             losses = np.zeros(batch.num_rows)
             for n in np.unique(sizes):
-                if n > MAX_ROWS:
-                    raise ValueError(f"problems are limited to {MAX_ROWS} rows; use rolling windows")
                 same = np.flatnonzero(sizes == n)
                 for begin in range(0, len(same), STACK):
                     at = same[begin : begin + STACK]
@@ -188,11 +236,9 @@ def delta_bounds(y: Column, x_min: Column, x_max: Column, inside: Column | None
 def whole_problems(rows: DataFrame, key: Sequence[str], t: str = "t") -> DataFrame:
     """One problem per key from rows ``(t, r, low, high)``.
 
-    A problem is one block or one event-centred crop. A longer one is refused
-    before any row is collected; rolling windows have no such bound.
+    A problem is one block or one event-centred crop, whose arrays one task holds; the
+    solution of a whole series couples all its rows. Rolling windows have no such bound.
     """
-    if not rows.groupBy(*key).count().filter(F.col("count") > MAX_ROWS).isEmpty():
-        raise ValueError(f"problems are limited to {MAX_ROWS} rows; use rolling windows")
     cells = F.sort_array(F.collect_list(F.struct(t, "r", "low", "high")))
     return spread(rows, *key).groupBy(*key).agg(cells.alias("_c")).select(
         *key, F.col(f"_c.{t}").alias(t), F.col("_c.r").alias("r"), F.col("_c.low").alias("low"), F.col("_c.high").alias("high")
