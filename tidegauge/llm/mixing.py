@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import SPACES, query, table, text_hash
+from tidegauge.llm.common import SPACES, broadcast_if_small, query, table, text_hash
 from tidegauge.session import staged
 
 WEIGHTS = (3, 1, 2)
@@ -41,6 +41,10 @@ BLOCK_WORDS = 65_536
 SHARD_WORDS = 4_000_000
 SEED = 20_261
 
+# So many copies (seven numbers each, some 30 MB) are sent to every executor to meet the
+# texts there; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
 _WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -183,19 +187,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     Rows are dealt by shard and shuffled inside it; a text is whole but for the one of each
     source at which the target is met. Rows that repeat id and text give equal copies.
     """
-    _, mixed = mix_rows(docs, weights, budget)
+    rows, mixed = mix_rows(docs, weights, budget)
     new = ["pass", "words", "shard", "shard_order"]
     own = [c for c in docs.columns if c not in new]
-    keyed = docs.select(*own, text_hash().alias("_key")).dropDuplicates(["doc_id", "_key"])
+    keyed = docs.select(*own, text_hash().alias("_key"))
+    if rows.groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count():
+        keyed = keyed.dropDuplicates(["doc_id", "_key"])
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, words: pd.Series) -> pd.Series:
         return pd.Series([_first_words(t, w) for t, w in zip(text, words)])
 
-    taken = mixed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("size").alias("_size"), *new)
-    met = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")))
-    whole = met.filter("words = _size").select(*own, *new)
-    short = met.filter("words < _size").withColumn("text", cut("text", "words")).select(*own, *new)
+    taken = staged(mixed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("size").alias("_size"), *new), "copies")
+
+    def with_texts(copies: DataFrame) -> DataFrame:
+        copies = broadcast_if_small(copies, BROADCAST_ROWS)
+        return keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")))
+
+    whole = with_texts(taken.filter("words = _size")).select(*own, *new)
+    short = with_texts(taken.filter("words < _size")).withColumn("text", cut("text", "words")).select(*own, *new)
     return whole.union(short).repartition("shard").sortWithinPartitions("shard", "shard_order", "doc_id", "pass")
 
 
