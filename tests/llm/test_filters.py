@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -269,6 +270,38 @@ def brute_overlaps(docs, items):
         yield doc_id, bool(found), min(found) if found else None, len(found), max(found.values(), default=0)
 
 
+def test_masks_reach_every_accepted_overlap():
+    """All substitutions that the item's size allows, some of them as words cut off at the document's ends.
+
+    Left out is where no equal word begins a mask, which can't happen from 15 words on.
+    """
+    span = decontamination.SPAN
+    for n, most in ((15, 3), (14, 2), (13, 2), (12, 2)):
+        for size in range(most + 1):
+            for gone in combinations(range(n), size):
+                for lead, trail in product(range(size + 1), repeat=2):
+                    cut = {*range(lead), *range(n - trail, n)}
+                    if lead + trail > n - span or not cut <= set(gone):
+                        continue
+                    starts = set(range(lead, n - trail - span + 1))
+                    if starts <= set(gone):
+                        assert n < 14
+                        continue
+                    assert any(not {s + p for p in mask} & set(gone) for mask in decontamination.MASKS for s in starts)
+
+
+def test_overlaps_with_three_substitutions(llm):
+    rng = random.Random(12)
+    item = [f"w{i}" for i in range(15)]
+    rows = []
+    for gone in combinations(range(15), 3):
+        said = ["other" if i in gone else w for i, w in enumerate(item)]
+        rows.append((len(rows), f"{prose(rng, 9, 10**6)} {' '.join(said)} {prose(rng, 9, 10**6)}"))
+    df = llm.createDataFrame(rows, "doc_id long, text string")
+    bench = llm.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert decontamination.judge(df, bench).filter("contaminated and matched_words = 12").count() == len(rows)
+
+
 def test_overlaps(llm, empty, monkeypatch):
     rng = random.Random(2)
     items = [(i, prose(rng, n, 500)) for i, n in enumerate((11, 12, 13, 15, 20, 40, 60))] + [(7, None), (8, ""), (9, None)]
