@@ -104,6 +104,12 @@ def test_long_pieces(counter, library):
         assert counts[-1] == library(text) and counts[len(text) // 2] == library(text[: len(text) // 2 + 1])
 
 
+def test_prefix_with_more_tokens_than_the_piece(counter, library):
+    text = "x" * 2040
+    counts = counter.prefixes(text)
+    assert counts[-1] == library(text) == 255 and max(counts) == library(text[:2038]) == 256
+
+
 def test_counted_documents(docs, empty, clashing, library):
     got = token_counts.token_counts(docs, 50, prefixes=True).collect()
     texts_of = {}

@@ -153,7 +153,7 @@ class PrefixCounter:
         if len(self._pieces) > KEPT_PIECES:
             self._pieces.clear()
         counts = self._table(piece)
-        kept = bytes(counts) if counts[-1] < 256 else None
+        kept = bytes(counts) if max(counts) < 256 else None
         if len(piece) <= 64:
             self._pieces[piece] = kept
         return kept
