@@ -224,6 +224,18 @@ def test_one_of_each_group_stays(docs, empty, clashing, monkeypatch):
     assert near_dedup.dedup(empty, 5).collect() == []
 
 
+def test_sketches_lose_no_pair_of_a_small_bucket(llm, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MARGIN", -0.2)  # no differing sample is allowed
+    rng = random.Random(8)
+    rows = []
+    for _ in range(20):
+        said = prose(rng, 100, 10**6).split()
+        rows += [(len(rows), " ".join(said)), (len(rows) + 1, " ".join([*said[:95], *prose(rng, 5, 10**6).split()]))]
+    df = llm.createDataFrame(rows, "doc_id long, text string")
+    got = plain(near_dedup.near_groups(df, 2).select("doc_id", "n_shingles", "component_id").collect())
+    assert order(got) == order(brute_groups(rows, 2))
+
+
 def test_sketches_keep_similar_pairs():
     """The estimate never rules out a similar pair, and rules out most dissimilar ones."""
     rng = np.random.default_rng(1)
