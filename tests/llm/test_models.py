@@ -176,6 +176,16 @@ def test_forest_on_held_out_findings(llm, docs, empty):
     assert secret_scan.scan_secrets(docs).columns == got.columns
 
 
+def test_copies_do_not_fill_the_sample(llm, monkeypatch):
+    monkeypatch.setattr(secret_scan, "MAX_FINDINGS", 40)
+    vectors = [[float(i), *[float(i % 2)] * (len(secret_scan.FEATURES) - 1)] for i in range(20)]
+    distinct = llm.createDataFrame([(v, i % 2) for i, v in enumerate(vectors)], "features array<double>, label int")
+    first = distinct.orderBy(F.xxhash64("features")).limit(1)
+    findings = distinct.union(first.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(60)))).drop("n"))
+    judged = secret_scan.judge(distinct, findings).collect()
+    assert all(r["is_secret"] == (r["label"] == 1) for r in judged)
+
+
 # ---- pipeline
 
 

@@ -7,8 +7,8 @@ looks like a path or address, and what the neighbouring words are. A random fore
 on labelled findings gives every candidate of every document a probability; those below
 ``THRESHOLD`` are the false positives.
 
-The forest is fitted on at most ``MAX_FINDINGS`` labelled findings, those of smallest hash;
-candidates are found and judged in whole texts, all of them.
+The forest is fitted on at most ``MAX_FINDINGS`` distinct labelled findings, those of smallest
+hash, each weighted by how often it is there; candidates are found and judged in whole texts, all of them.
 
 Defined cases. Null and blank texts have no candidates. Without findings of both kinds
 nothing is removed: the probability is 1. Repeated rows give repeated findings. A null
@@ -134,12 +134,13 @@ def judge(found: DataFrame, findings: DataFrame) -> DataFrame:
 
     ``findings`` are labelled candidates: ``features`` and ``label``, 1 for a secret.
     """
-    used = findings.filter("label IS NOT NULL").orderBy(F.xxhash64("features"), "features", "label").limit(MAX_FINDINGS)
-    used = staged(used.select(array_to_vector("features").alias("vector"), F.col("label").cast("double")), "findings")
+    kinds = findings.filter("label IS NOT NULL").groupBy("features", "label").agg(F.count("*").cast("double").alias("weight"))
+    used = kinds.orderBy(F.xxhash64("features"), "features", "label").limit(MAX_FINDINGS)
+    used = staged(used.select(array_to_vector("features").alias("vector"), F.col("label").cast("double"), "weight"), "findings")
     if used.agg(F.count_distinct("label")).first()[0] < 2:
         return found.withColumns({"probability": F.lit(1.0), "is_secret": F.lit(True)})
     forest = RandomForestClassifier(
-        featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, probabilityCol="p"
+        featuresCol="vector", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED, probabilityCol="p"
     )
     judged = forest.fit(used).transform(found.withColumn("vector", array_to_vector("features")))
     probability = F.get(vector_to_array("p"), 1)
