@@ -69,6 +69,17 @@ def test_quality(llm, docs, empty, clashing):
     assert all(r["kept"] != r["base_failed"] for r in nobody)
 
 
+def test_one_wrong_label_does_not_move_the_threshold(llm):
+    rng = random.Random(3)
+    good = [(i, prose(rng, 60)) for i in range(40)]
+    junk = [(100 + i, " ".join("".join(rng.choice("#@%&;~^") for _ in range(6)) for _ in range(60))) for i in range(40)]
+    df = llm.createDataFrame(good + junk, "doc_id long, text string")
+    for n in (4, 40):
+        labels = llm.createDataFrame([(i, 1) for i in (*range(n), 100)], "doc_id long, quality int")
+        kept = {r["doc_id"] for r in quality_rules.judge(df, labels).filter("kept").collect()}
+        assert kept & set(range(n)) == set(range(n)) and not any(i >= 100 for i in kept)
+
+
 # ---- line dedup
 
 

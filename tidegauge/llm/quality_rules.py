@@ -5,7 +5,9 @@ documents (``labels.quality = 1``) and one from the whole corpus, give every bin
 of the ratio of its probabilities; a document's score is the mean over its n-grams, so
 length does not count. Every document is kept whose score reaches a threshold: ``SLACK``
 below the score that all but ``TRUSTED_LOSS`` of the trusted documents reach, of those that
-pass the counting rules. Nothing is drawn at random.
+pass the counting rules. Trusted scores under a fence, the median less ``SPREADS`` times its
+distance from the lower quartile and less ``FENCE``, count as wrong labels and not for the
+threshold. Nothing is drawn at random.
 
 Both models are counted over all documents; what reaches the driver is one number per
 bin and a histogram of trusted scores on a fixed grid, whatever the corpus holds.
@@ -35,6 +37,7 @@ BINS = 1 << BIN_BITS
 SMOOTHING = 1.0
 TRUSTED_LOSS = 0.0002
 SLACK = 0.01
+SPREADS, FENCE = 4, 0.5  # of four or more trusted documents, one wrong label moves no quartile far
 GRID = 1000  # histogram cells per unit of score
 
 MIN_WORDS = 10
@@ -118,7 +121,7 @@ def _scores(held: list[bytes], weights: np.ndarray) -> np.ndarray:
 
 
 def score_threshold(docs: DataFrame, labels: DataFrame, weights: np.ndarray) -> float:
-    """``SLACK`` below the grid score that nearly all trusted documents reach."""
+    """``SLACK`` below the grid score that nearly all trusted documents over the fence reach."""
 
     def run(batches):
         for batch in batches:
@@ -129,6 +132,8 @@ def score_threshold(docs: DataFrame, labels: DataFrame, weights: np.ndarray) ->
 
     trusted = _marked(docs, labels).filter("_trusted").select("text")
     cells = trusted.mapInArrow(run, "cell bigint").groupBy("cell").count().orderBy("cell").collect()
+    fence = _fence([(c["cell"], c["count"]) for c in cells])
+    cells = [c for c in cells if c["cell"] >= fence]
     allowed, below = TRUSTED_LOSS * sum(c["count"] for c in cells), 0
     for c in cells:
         below += c["count"]
@@ -137,6 +142,17 @@ def score_threshold(docs: DataFrame, labels: DataFrame, weights: np.ndarray) ->
     return -np.inf
 
 
+def _fence(cells: list[tuple[int, int]]) -> float:
+    """The cell under which a trusted score is a wrong label, from ordered cells and counts."""
+    if not cells:
+        return -np.inf
+    at, counts = (np.array(c) for c in zip(*cells))
+    total = np.cumsum(counts)
+    n = total[-1]
+    median, quartile = (at[np.searchsorted(total, rank)] for rank in ((n + 1) // 2, n // 4 + 1))
+    return float(median - SPREADS * (median - quartile) - FENCE * GRID)
+
+
 _RESULT = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
     "base_failed boolean, score double, kept boolean"
