@@ -12,6 +12,7 @@ MODULES = [
     "mixing",
     "near_dedup",
     "quality_rules",
+    "run_detection",
     "secret_scan",
     "token_counts",
     "toxicity",
