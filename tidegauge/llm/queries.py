@@ -14,6 +14,7 @@ MODULES = [
     "quality_rules",
     "run_detection",
     "secret_scan",
+    "substring_dedup",
     "token_counts",
     "toxicity",
 ]
