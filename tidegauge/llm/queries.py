@@ -7,6 +7,7 @@ from tidegauge.llm.common import ORACLES, QUERIES
 MODULES = [
     "chat_format",
     "decontamination",
+    "hard_negatives",
     "line_dedup",
     "lm_scoring",
     "mixing",
