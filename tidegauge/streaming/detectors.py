@@ -1,14 +1,16 @@
-"""Online detectors as keyed state over a stream of readings.
+"""Online detectors as keyed state over a stream of readings, in event time.
 
-Rows of a key are sorted by time inside each micro-batch. A row at or before the
-key's last processed time is late: it is dropped and counted in ``late_rows``.
-Size micro-batches with the source's rate options; one key is one ordered
-recurrence, so its rows of one batch are handled by one task.
+Rows of a key wait in its state until the watermark has passed them, and are then scored in
+time order, so disorder within the delay changes nothing. A row that is older than the
+watermark when it arrives is late: it is returned with empty results and counted in
+``late_rows``, the number of late rows of the key so far. Rows without a time are left out. A detector's memory is the rows
+of one key between two watermarks; limit them by the source's rate options. ``Closing``
+scores what still waits when a stream is known to have ended.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,36 +27,96 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 _STATE = T.StructType(
     [
         T.StructField("values", T.ArrayType(T.DoubleType())),
-        T.StructField("last", T.LongType()),
         T.StructField("late", T.LongType()),
+        T.StructField("timer", T.LongType()),
     ]
 )
+# A sorted run of waiting rows: their times and one list per column.
+_RUN = T.StructType(
+    [
+        T.StructField("micros", T.ArrayType(T.LongType())),
+        T.StructField("columns", T.ArrayType(T.ArrayType(T.DoubleType()))),
+    ]
+)
+END = "9999-01-01"  # the time of the row that declares a stream complete
 
 
 class OrderedProcessor(StatefulProcessor):
-    """Runs a step function over the rows of a key in time order across batches."""
+    """Runs a step function over the rows of a key in time order, as the watermark passes."""
 
-    def __init__(self, step: Step, key: list[str], ts: str) -> None:
-        self.step, self.key, self.ts = step, key, ts
+    def __init__(self, step: Step, key: list[str], ts: str, columns: list[str], fields: list[str]) -> None:
+        self.step, self.key, self.ts, self.columns, self.fields = step, key, ts, columns, fields
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", _STATE)
+        self.runs = handle.getListState("runs", _RUN)
+
+    def _known(self) -> tuple[list[float] | None, int, int | None]:
+        if not self.state.exists():
+            return None, 0, None
+        values, late, timer = self.state.get()
+        return None if values is None else list(values), int(late), timer
+
+    def _keep(self, values, late: int, timer: int | None) -> None:
+        self.state.update((None if values is None else [float(v) for v in values], late, timer))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.ts, kind="stable")
-        values, last, late = None, None, 0
-        if self.state.exists():
-            values, last, late = self.state.get()
-            values = list(values)
-        micros = batch[self.ts].astype("datetime64[us]").astype("int64")
-        fresh = np.ones(len(batch), dtype=bool) if last is None else (micros > last).to_numpy()
-        late = int(late) + int((~fresh).sum())
-        if fresh.any():
-            rows = batch[fresh]
-            out, values = self.step({c: rows[c].to_numpy() for c in rows.columns}, values)
-            last = int(micros.max())
-            yield rows[[*self.key, self.ts]].assign(**out, late_rows=late)
-        self.state.update(([float(v) for v in values], last, late))
+        border = timerValues.getCurrentWatermarkInMs() * 1000
+        values, late, timer = self._known()
+        earliest, refused = None, []
+        for chunk in rows:
+            micros = chunk[self.ts].astype("datetime64[us]").astype("int64").to_numpy()
+            fresh = micros >= border
+            if not fresh.all():
+                refused.append(chunk.loc[~fresh, [*self.key, self.ts]])
+            if fresh.any():
+                waiting = chunk[fresh]
+                held = [waiting[c].to_numpy(float) for c in self.columns]
+                order = np.lexsort((*held[::-1], micros[fresh]))
+                times = micros[fresh][order]
+                self.runs.appendValue((times.tolist(), [h[order].tolist() for h in held]))
+                earliest = int(times[0]) if earliest is None else min(earliest, int(times[0]))
+        late += sum(len(part) for part in refused)
+        self._keep(values, late, self._timer(timer, earliest))
+        for part in refused:
+            empty = {f: pd.Series([None] * len(part), dtype=object) for f in self.fields}
+            yield part.reset_index(drop=True).assign(**empty, late_rows=late)
+
+    def _timer(self, timer: int | None, earliest: int | None) -> int | None:
+        """One timer a key, for the millisecond in which its first waiting row is passed."""
+        if earliest is None or (timer is not None and timer <= earliest // 1000 + 1):
+            return timer
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(earliest // 1000 + 1)
+        return earliest // 1000 + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        border = timerValues.getCurrentWatermarkInMs() * 1000
+        values, late, _ = self._known()
+        due, waiting = [], []
+        for times, columns in self.runs.get():
+            times = np.array(times, dtype=np.int64)
+            held = [np.array(c, dtype=float) for c in columns]
+            passed = int(np.searchsorted(times, border))
+            if passed:
+                due.append((times[:passed], [h[:passed] for h in held]))
+            if passed < len(times):
+                waiting.append((times[passed:], [h[passed:] for h in held]))
+        if waiting:
+            self.runs.put([(t.tolist(), [h.tolist() for h in held]) for t, held in waiting])
+        else:
+            self.runs.clear()
+        first = min((int(t[0]) for t, _ in waiting), default=None)
+        if due:
+            times = np.concatenate([t for t, _ in due])
+            held = [np.concatenate(parts) for parts in zip(*(h for _, h in due))]
+            order = np.lexsort((*held[::-1], times))
+            out, values = self.step({c: h[order] for c, h in zip(self.columns, held)}, values)
+            ids = {k: [v] * len(times) for k, v in zip(self.key, key)}
+            yield pd.DataFrame({**ids, self.ts: times[order].astype("datetime64[us]"), **out, "late_rows": late})
+        self._keep(values, late, self._timer(None, first))
 
     def close(self) -> None:
         pass
@@ -68,12 +130,40 @@ def _run(stream: DataFrame, key: Sequence[str], step: Step, ts: str, fields: Seq
         + list(fields)
         + [T.StructField("late_rows", T.LongType())]
     )
-    rows = stream.withWatermark(ts, delay)
+    columns = [f.name for f in stream.schema if isinstance(f.dataType, T.NumericType) and f.name not in key]
+    # The watermark is kept on a copy that goes no further: rows of a column that carries it
+    # are dropped by Spark when they are late, and would not be counted. The row of ``Closing``
+    # moves the watermark and goes no further either.
+    rows = stream.withColumn("_event", F.col(ts)).withWatermark("_event", delay)
+    rows = rows.filter(F.col("_event") < F.lit(END).cast("timestamp")).select(*key, ts, *columns)
+    processor = OrderedProcessor(step, list(key), ts, columns, [f.name for f in fields])
     return rows.groupBy(*key).transformWithStateInPandas(
-        statefulProcessor=OrderedProcessor(step, list(key), ts), outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
 
 
+class Closing:
+    """A stream that can be declared complete, so that no row is left waiting.
+
+    ``rows`` is the stream with a second source beside it. After a run over all there is,
+    ``close`` puts one row of a far time there; the next run from the same checkpoint moves
+    the watermark past every row that waits.
+    """
+
+    def __init__(self, stream: DataFrame, ts: str = "ts") -> None:
+        self.spark, self.ts = stream.sparkSession, ts
+        self.folder = new_path(self.spark, "stream-end")
+        self.schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in stream.schema])
+        self.spark.createDataFrame([], self.schema).write.parquet(self.folder)
+        ends = self.spark.readStream.schema(self.schema).parquet(self.folder)
+        self.rows = stream.unionByName(ends)
+
+    def close(self) -> None:
+        kind = self.schema[self.ts].dataType
+        row = [F.lit(END).cast(kind).alias(f.name) if f.name == self.ts else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]
+        self.spark.range(1).select(*row).write.mode("append").parquet(self.folder)
+
+
 def stream_cusum(stream: DataFrame, key: Sequence[str], y: str, mu0: str, k: str, h: str, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """CUSUM with reset per key; the statistic before and after the reset, and the alarm."""
     return _run(stream, key, reset_step(y, mu0, k, h), ts, RESET_FIELDS, delay)
@@ -144,17 +234,25 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_bat
     )
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is there now into a Parquet sink and return the written rows."""
+def run_available(
+    stream: DataFrame, mode: str = "append", closing: Closing | None = None, arrivals: Sequence[Callable[[], None]] = ()
+) -> DataFrame:
+    """Process what is there now into a Parquet sink and return the written rows.
+
+    Each of ``arrivals`` brings further input, which the next run processes from the same
+    checkpoint. With ``closing``, the stream is declared complete and the rest is scored too.
+    """
     spark = stream.sparkSession
     out, marks = new_path(spark, "stream-out"), new_path(spark, "stream-marks")
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", out)
-        .option("checkpointLocation", marks)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    for arrive in [*(arrivals or [lambda: None]), *([closing.close] if closing else [])]:
+        arrive()
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode(mode)
+            .option("path", out)
+            .option("checkpointLocation", marks)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
