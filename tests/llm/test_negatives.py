@@ -113,9 +113,12 @@ def test_search_is_exact_and_skips(same):
         search.ask(anchor)
         scores = tree.points @ anchor
         top = int(scores.max())
-        for low, high in ((-math.inf, math.inf), (top * 3 // 10, top * 9 // 10), (top, 0)):
-            fit = ((tree.labels == tree.labels[k]) == same) & (scores >= low) & (scores <= high)
-            want = sorted(zip((-scores[fit]).tolist(), tree.ids[fit].tolist()))[:10]
-            assert search.best(10, int(tree.labels[k]), same, low, high) == [(-s, i) for s, i in want]
-        asked += 6_000
-    assert search.verified < 0.5 * asked
+        windows = [(-math.inf, math.inf), (top * 3 // 10, top * 9 // 10), (top, 0), (top // 3, top // 2)]
+        for some in ([w] for w in windows), [windows[1:]]:
+            for ask in some:
+                for (low, high), found in zip(ask, search.best(10, int(tree.labels[k]), same, ask)):
+                    fit = ((tree.labels == tree.labels[k]) == same) & (scores >= low) & (scores <= high)
+                    want = sorted(zip((-scores[fit]).tolist(), tree.ids[fit].tolist()))[:10]
+                    assert found == [(-s, i) for s, i in want]
+                asked += 6_000
+    assert search.verified < 0.6 * asked

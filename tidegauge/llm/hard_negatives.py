@@ -53,7 +53,7 @@ BLOCK, GROUP = 16_384, 1_024
 BROADCAST_GROUPS = 16  # packed anchors of so many groups are some 10 MB
 
 PIVOTS = 64
-SHRINK, FAN, LEAF = 0.7, 256, 24
+SHRINK, FAN, LEAF = 0.7, 256, 512
 
 
 class Tree(NamedTuple):
@@ -105,8 +105,8 @@ def build_tree(points: np.ndarray, ids: np.ndarray, labels: np.ndarray, norm: fl
             parts.append((int(left[0]), left[near], away[near]))
             left = left[~near]
         # Small parts and what is left are verified together, under the radius of the node.
-        fringe = [left, *(p for _, p, _ in parts if len(p) < LEAF // 3)]
-        parts = [p for p in parts if len(p[1]) >= LEAF // 3]
+        fringe = [left, *(p for _, p, _ in parts if len(p) < LEAF // 8)]
+        parts = [p for p in parts if len(p[1]) >= LEAF // 8]
         nodes[at][4:6] = [len(nodes), len(parts)]
         for c, part, away in parts:
             todo.append((len(nodes), part, c, away))
@@ -149,8 +149,6 @@ class Search:
         self.anchor = anchor.astype(self.points.dtype)
         self.size = math.sqrt(float((anchor.astype(float) ** 2).sum()))
         self.slack = 1e-6 * self.size * self.norm + 1e-3
-        self.bounds: dict[int, tuple] = {}
-        self.scores: dict[int, np.ndarray] = {}
 
     def _bounds(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest possible inner product of the points of some nodes."""
@@ -163,51 +161,66 @@ class Search:
         return low - self.slack, high + self.slack
 
     def _below(self, node: int) -> tuple:
-        if node not in self.bounds:
-            start = int(self.tree.child[node])
-            nodes = np.arange(start, start + int(self.tree.children[node]))
-            self.bounds[node] = (nodes, *self._bounds(nodes))
-        return self.bounds[node]
-
-    def _leaf(self, node: int) -> np.ndarray:
-        if node not in self.scores:
-            part = slice(self.tree.low[node], self.tree.high[node])
-            self.scores[node] = (self.points[part] @ self.anchor).astype(np.int64)
-            self.verified += len(self.scores[node])
-        return self.scores[node]
-
-    def best(self, count: int, label: int, same: bool, low: float, high: float, allowed: Callable | None = None) -> list[tuple[int, int]]:
-        """The ``count`` best ``(score, id)`` of scores in the window, ties by smaller id."""
+        start = int(self.tree.child[node])
+        nodes = np.arange(start, start + int(self.tree.children[node]))
+        return nodes, *self._bounds(nodes)
+
+    def _leaf(self, node: int, label: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Exact scores of the fitting points of a leaf, and where they stand."""
+        low, high = self.tree.low[node], self.tree.high[node]
+        self.verified += int(high - low)
+        at = np.flatnonzero((self.tree.labels[low:high] == label) == same)
+        return (self.points[low:high] @ self.anchor)[at].astype(np.int64), at + low
+
+    def _first(self, count: int, scores: np.ndarray, at: np.ndarray, low: float, high: float) -> list[tuple[int, int]]:
+        fit = np.flatnonzero((scores >= low) & (scores <= high))
+        if len(fit) > count:
+            least = np.partition(scores[fit], len(fit) - count)[len(fit) - count]
+            fit = fit[scores[fit] >= least]
+        fit = fit[np.lexsort((self.tree.ids[at[fit]], -scores[fit]))][:count]
+        return list(zip(scores[fit].tolist(), self.tree.ids[at[fit]].tolist()))
+
+    def best(self, count: int, label: int, same: bool, windows: list[tuple[float, float]], allowed: Callable | None = None) -> list[list[tuple[int, int]]]:
+        """The ``count`` best ``(score, id)`` in each window of scores, ties by smaller id.
+
+        One descent serves all windows of an anchor: nodes outside all of them are skipped,
+        and it ends when every window is full of scores above all that is left.
+        """
         tree = self.tree
-        if low > high or not len(tree.ids):
-            return []
+        open_ = [w for w in windows if w[0] <= w[1]]
+        if not open_:
+            return [[] for _ in windows]
+        low, high = min(w[0] for w in open_), max(w[1] for w in open_)
         able = (tree.first_label <= label) & (label <= tree.last_label) if same else (tree.first_label != label) | (tree.last_label != label)
         least, most = self._bounds(np.zeros(1, np.int64))
         heap = [(-min(most[0], high), 0)] if able[0] and most[0] >= low and least[0] <= high else []
-        found: list[tuple[int, int]] = []  # least score first, then greatest id
+        scores, at = np.empty(0, np.int64), np.empty(0, np.int64)
+        seen, looked, look = [(scores, at)], 0, 8
+
+        def settled(bound: float) -> bool:
+            full = (self._first(count, scores, at, *w) for w in open_)
+            return all(len(f) == count and f[-1][0] > bound for f in full)
+
         while heap:
-            bound, node = heapq.heappop(heap)
-            if len(found) == count and -bound < found[0][0]:
-                break
+            if looked == look:
+                scores, at = (np.concatenate(p) for p in zip(*seen))
+                seen, look = [(scores, at)], 2 * look
+                if settled(-heap[0][0]):
+                    break
+            node = heapq.heappop(heap)[1]
             if tree.child[node]:
                 nodes, least, most = self._below(node)
                 for k in np.flatnonzero(able[nodes] & (most >= low) & (least <= high)).tolist():
                     heapq.heappush(heap, (-min(most[k], high), int(nodes[k])))
                 continue
-            scores = self._leaf(node)
-            fit = (tree.labels[tree.low[node] : tree.high[node]] == label) == same
-            fit &= (scores >= max(low, found[0][0]) if len(found) == count else scores >= low) & (scores <= high)
-            at = np.flatnonzero(fit)
-            if allowed is not None and len(at):
-                at = at[allowed(at + tree.low[node])]
-            at = at[np.lexsort((tree.ids[at + tree.low[node]], -scores[at]))][:count]
-            for k in at.tolist():
-                entry = (int(scores[k]), -int(tree.ids[k + tree.low[node]]))
-                if len(found) < count:
-                    heapq.heappush(found, entry)
-                elif entry > found[0]:
-                    heapq.heapreplace(found, entry)
-        return sorted(((s, -i) for s, i in found), key=lambda e: (-e[0], e[1]))
+            looked += 1
+            found, places = self._leaf(node, label, same)
+            if allowed is not None:
+                fit = allowed(places)
+                found, places = found[fit], places[fit]
+            seen.append((found, places))
+        scores, at = (np.concatenate(p) for p in zip(*seen))
+        return [self._first(count, scores, at, *w) if w[0] <= w[1] else [] for w in windows]
 
 
 def whole_vectors(embeddings: DataFrame) -> tuple[DataFrame, int]:
@@ -356,9 +369,12 @@ def _positives(trees: DataFrame, groups: DataFrame, count: int, size: int, norm:
                 search.ask(anchor)
 
                 def other(at: np.ndarray) -> np.ndarray:
-                    return (tree.ids[at] != own) | (tree.points[at] != anchor).any(1)
+                    differs = tree.ids[at] != own
+                    same = np.flatnonzero(~differs)
+                    differs[same] = (tree.points[at[same]] != anchor).any(1)
+                    return differs
 
-                found = search.best(POSITIVES, label, True, -math.inf, math.inf, other)
+                found = search.best(POSITIVES, label, True, [(-math.inf, math.inf)], other)[0]
                 out += [(row["g"], pos, None, i, s) for s, i in found]
             yield _batch(out)
 
@@ -387,9 +403,9 @@ def _negatives(trees: DataFrame, groups: DataFrame, count: int, aims: DataFrame,
                 if pos not in windows:
                     continue
                 search.ask(anchor)
-                for aim in windows[pos]:
-                    low, high = -(-LEAST * aim // 100), MOST * aim // 100
-                    out += [(row["g"], pos, aim, i, s) for s, i in search.best(NEGATIVES, label, False, low, high)]
+                spans = [(-(-LEAST * aim // 100), MOST * aim // 100) for aim in windows[pos]]
+                for aim, found in zip(windows[pos], search.best(NEGATIVES, label, False, spans)):
+                    out += [(row["g"], pos, aim, i, s) for s, i in found]
             yield _batch(out)
 
     found = _pairs(trees, groups, count).mapInArrow(run, "g int, pos bigint, aim bigint, found bigint, score bigint")
