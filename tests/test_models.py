@@ -101,6 +101,61 @@ def test_long_offline_problem(spark, monkeypatch):
     assert len(got) == 20_000 and abs(got["delta_hat"].iloc[15_000] - 2.0) < 0.2
 
 
+SOLVER_TERMS = [solver.step_terms(1.0, 0.05), solver.trend_terms(0.05, 0.5, 1.0), solver.trend_terms(0.1, 0.0, 2.0)]
+
+
+def boxed(rng, n):
+    """Residuals with jumps, a box with a closed part, and infinite ends."""
+    r = rng.normal(0, 0.3, n) + 2.0 * (np.arange(n) % 300 > 190)
+    low, high = np.full(n, -1.5), np.full(n, 2.2)
+    low[: n // 9] = high[: n // 9] = 0.0
+    high[n // 2 :] = np.inf
+    return r, low, high
+
+
+@pytest.mark.parametrize("terms", SOLVER_TERMS)
+def test_gap_bounds_the_distance_to_the_minimum(spark, terms):
+    rng = np.random.default_rng(20)
+    r, low, high = boxed(rng, 70)
+    rows = problem(spark, r, low, high)
+    best = solver.recover_whole(rows, ["k"], terms, max_iter=40_000, tol=1e-12).orderBy("t").toPandas()
+    assert best["gap"].iloc[0] < 1e-8
+    for rounds in (3, 10, 40):
+        rough = solver.recover_whole(rows, ["k"], terms, max_iter=rounds).orderBy("t").toPandas()
+        gap, far = rough["gap"].iloc[0], rough["loss"].iloc[0] - best["loss"].iloc[0]
+        assert far - 1e-9 <= gap
+        assert np.abs(rough["delta_hat"] - best["delta_hat"]).max() <= np.sqrt(2 * gap) + 1e-6
+    # A wrong point of the box is told by its gap.
+    d, u = np.clip(r, low, high)[None], [np.zeros((1, 70 - order)) for order, *_ in terms]
+    assert solver.duality_gap(r[None], d, low[None], high[None], 1.0, terms, u)[0] >= loss(r, d[0], terms) - best["loss"].iloc[0]
+
+
+@pytest.mark.parametrize("terms", SOLVER_TERMS)
+def test_blocks_equal_the_whole_series(spark, terms):
+    rng = np.random.default_rng(21)
+    rows = None
+    for k, n in (("a", 900), ("b", 257), ("c", 1), ("d", 2)):
+        part = problem(spark, *boxed(rng, n), key=k)
+        rows = part if rows is None else rows.unionByName(part)
+    want = solver.recover_whole(rows.filter("k <> 'c'"), ["k"], terms, max_iter=30_000, tol=1e-10)
+    got = solver.recover_long(rows, ["k"], terms, block=64, gap=1e-8, tol=1e-10, max_iter=20_000)
+    both = want.join(got.select("k", "t", F.col("delta_hat").alias("d"), F.col("loss").alias("l"), F.col("gap").alias("g"), "rounds"), ["k", "t"]).toPandas()
+    assert len(both) == 1_159 and got.count() == 1_160
+    assert (both["g"] <= 1e-8 * (1 + both["l"])).all() and 1 < both["rounds"].max() < 40
+    assert np.abs(both["delta_hat"] - both["d"]).max() < 2e-4 and np.abs(both["loss"] - both["l"]).max() < 1e-5
+
+
+def test_warm_windows_equal_cold_ones(spark):
+    rng = np.random.default_rng(22)
+    rows = problem(spark, *boxed(rng, 400))
+    for terms in SOLVER_TERMS:
+        options = {"window": 24, "tol": 1e-8, "max_iter": 5_000}
+        cold = solver.recover_rolling(rows, ["k"], terms, **options).orderBy("t").toPandas()
+        warm = solver.recover_rolling(rows, ["k"], terms, **options, warm=True).orderBy("t").toPandas()
+        assert np.abs(cold["delta_hat"] - warm["delta_hat"]).max() < 1e-5
+        assert warm["iterations"].sum() < cold["iterations"].sum()
+
+
 @pytest.mark.parametrize("standardize", [True, False])
 def test_ridge(spark, standardize):
     rng = np.random.default_rng(11)

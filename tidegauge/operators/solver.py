@@ -7,19 +7,22 @@ task stacks problems of equal length into a matrix and runs all of them in step.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.operators.ordered import trailing_lists
-from tidegauge.session import spread
+from tidegauge.operators.ordered import trailing_lists, with_lag
+from tidegauge.session import spread, staged
 
 DENSE_ROWS = 1_024  # up to this length the system's inverse is kept; longer ones use its band
 KEPT_SYSTEMS = 32  # solved systems that a task keeps, by length
 STACK = 512  # problems solved together, small enough to stay in cache
+LANE = 32  # successive windows that start from each other's solutions
 
 
 def soft(x: np.ndarray, limit: float) -> np.ndarray:
@@ -106,20 +109,31 @@ def _dense(n: int, weight: float, terms: Sequence[tuple]) -> Callable[[np.ndarra
     return lambda right: right @ matrix
 
 
+class Solved(NamedTuple):
+    """Estimates, rounds, and the state from which a similar problem may start."""
+
+    d: np.ndarray
+    iterations: np.ndarray
+    z: list[np.ndarray]
+    u: list[np.ndarray]
+
+
 def solve_stack(
     r: np.ndarray, low: np.ndarray, high: np.ndarray, weight: float, terms: Sequence[tuple],
     max_iter: int, tol: float, least_iter: int, watch_box: bool, inverses: dict[int, Callable],
-) -> tuple[np.ndarray, np.ndarray]:
+    start: Solved | None = None,
+) -> Solved:
     """Minimise ``w/2 |r-d|^2 + sum_k penalty_k |D^k d|_1`` in the box, row by row of ``r``.
 
     Alternating directions with one split per term. A row stops on its own when
     the splits agree and the box copy (``watch_box``) or the estimate stands still.
+    ``start`` continues from another solution of the same shape.
     """
     rows, n = r.shape
     d = np.clip(r, low, high)
     iterations = np.ones(rows, dtype=np.int32)
     if n == 1:
-        return d, iterations
+        return Solved(d, iterations, [], [])
     terms = [term for term in terms if n > term[0]]
     if n not in inverses:
         if len(inverses) >= KEPT_SYSTEMS:
@@ -127,10 +141,13 @@ def solve_stack(
         inverses[n] = Band(n, weight, terms) if n > DENSE_ROWS else _dense(n, weight, terms)
     inverse = inverses[n]
 
-    out = d.copy()
+    if start is None:
+        z = [np.diff(d, n=order, axis=1) for order, *_ in terms]
+        u = [np.zeros_like(part) for part in z]
+    else:
+        d, z, u = start.d, list(start.z), list(start.u)
+    out, out_z, out_u = d.copy(), [p.copy() for p in z], [p.copy() for p in u]
     active = np.arange(rows)
-    z = [np.diff(d, n=order, axis=1) for order, *_ in terms]
-    u = [np.zeros_like(part) for part in z]
     for it in range(1, max_iter + 1):
         right = weight * r
         for (order, _, _, rho), zk, uk in zip(terms, z, u):
@@ -153,14 +170,51 @@ def solve_stack(
         if it == max_iter:
             done[:] = True
         if done.any():
-            out[active[done]] = d[done]
-            iterations[active[done]] = it
+            at = active[done]
+            out[at] = d[done]
+            for k in range(len(terms)):
+                out_z[k][at], out_u[k][at] = z[k][done], u[k][done]
+            iterations[at] = it
             keep = ~done
             if not keep.any():
                 break
             active, d, r, low, high = active[keep], d[keep], r[keep], low[keep], high[keep]
             z, u = [p[keep] for p in z], [p[keep] for p in u]
-    return out, iterations
+    return Solved(out, iterations, out_z, out_u)
+
+
+def _conjugate(v: np.ndarray, low: np.ndarray, high: np.ndarray, penalty: float) -> np.ndarray:
+    """Greatest ``v z - penalty |z|`` of ``z`` in the box; the ends and the point next to zero decide."""
+    best = v * (zero := np.clip(0.0, low, high)) - penalty * np.abs(zero)
+    for end in (low, high):
+        known = np.isfinite(end)
+        at = np.where(known, end, 0.0)
+        best = np.maximum(best, np.where(known, v * at - penalty * np.abs(at), -np.inf))
+    return best
+
+
+def duality_gap(
+    r: np.ndarray, d: np.ndarray, low: np.ndarray, high: np.ndarray, weight: float, terms: Sequence[tuple], u: Sequence[np.ndarray]
+) -> np.ndarray:
+    """How far the objective of ``d``, a point of the box, is from the minimum at most, by row.
+
+    The scaled multipliers ``u`` give a lower bound of the minimum once they are cut to
+    where it is finite. The objective is ``w``-strongly convex, so no value of ``d`` is
+    farther from the exact solution than ``sqrt(2 gap / w)``.
+    """
+    pull, bound = np.zeros_like(r), np.zeros(len(r))
+    used = [term for term in terms if r.shape[1] > term[0]] if len(u) else []
+    for (order, penalty, boxed, rho), part in zip(used, u):
+        v = rho * part
+        if boxed:
+            v = np.where(np.isfinite(high), v, np.minimum(v, penalty))
+            v = np.where(np.isfinite(low), v, np.maximum(v, -penalty))
+            bound += _conjugate(v, low, high, penalty).sum(axis=1)
+        else:
+            v = np.clip(v, -penalty, penalty)
+        pull += difference_transposed(v, order)
+    least = (pull * r).sum(axis=1) - (pull**2).sum(axis=1) / (2 * weight) - bound
+    return np.maximum(0.0, objective(r, d, weight, terms) - least)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -168,15 +222,33 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
 
 
+def _next_window(last: Solved, rows: np.ndarray) -> Solved:
+    """State of the windows one row further on, from those that ``rows`` selects."""
+    d = np.concatenate([last.d[rows, 1:], last.d[rows, -1:]], axis=1)
+    z = [np.concatenate([p[rows, 1:], p[rows, -1:]], axis=1) for p in last.z]
+    u = [np.concatenate([p[rows, 1:], np.zeros((len(rows), 1))], axis=1) for p in last.u]
+    return Solved(d, last.iterations[rows], z, u)
+
+
+def _lanes(at: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Place of every problem in its lane of successive windows; a lane starts cold."""
+    begins = np.flatnonzero(~(follows[at] & (np.diff(at, prepend=-2) == 1)))
+    since = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
+    return since % LANE
+
+
 def solve_problems(
     problems: DataFrame, terms: Sequence[tuple], keep: Sequence[str], weight: float = 1.0,
     max_iter: int = 1_000, tol: float = 1e-6, least_iter: int = 1, watch_box: bool = False,
-    last_only: bool = False,
+    last_only: bool = False, warm: bool = False,
 ) -> DataFrame:
-    """Solve rows with arrays ``r, low, high``; adds ``solution, iterations, loss``.
+    """Solve rows with arrays ``r, low, high``; adds ``solution, iterations, loss, gap``.
 
     ``solution`` is clipped to the box; its last value only if ``last_only``. ``loss``
-    is the objective of the clipped solution, or of the raw one for rolling windows.
+    is the objective of the clipped solution, or of the raw one for rolling windows; ``gap``
+    bounds how far the clipped solution's objective is above the minimum. With ``warm``,
+    the last column of ``keep`` numbers windows of one series, and a window starts from the
+    solution of the one before it in the task.
     """
     terms = list(terms)
     result = T.DoubleType() if last_only else T.ArrayType(T.DoubleType())
@@ -186,9 +258,20 @@ def solve_problems(
             T.StructField("solution", result),
             T.StructField("iterations", T.IntegerType()),
             T.StructField("loss", T.DoubleType()),
+            T.StructField("gap", T.DoubleType()),
         ]
     )
 
+    def follows(table: dict[str, pa.Array], rows: int) -> np.ndarray:
+        """Whether a row is the next window of the series of the row before it."""
+        out = np.zeros(rows, dtype=bool)
+        if warm and rows > 1:
+            out[1:] = np.diff(table[keep[-1]].to_numpy(zero_copy_only=False)) == 1
+            for c in keep[:-1]:
+                names = pa.chunked_array([table[c]]).combine_chunks()
+                out[1:] &= np.asarray(pc.fill_null(pc.equal(names[1:], names[:-1]), False))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inverses: dict[int, Callable] = {}
         for batch in batches:
@@ -197,28 +280,41 @@ def solve_problems(
             low_at, low = _lists(table["low"])
             high_at, high = _lists(table["high"])
             sizes = np.diff(starts)
+            after = follows(table, batch.num_rows)
             solutions: list = [None] * batch.num_rows
             counts = np.zeros(batch.num_rows, dtype=np.int32)
-            losses = np.zeros(batch.num_rows)
+            losses, gaps = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+
+            def solve(at: np.ndarray, n: int, start: Solved | None) -> Solved:
+                span = np.arange(n)
+                rr = r[starts[at][:, None] + span]
+                hi = high[high_at[at][:, None] + span]
+                lo = np.minimum(low[low_at[at][:, None] + span], hi)
+                found = solve_stack(rr, lo, hi, weight, terms, max_iter, tol, least_iter, watch_box, inverses, start)
+                clipped = np.clip(found.d, lo, hi)
+                counts[at] = found.iterations
+                losses[at] = objective(rr, found.d if last_only else clipped, weight, terms)
+                gaps[at] = duality_gap(rr, clipped, lo, hi, weight, terms, found.u)
+                for i, row in zip(at, clipped):
+                    solutions[i] = float(row[-1]) if last_only else row
+                return found
+
             for n in np.unique(sizes):
                 same = np.flatnonzero(sizes == n)
-                for begin in range(0, len(same), STACK):
-                    at = same[begin : begin + STACK]
-                    span = np.arange(n)
-                    rr = r[starts[at][:, None] + span]
-                    hi = high[high_at[at][:, None] + span]
-                    lo = np.minimum(low[low_at[at][:, None] + span], hi)
-                    d, its = solve_stack(
-                        rr, lo, hi, weight, terms, max_iter, tol, least_iter, watch_box, inverses
-                    )
-                    clipped = np.clip(d, lo, hi)
-                    counts[at] = its
-                    losses[at] = objective(rr, d if last_only else clipped, weight, terms)
-                    for i, row in zip(at, clipped):
-                        solutions[i] = float(row[-1]) if last_only else row
+                place = _lanes(same, after) if warm else np.zeros(len(same), dtype=np.int64)
+                for begin in range(0, int((place == 0).sum()), STACK):
+                    lane = np.flatnonzero(place == 0)[begin : begin + STACK]  # in ``same``
+                    last = solve(same[lane], n, None)
+                    for step in range(1, int(place.max()) + 1):
+                        on = lane + 1 < len(same)
+                        on[on] = place[lane[on] + 1] == step
+                        if not on.any():
+                            break
+                        lane = lane[on] + 1
+                        last = solve(same[lane], n, _next_window(last, np.flatnonzero(on)))
             arrays = [table[c] for c in keep]
             kind = pa.float64() if last_only else pa.list_(pa.float64())
-            arrays += [pa.array(solutions, type=kind), pa.array(counts), pa.array(losses)]
+            arrays += [pa.array(solutions, type=kind), pa.array(counts), pa.array(losses), pa.array(gaps)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
     return problems.select(*keep, "r", "low", "high").mapInArrow(run, schema)
@@ -248,26 +344,169 @@ def whole_problems(rows: DataFrame, key: Sequence[str], t: str = "t") -> DataFra
 def recover_whole(
     rows: DataFrame, key: Sequence[str], terms: Sequence[tuple], weight: float = 1.0, t: str = "t", **options
 ) -> DataFrame:
-    """Offline recovery: ``(*key, t, delta_hat, iterations, loss)``."""
+    """Offline recovery: ``(*key, t, delta_hat, iterations, loss, gap)``."""
     solved = solve_problems(whole_problems(rows, key, t), terms, [*key, t], weight, **options)
     pairs = F.arrays_zip(F.col(t), F.col("solution"))
-    return solved.select(*key, F.inline(pairs).alias(t, "delta_hat"), "iterations", "loss")
+    return solved.select(*key, F.inline(pairs).alias(t, "delta_hat"), "iterations", "loss", "gap")
 
 
 def recover_rolling(
     rows: DataFrame, key: Sequence[str], terms: Sequence[tuple], window: int = 48, weight: float = 1.0,
-    max_iter: int = 300, tol: float = 1e-5, t: str = "t",
+    max_iter: int = 300, tol: float = 1e-5, t: str = "t", **options,
 ) -> DataFrame:
     """Causal recovery: every row solves its trailing window and keeps the last value.
 
-    No row looks ahead and no window waits for another, so series of any length
-    run in parallel. Windows start cold.
+    No row looks ahead and windows of any series run in parallel. With ``warm=True``
+    up to ``LANE`` successive windows of a task start from each other's solutions.
     """
     lists = trailing_lists(rows, key, window, {"_r": "r", "_low": "low", "_high": "high"}, t, wide=True)
     problems = lists.select(
         *key, t, F.col("_r").alias("r"), F.col("_low").alias("low"), F.col("_high").alias("high")
     )
     solved = solve_problems(
-        problems, terms, [*key, t], weight, max_iter=max_iter, tol=tol, last_only=True
+        problems, terms, [*key, t], weight, max_iter=max_iter, tol=tol, last_only=True, **options
     )
     return solved.withColumnRenamed("solution", "delta_hat")
+
+
+STENCILS = {1: (-1.0, 1.0), 2: (1.0, -2.0, 1.0)}
+
+
+def _pulls(terms: Sequence[tuple], crossing: Callable[[int, int], Column] | None = None) -> Column:
+    """``sum_k D_k^T v_k`` at a row from its own and lagged multipliers, of some links or all."""
+    total = F.lit(0.0)
+    for k, (order, *_) in enumerate(terms):
+        for back, c in enumerate(STENCILS.get(order, (1.0,))):
+            v = F.coalesce(F.col(f"_v{k}_{back}"), F.lit(0.0))
+            if crossing is not None:
+                if not order:
+                    continue
+                v = F.when(crossing(back, order), v).otherwise(0.0)
+            total = total + c * v
+    return total
+
+
+def _lagged(state: DataFrame, key: Sequence[str], terms: Sequence[tuple], t: str, estimates: bool) -> DataFrame:
+    lags = {f"_v{k}_{back}": (f"v{k}", back) for k, (order, *_) in enumerate(terms) for back in range(order + 1)}
+    if estimates:
+        lags |= {f"_d_{back}": ("d", back) for back in range(3)}
+    return with_lag(state, key, lags, t)
+
+
+def _state_gap(state: DataFrame, key: Sequence[str], terms: Sequence[tuple], weight: float, t: str) -> DataFrame:
+    """Objective and duality gap of every key from one row per cell, as sums."""
+    rows = _lagged(state, key, terms, t, estimates=True)
+    differences = {0: F.col("d"), 1: F.col("d") - F.col("_d_1"), 2: F.col("d") - 2 * F.col("_d_1") + F.col("_d_2")}
+    loss = 0.5 * weight * (F.col("r") - F.col("d")) ** 2
+    bound = F.lit(0.0)
+    zero = F.greatest(F.col("low"), F.least(F.lit(0.0), F.col("high")))
+    for k, (order, penalty, boxed, _) in enumerate(terms):
+        loss = loss + penalty * F.coalesce(F.abs(differences[order]), F.lit(0.0))
+        if boxed:
+            def worth(z: Column) -> Column:
+                return F.col(f"v{k}") * z - penalty * F.abs(z)
+
+            ends = [F.when(F.abs(F.col(e)) < float("inf"), worth(F.col(e))) for e in ("low", "high")]
+            bound = bound + F.greatest(worth(zero), *ends)
+    pull = _pulls(terms)
+    sums = rows.select(*key, loss.alias("_p"), (pull * F.col("r") - pull * pull / (2 * weight) - bound).alias("_q"))
+    told = sums.groupBy(*key).agg(F.sum("_p").alias("loss"), F.sum("_q").alias("_q"))
+    return told.select(*key, "loss", F.greatest(F.lit(0.0), F.col("loss") - F.col("_q")).alias("gap"))
+
+
+def recover_long(
+    rows: DataFrame, key: Sequence[str], terms: Sequence[tuple], weight: float = 1.0, t: str = "t",
+    block: int = 1_024, gap: float = 1e-6, max_rounds: int = 40, max_iter: int = 1_000, tol: float = 1e-7,
+) -> DataFrame:
+    """Offline recovery of series of any length by blocks: as ``recover_whole``, with ``rounds``.
+
+    The dual of the problem couples rows through the multipliers of the differences alone.
+    A round fixes those of the differences that cross a border between blocks, which leaves
+    one small problem per block, and solves all blocks as a stack in parallel tasks. Borders move
+    by half a block from round to round, so each multiplier is free every second round;
+    the dual rises to its maximum, and the duality gap, a sum over rows, tells when every
+    series is within ``gap`` of its minimum, relative to one plus its objective.
+    """
+    key, terms = list(key), list(terms)
+    names = [f"v{k}" for k in range(len(terms))]
+    box = F.least(F.col("low"), F.col("high"))
+    state = rows.select(*key, t, F.col("r").cast("double"), box.cast("double").alias("low"), F.col("high").cast("double"))
+    state = staged(state.withColumn("d", F.greatest("low", F.least("r", "high"))).withColumns({v: F.lit(0.0) for v in names}), "cells")
+    for number in range(1, max_rounds + 1):
+        state = staged(_round(state, key, terms, weight, t, block, (number % 2) * (block // 2), max_iter, tol), "cells")
+        told = staged(_state_gap(state, key, terms, weight, t), "gaps")
+        if told.filter(F.col("gap") > gap * (1 + F.col("loss"))).isEmpty():
+            break
+    out = state.select(*key, t, F.col("d").alias("delta_hat")).join(told, key)
+    return out.withColumn("rounds", F.lit(number))
+
+
+def _round(
+    state: DataFrame, key: list[str], terms: list[tuple], weight: float, t: str, block: int, shift: int, max_iter: int, tol: float
+) -> DataFrame:
+    """Solve every block with the multipliers of the differences over its borders as they are."""
+
+    def crossing(back: int, order: int) -> Column:
+        first = F.col(t) - back + shift
+        return F.floor(first / block) != F.floor((first + order) / block)
+
+    names = [f"v{k}" for k in range(len(terms))]
+    cells = _lagged(state, key, terms, t, estimates=False)
+    cells = cells.withColumn("_s", F.col("r") - _pulls(terms, crossing) / weight)
+    part = F.floor((F.col(t) + shift) / block).alias("_part")
+    columns = [t, "r", "low", "high", "d", *names, "_s"]
+    lists = spread(cells.withColumn("_part", part), *key, "_part").groupBy(*key, "_part").agg(
+        F.sort_array(F.collect_list(F.struct(*columns))).alias("_c")
+    )
+    problems = lists.select(*key, *(F.col(f"_c.{c}").alias(c) for c in columns))
+    kept = [*key, t, "r", "low", "high"]
+    arrays = ["d", *names]
+    schema = T.StructType([*(problems.schema[c] for c in kept), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in arrays)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inverses: dict[int, Callable] = {}
+        for batch in batches:
+            table = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            flat = {c: _lists(table[c]) for c in ("_s", "low", "high", *arrays)}
+            sizes = np.diff(flat["_s"][0])
+            solved: dict[str, list] = {c: [None] * batch.num_rows for c in arrays}
+            for n in np.unique(sizes):
+                same = np.flatnonzero(sizes == n)
+                for begin in range(0, len(same), STACK):
+                    at = same[begin : begin + STACK]
+                    given = {c: values[starts[at][:, None] + np.arange(n)] for c, (starts, values) in flat.items()}
+                    used = [k for k, term in enumerate(terms) if n > term[0]]
+                    free = [given[names[k]][:, : n - terms[k][0]] / terms[k][3] for k in used]
+                    first = Solved(given["d"], np.zeros(len(at), np.int32), [np.diff(given["d"], n=terms[k][0], axis=1) for k in used], free)
+                    found = _solve_block(given, weight, terms, max_iter, tol, inverses, first)
+                    values = {"d": np.clip(found.d, given["low"], given["high"])}
+                    for k, term in enumerate(terms):
+                        values[names[k]] = given[names[k]].copy()
+                        if k in used and len(found.u):
+                            v = term[3] * found.u[used.index(k)]
+                            values[names[k]][:, : n - term[0]] = v if term[2] else np.clip(v, -term[1], term[1])
+                    for c, matrix in values.items():
+                        for i, row in zip(at, matrix):
+                            solved[c][i] = row
+            out = [*(table[c] for c in kept), *(pa.array(solved[c], pa.list_(pa.float64())) for c in arrays)]
+            yield pa.RecordBatch.from_arrays(out, names=schema.fieldNames())
+
+    done = problems.mapInArrow(run, schema)
+    zipped = F.arrays_zip(*(F.col(c) for c in [t, "r", "low", "high", *arrays]))
+    return done.select(*key, F.inline(zipped).alias(t, "r", "low", "high", *arrays))
+
+
+def _solve_block(
+    given: dict[str, np.ndarray], weight: float, terms: list[tuple], max_iter: int, tol: float, inverses: dict[int, Callable], first: Solved
+) -> Solved:
+    r, low, high = given["_s"], given["low"], given["high"]
+    if r.shape[1] > 1:
+        return solve_stack(r, low, high, weight, terms, max_iter, tol, 1, False, inverses, first)
+    # One row: the minimum of the parabola and the sparsity, moved into the box.
+    penalty = sum(p for order, p, _, _ in terms if order == 0)
+    d = np.clip(soft(r, penalty / weight), low, high)
+    rest, u = weight * (r - d), []
+    for order, p, boxed, rho in (term for term in terms if not term[0]):
+        v = rest - sum(np.clip(rest, -q, q) for o, q, b, _ in terms if o == 0 and not b) if boxed else np.clip(rest, -p, p)
+        u.append(v / rho)
+    return Solved(d, np.ones(len(r), np.int32), [], u)
