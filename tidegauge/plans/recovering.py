@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.operators import injection, linear, metrics, recovery, scaling, scores, solver
-from tidegauge.operators.ordered import with_lag
+from tidegauge.operators.ordered import with_lag, with_rank
 from tidegauge.plans.injecting import (
     STEPS_SQL,
     STRATIFIED_SQL,
@@ -244,7 +244,7 @@ def _register_solver(name: str, doc: str, **options) -> None:
     def run(spark, sf_dir):
         rows = solver_input(spark, sf_dir, declared)
         out = recovery.recover_sparse(rows, PAIR, **options)
-        return rounded(out.select(*PAIR, "t", "delta_hat", "x_hat", "iterations", "loss"), "delta_hat", "x_hat", "loss", digits=4)
+        return rounded(out.select(*PAIR, "t", "delta_hat", "x_hat", "iterations", "loss", "gap"), "delta_hat", "x_hat", "loss", "gap", digits=4)
 
     run.__doc__ = doc
     query(name)(run)
@@ -258,6 +258,94 @@ _register_solver("causal_step_recovery", "Rolling step recovery.", declared=True
 _register_solver("causal_trend_recovery", "Rolling multi-order recovery.", declared=False, terms=TREND, window=48)
 
 
+# ---- exact recovery of short windows, against closed forms
+BEND = solver.trend_terms(0.05, 0.0, 1.0)
+PIECE = 3
+_EXACT = {"tol": 1e-12, "max_iter": 200_000}
+
+# Standard units, a box 1.5 around the value inside the second half, closed before it.
+_CELLS = f"""cells AS (SELECT series_id, t, z AS r, CASE WHEN t >= n // 2 THEN z - 1.5 ELSE 0 END AS low,
+    CASE WHEN t >= n // 2 THEN z + 1.5 ELSE 0 END AS high FROM z)"""
+
+_ROLLING = """problems AS (SELECT series_id, t, least(t, 2) + 1 AS m,
+    [lag(r, 2) OVER w, lag(r) OVER w, r] AS r, [lag(low, 2) OVER w, lag(low) OVER w, low] AS low,
+    [lag(high, 2) OVER w, lag(high) OVER w, high] AS high
+  FROM cells WINDOW w AS (PARTITION BY series_id ORDER BY t))"""
+_PIECES = """problems AS (SELECT series_id, min(t) AS t, count(*) AS m,
+    [NULL, NULL, NULL][count(*) + 1:3] || list(r ORDER BY t) AS r, [NULL, NULL, NULL][count(*) + 1:3] || list(low ORDER BY t) AS low,
+    [NULL, NULL, NULL][count(*) + 1:3] || list(high ORDER BY t) AS high
+  FROM cells GROUP BY series_id, t // 3)"""
+
+# A problem of m rows stands in the last m places of three. Step recovery: for every way of
+# joining neighbours and every sign of the jumps between groups, each group has its own
+# minimum in the common box; the best of these points is the solution.
+_STEP_SOLVED = """patterns(m, g, s) AS (VALUES (3, [1, 1, 1], [0, 0]), (3, [1, 2, 2], [1, 0]), (3, [1, 2, 2], [-1, 0]),
+    (3, [1, 1, 2], [0, 1]), (3, [1, 1, 2], [0, -1]), (3, [1, 2, 3], [1, 1]), (3, [1, 2, 3], [1, -1]),
+    (3, [1, 2, 3], [-1, 1]), (3, [1, 2, 3], [-1, -1]), (2, [0, 1, 1], [0, 0]), (2, [0, 1, 2], [0, 1]), (2, [0, 1, 2], [0, -1])),
+  places AS (SELECT p.*, g, s, unnest(range(4 - p.m, 4)) AS i FROM problems p JOIN patterns USING (m)),
+  groups AS (SELECT *, g[i] AS own, list_filter([1, 2, 3], lambda j: g[j] = g[i]) AS js FROM places),
+  placed AS (SELECT *, list_sum(list_transform(js, lambda j: r[j])) / len(js)
+      - (s[1] * ((g[2] = own)::INT - (g[1] = own)::INT) + s[2] * ((g[3] = own)::INT - (g[2] = own)::INT)) / len(js) AS mean,
+      list_max(list_transform(js, lambda j: low[j])) AS lo, list_min(list_transform(js, lambda j: high[j])) AS hi FROM groups),
+  points AS (SELECT series_id, t, m, g, s, any_value(r) AS r, list(greatest(lo, least(hi, sign(mean) * greatest(0, abs(mean) - 0.05))) ORDER BY i) AS d
+    FROM placed GROUP BY series_id, t, m, g, s HAVING bool_and(lo <= hi)),
+  valued AS (SELECT *, list_sum(list_transform(range(1, m + 1), lambda i: 0.5 * pow(r[3 - m + i] - d[i], 2) + 0.05 * abs(d[i])))
+      + list_sum(list_transform(range(1, m), lambda i: abs(d[i + 1] - d[i]))) AS loss FROM points),
+  solved AS (SELECT series_id, t, m, min_by(d, loss) AS d, min(loss) AS loss FROM valued GROUP BY series_id, t, m
+    UNION ALL SELECT series_id, t, m, [greatest(low[3], least(high[3], r[3]))],
+      0.5 * pow(r[3] - greatest(low[3], least(high[3], r[3])), 2) + 0.05 * abs(greatest(low[3], least(high[3], r[3]))) FROM problems WHERE m = 1)"""
+
+# Second differences of three rows have one multiplier v; the bend falls as v grows, so v is
+# an end of [-1, 1] or found by halving. Without a bend, each row has its own minimum.
+_AT = "list_transform([1, 2, 3], lambda i: greatest(low[i], least(high[i], sign(r[i] - c[i] * {v}) * greatest(0, abs(r[i] - c[i] * {v}) - 0.05))))"
+_BEND_SOLVED = f"""halved AS (SELECT series_id, t, r, low, high, [1, -2, 1] AS c, -1.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0 AS k FROM problems WHERE m = 3
+    UNION ALL SELECT series_id, t, r, low, high, c, CASE WHEN bend > 0 THEN (a + b) / 2 ELSE a END, CASE WHEN bend > 0 THEN b ELSE (a + b) / 2 END, k + 1
+    FROM (SELECT *, list_dot_product({_AT.format(v='((a + b) / 2)')}, c::DOUBLE[]) AS bend FROM halved WHERE k < 60)),
+  places AS (SELECT series_id, t, r, 3 AS m, {_AT.format(v='b')} AS d FROM halved WHERE k = 60
+    UNION ALL SELECT series_id, t, r, m, CASE WHEN m = 2 THEN list_transform([2, 3], lambda i: greatest(low[i], least(high[i], sign(r[i]) * greatest(0, abs(r[i]) - 0.05))))
+      ELSE [greatest(low[3], least(high[3], r[3]))] END FROM problems WHERE m < 3),
+  solved AS (SELECT *, list_sum(list_transform(range(1, m + 1), lambda i: 0.5 * pow(r[3 - m + i] - d[i], 2) + 0.05 * abs(d[i])))
+      + CASE WHEN m = 3 THEN abs(d[1] - 2 * d[2] + d[3]) ELSE 0 END AS loss FROM places)"""
+
+
+def _register_exact(name: str, doc: str, terms: list, solved: str, rolling: bool) -> None:
+    last = f"SELECT series_id, t, {sql_round('d[m]', 5)} AS delta_hat, {sql_round('loss', 5)} AS loss FROM solved"
+    each = f"SELECT series_id, t + i - 1 AS t, {sql_round('d[i]', 5)} AS delta_hat, {sql_round('loss', 5)} AS loss FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM solved)"
+
+    @query(name, f"WITH RECURSIVE {SERIES_SQL}, {FIT_SQL}, {_CELLS}, {_ROLLING if rolling else _PIECES}, {solved} {last if rolling else each}")
+    def run(spark, sf_dir):
+        cells = fitted(spark, sf_dir)
+        inside = F.col("t") >= F.floor(F.col("n") / 2)
+        low, high = (F.when(inside, F.col("z") + d).otherwise(0.0) for d in (-1.5, 1.5))
+        cells = cells.select("series_id", "t", F.col("z").alias("r"), low.alias("low"), high.alias("high"))
+        if rolling:
+            out = solver.recover_rolling(cells, KEY, terms, PIECE, **_EXACT)
+        else:
+            pieces = cells.withColumn("piece", F.floor(F.col("t") / PIECE))
+            out = solver.recover_whole(pieces, [*KEY, "piece"], terms, **_EXACT)
+        return rounded(out.select("series_id", "t", "delta_hat", "loss"), "delta_hat", "loss", digits=5)
+
+    run.__doc__ = doc
+
+
+_register_exact("step_recovery_exact", "Step recovery of pieces of three rows.", STEP, _STEP_SOLVED, rolling=False)
+_register_exact("trend_recovery_exact", "Recovery with second differences of pieces of three rows.", BEND, _BEND_SOLVED, rolling=False)
+_register_exact("causal_step_recovery_exact", "Rolling step recovery over three rows.", STEP, _STEP_SOLVED, rolling=True)
+_register_exact("causal_trend_recovery_exact", "Rolling recovery with second differences over three rows.", BEND, _BEND_SOLVED, rolling=True)
+
+
+@query("long_recovery")
+def long_recovery(spark, sf_dir):
+    """All readings in time order as one series, recovered by blocks in parallel tasks."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "value", F.lit(0).alias("one"))
+    rows = with_rank(events, ["one"], ["ts", "event_id"], "t")
+    fit = rows.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).first()
+    r = (F.col("value") - fit["m"]) / fit["s"]
+    cells = rows.select("one", "t", r.alias("r"), (r - 1.5).alias("low"), (r + 1.5).alias("high"))
+    out = solver.recover_long(cells, ["one"], STEP, gap=1e-4, tol=1e-6)
+    return rounded(out.select("t", "delta_hat", "loss", "rounds"), "delta_hat", "loss", digits=3)
+
+
 @query("noise_floor_sweep")
 def noise_floor_sweep(spark, sf_dir):
     """Steps and drifts of a quarter to three residual deviations, recovered offline."""
