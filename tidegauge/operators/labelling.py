@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidegauge.operators.intervals import winning_interval
 from tidegauge.operators.ordered import with_rank
 
 LEAF = 16_384
@@ -58,30 +59,15 @@ def normalize_intervals(
     )
 
 
-def label_by_intervals(
-    df: DataFrame, intervals: DataFrame, ts: str = "timestamp", key: Sequence[str] = (), bucket_seconds: int = 86_400
-) -> DataFrame:
+def label_by_intervals(df: DataFrame, intervals: DataFrame, ts: str = "timestamp", key: Sequence[str] = ()) -> DataFrame:
     """``label`` 1 and ``attack_id`` where ``start <= ts <= end``; the last interval in the list wins.
 
-    Intervals are spread over time buckets and packed per bucket, so each row meets
-    only its bucket's intervals in one equi-join and is never multiplied.
+    Intervals, of any number and overlap, are first made disjoint, so a row meets one at most.
     """
-    key = list(key)
-
-    def bucket(c: Column) -> Column:
-        return F.floor(F.unix_timestamp(c.cast("timestamp")) / bucket_seconds)
-
-    spread = intervals.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))))
-    packed = spread.groupBy(*key, "_bucket").agg(
-        F.sort_array(F.collect_list(F.struct("list_pos", "start", "end", "attack_id")), asc=False).alias("_iv")
-    )
-    joined = df.withColumn("_bucket", bucket(F.col(ts))).join(packed, [*key, "_bucket"], "left")
-    at = F.col(ts)
-    hits = F.filter("_iv", lambda i: (i.getField("start") <= at) & (at <= i.getField("end")))
-    joined = joined.withColumn("_hit", F.try_element_at(hits, F.lit(1)))
+    joined = winning_interval(df, intervals, ts, key)
     return joined.withColumns(
         {"label": F.col("_hit").isNotNull().cast("byte"), "attack_id": F.col("_hit.attack_id").cast("int")}
-    ).drop("_bucket", "_iv", "_hit")
+    ).drop("_hit")
 
 
 def label_from_flag(df: DataFrame, flag: str) -> DataFrame:
