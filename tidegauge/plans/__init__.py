@@ -10,6 +10,7 @@ MODULES = [
     "recovering",
     "modelling",
     "streams",
+    "suites",
 ]
 
 
