@@ -54,7 +54,7 @@ def empty(llm):
     return llm.createDataFrame([], DOCS)
 
 
-CLASHES = "w n key at pos line line_key size rank score hits count node label bucket block range row u s shard words pass kept item_id text_key".split()
+CLASHES = "_key _k _d _t _own w n key at pos line line_key size rank score hits count node label bucket block range row u s shard words pass kept item_id text_key".split()
 
 
 @pytest.fixture(scope="session")

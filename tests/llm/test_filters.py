@@ -273,13 +273,17 @@ def brute_overlaps(docs, items):
     distinct = {}
     for item_id, text in items:
         said = tuple(words((text or "").lower()))
-        if len(said) >= decontamination.SPAN:
+        if len(said) >= decontamination.SHORT:
             distinct[said] = min(item_id, distinct.get(said, item_id))
     for doc_id, text in docs:
         have, found = words((text or "").lower()), {}
         for said, item_id in distinct.items():
             for lag in range(-len(said), len(have)):
                 equal = [q for q in range(len(said)) if 0 <= q + lag < len(have) and have[q + lag] == said[q]]
+                if len(said) < decontamination.SPAN:
+                    if len(equal) == len(said):
+                        found[item_id] = len(said)
+                    continue
                 seeded = any(
                     q + lag >= 0 and q + lag + decontamination.SPAN <= len(have) and q + decontamination.SPAN <= len(said)
                     and any(all(q + p in set(equal) for p in mask) for mask in decontamination.MASKS)
@@ -328,9 +332,11 @@ def test_overlaps_with_three_substitutions(llm):
 def test_overlaps(llm, empty, monkeypatch):
     rng = random.Random(2)
     items = [(i, prose(rng, n, 500)) for i, n in enumerate((11, 12, 13, 15, 20, 40, 60))] + [(7, None), (8, ""), (9, None)]
+    items += [(30, prose(rng, 5, 500)), (31, prose(rng, 8, 500)), (32, prose(rng, 4, 500))]
     items += [(20, items[4][1]), (3, items[3][1])]
     rows = []
-    for item_id, text in items[:7]:
+    rows += [(800 + i, f"{prose(rng, 9)} {t.upper()} {prose(rng, 3)}") for i, t in items[10:13]]
+    for item_id, text in [*items[:7], *items[10:13]]:
         for changes in (0, 1, 2, 4, 8):
             said = text.split()
             for i in rng.sample(range(len(said)), min(changes, len(said))):
@@ -338,6 +344,7 @@ def test_overlaps(llm, empty, monkeypatch):
             cut = rng.choice((0, 0, 3))
             rows.append((len(rows), f"{prose(rng, rng.randrange(20))} {' '.join(said[cut:]).upper()}\n{prose(rng, rng.randrange(9))}"))
     rows += [(900, None), (901, ""), (902, items[5][1]), (902, items[5][1]), (None, items[6][1] + " " + items[5][1])]
+    assert {30, 31} <= {r[2] for r in brute_overlaps(rows, items)} and 32 not in {r[2] for r in brute_overlaps(rows, items)}
     df = llm.createDataFrame([(*r, "mine", 4) for r in rows], "doc_id long, text string, w string, item_id int")
     bench = llm.createDataFrame(items, "item_id long, text string")
     columns = ["doc_id", "contaminated", "item_id", "n_items", "matched_words"]

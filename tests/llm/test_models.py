@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidegauge.llm import mixing, secret_scan, toxicity
+from tidegauge.llm import mixing, near_dedup, secret_scan, toxicity
 
 from .conftest import DOCS, prose
 
@@ -213,6 +213,9 @@ def test_pipeline(llm, docs, tmp_path):
     assert all(clean <= ids for ids in list(seen.values())[:4])
     assert {18, 19, 20} & seen["quality_rules"] == set() and 200 in seen["near_dedup"] and 200 not in seen["decontamination"]
     assert len({210, 211} & seen["near_dedup"]) == 1
+    linked = near_dedup.near_groups(rows, shingle=2).filter("not leads").select("doc_id").distinct()
+    left = {r["doc_id"] for r in corpus_pipeline.near_copies(llm, rows, folder).collect()}
+    assert left.isdisjoint({r["doc_id"] for r in linked.collect()}) and linked.count() > 2
     got = corpus_pipeline.run(llm, folder)
     assert {"pass", "words", "shard", "shard_order"} < set(got.columns)
     assert {r["doc_id"] for r in got.collect()} <= seen["decontamination"]

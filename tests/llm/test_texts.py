@@ -50,7 +50,9 @@ def test_spans_and_escapes():
     for (_, text), (start, end, first, last) in zip(turns, found["spans"]):
         assert start < first <= last < end and template.unescape(found["formatted"][first:last]) == text
     many = [("user" if i % 2 else "assistant", f"t{i} {CONTROL}") for i in range(70)]
-    assert chat_format.locate_turns(template, many, context=4) == chat_format.locate_turns(template, many)
+    whole, output = chat_format.render_prefixes(template, many, 0, 70)
+    parts = [chat_format.render_prefixes(template, many, k, min(70, k + 16)) for k in range(0, 70, 16)]
+    assert [p for found, _ in parts for p in found] == whole and parts[-1][1] == output
 
 
 class LastTurnOnly(chat_format.MarkedTurns):
@@ -67,6 +69,33 @@ def test_rewritten_history_is_found():
     assert found["spans"][0] == (None,) * 4 and found["formatted"][slice(*found["spans"][2][2:])] == "three"
 
 
+def rewrites_once():
+    class RewritesOnce(chat_format.MarkedTurns):
+        """Another beginning while a conversation has 600 to 699 turns."""
+
+        def render(self, turns):
+            return ("!" if 600 <= len(turns) < 700 else "") + super().render(turns)
+
+    return RewritesOnce()
+
+
+@pytest.mark.parametrize("prefixes", [10_000, 100])
+def test_long_conversations_are_rendered_whole(llm, monkeypatch, prefixes):
+    monkeypatch.setattr(chat_format, "PREFIXES", prefixes)
+    rows = [(5, i, "user" if i % 2 else "assistant", f"t{i} {CONTROL}") for i in range(800)]
+    rows += [(None, i, "user", f"n{i}") for i in range(150)] + [(7, 0, "assistant", "short")]
+    df = llm.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat_format.format_conversations(df, rewrites_once()).collect()}
+    assert got[5]["rewritten_at"] == 599 and got[None]["rewritten_at"] is None and len(got) == 3
+    parse = chat_format.MarkedTurns().parse
+    assert [text for _, text in parse(got[5]["formatted"])] == [r[3] for r in rows[:800]]
+    assert len(got[5]["turns"]) == 800 and len(got[None]["turns"]) == 150
+    # All spans up to the last rewriting are void, those behind it stand.
+    assert [t["start"] is None for t in got[5]["turns"]] == [i < 699 for i in range(800)]
+    last = got[5]["turns"][-1]
+    assert chat_format.MarkedTurns().unescape(got[5]["formatted"][last["text_start"] : last["text_end"]]) == rows[799][3]
+
+
 def test_conversations(llm):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, None, "x"), (1, 1, "assistant", "b"), (2, None, "user", "y"), (2, 3, "user", "z")]
     df = llm.createDataFrame([(*r, "mine") for r in rows], "conv_id long, turn long, role string, text string, formatted string")

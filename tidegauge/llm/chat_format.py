@@ -19,21 +19,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import sha256
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import in_batches, query, rows_of, table
-from tidegauge.session import spread
+from tidegauge.llm.common import broadcast_if_small, in_batches, query, rows_of, table
+from tidegauge.session import spread, staged
 
 Turn = tuple[str, str]
 
-# A prefix is rendered from at most twice so many turns; the joined spans of a longer
-# conversation are compared with one full render and redone in full if they differ.
-CONTEXT = 256
+# Prefixes of one conversation that a task renders; those of a longer one go to several tasks.
+PREFIXES = 256
+BROADCAST_ROWS = 100_000  # ids of such long conversations
 
 
 class Template(Protocol):
@@ -98,56 +98,46 @@ def _text_span(template: Template, before: list[Turn], turn: Turn, output: str)
     return start, len(output) - after
 
 
-def locate_turns(template: Template, turns: list[Turn], context: int = CONTEXT) -> dict:
-    """Formatted text, one span per turn and where history was first rewritten."""
-    full = template.render(turns)
-    found = _walk(template, turns, context)
-    if found is None or "".join(p for p, _ in found) != full:
-        return _walk_whole(template, turns, full)
-    spans, at = [], 0
-    for piece, text in found:
-        spans.append((at, at + len(piece), *((at + text[0], at + text[1]) if text else (None, None))))
-        at += len(piece)
-    return {"formatted": full, "spans": spans, "rewritten_at": None}
-
-
-def _walk(template: Template, turns: list[Turn], context: int) -> list | None:
-    """Added piece and text position of every turn, or None where a prefix is rewritten."""
-    found, start = [], 0
-    output = template.render([])
-    lead = len(output)
-    for k, turn in enumerate(turns):
-        if k - start >= 2 * context:
-            start = k - context
-            output = template.render(turns[start:k])
-        longer = template.render(turns[start : k + 1])
-        if not longer.startswith(output):
-            return None
-        text = _text_span(template, turns[start:k], turn, longer)
-        from_ = 0 if k == 0 else len(output)
-        if text is not None and text[0] < len(output):
-            text = None
-        found.append((longer[from_:], text and (text[0] - from_, text[1] - from_)))
-        output = longer
-    return found if turns or not lead else None
+class Prefix(NamedTuple):
+    """What rendering one more turn gave: lengths of the outputs before and after, their common
+    beginning, and where the turn's text stands."""
 
+    before: int
+    same: int
+    end: int
+    text_start: int | None
+    text_end: int | None
 
-def _walk_whole(template: Template, turns: list[Turn], full: str) -> dict:
-    """Every prefix from its first turn; spans that a later output changes become void."""
-    spans: list[tuple] = []
-    rewritten_at, output = None, template.render([])
-    for k, turn in enumerate(turns):
+
+def render_prefixes(template: Template, turns: list[Turn], first: int, last: int) -> tuple[list[Prefix], str]:
+    """Each prefix that ends with one of the turns ``[first, last)``, and the last output."""
+    found, output = [], template.render(turns[:first])
+    for k in range(first, last):
         longer = template.render(turns[: k + 1])
         same = _common(output, longer)
-        if same < len(output):
-            rewritten_at = k if rewritten_at is None else rewritten_at
-            spans = [s if s[1] is not None and s[1] <= same else (None,) * 4 for s in spans]
-        text = _text_span(template, turns[:k], turn, longer)
+        text = _text_span(template, turns[:k], turns[k], longer)
         if text is not None and text[0] < same:
             text = None
-        spans.append((0 if k == 0 else same, len(longer), *(text or (None, None))))
+        found.append(Prefix(len(output), same, len(longer), *(text or (None, None))))
         output = longer
-    return {"formatted": full, "spans": spans, "rewritten_at": rewritten_at}
+    return found, output
+
+
+def joined_spans(found: list[Prefix]) -> dict:
+    """Spans of the turns, void where a later output changed them, and the first such turn."""
+    spans, least = [], None
+    for k, p in reversed(list(enumerate(found))):
+        kept = least is None or p.end <= least
+        spans.append((0 if k == 0 else p.same, p.end, p.text_start, p.text_end) if kept else (None,) * 4)
+        least = p.same if least is None else min(least, p.same)
+    rewritten = next((k for k, p in enumerate(found) if p.same < p.before), None)
+    return {"spans": spans[::-1], "rewritten_at": rewritten}
+
+
+def locate_turns(template: Template, turns: list[Turn]) -> dict:
+    """Formatted text, one span per turn and where history was first rewritten."""
+    found, output = render_prefixes(template, turns, 0, len(turns))
+    return {"formatted": output, **joined_spans(found)}
 
 
 SPAN = "struct<role:string,start:bigint,end:bigint,text_start:bigint,text_end:bigint,loss:boolean>"
@@ -177,15 +167,56 @@ def format_conversations(df: DataFrame, template: Template, loss_roles: tuple[st
     """One row per conversation: the formatted text and the spans of turns and texts.
 
     Rows are dealt by conversation and stream through a sorted partition; only the
-    conversation that is being formatted, itself one value of the result, is in memory.
+    conversation that is being formatted, itself one value of the result, is in memory. The
+    prefixes of a conversation of over ``PREFIXES`` turns are rendered by several tasks.
     """
     rows = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = spread(rows, "conv_id").sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), "role", "text")
+    long = staged(rows.groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") > PREFIXES), "long")
+    many = long.limit(1).count() > 0
+    named = broadcast_if_small(long.select(F.col("conv_id").alias("_id")), BROADCAST_ROWS)
+    is_long = rows["conv_id"].eqNullSafe(F.col("_id"))
+    short = rows.join(named, is_long, "left_anti") if many else rows
+    short = spread(short, "conv_id").sortWithinPartitions("conv_id", F.asc_nulls_last("turn"), "role", "text")
 
     def run(batches):
         return in_batches(_formatted(rows_of(batches), template, loss_roles), _ARROW, 64)
 
-    return rows.mapInArrow(run, RESULT)
+    done = short.mapInArrow(run, RESULT)
+    return done.unionByName(_format_long(rows.join(named, is_long, "left_semi"), template, loss_roles)) if many else done
+
+
+PART = "conv_id bigint, part int, prefixes array<struct<before:bigint,same:bigint,end:bigint,text_start:bigint,text_end:bigint>>, formatted string"
+
+
+def _format_long(rows: DataFrame, template: Template, loss_roles: tuple[str, ...]) -> DataFrame:
+    size = PREFIXES
+    one = F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text")
+    turns = staged(rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("all")), "long-turns")
+    parts = turns.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / size).cast("int"))))
+    whole = pa.list_(pa.struct([(n, pa.int64()) for n in Prefix._fields]))
+    schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("prefixes", whole), ("formatted", pa.string())])
+
+    def render(batches):
+        for row in rows_of(batches):
+            given = [(t["role"], t["text"]) for t in row["all"]]
+            last = min(len(given), (row["part"] + 1) * size)
+            found, output = render_prefixes(template, given, row["part"] * size, last)
+            told = {"conv_id": row["conv_id"], "part": row["part"], "prefixes": [p._asdict() for p in found], "formatted": output if last == len(given) else None}
+            yield pa.RecordBatch.from_pylist([told], schema)
+
+    rendered = spread(parts, "conv_id", "part").mapInArrow(render, PART)
+    joined = rendered.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "prefixes"))).alias("parts"), F.max("formatted").alias("formatted"))
+    roles = turns.select(F.col("conv_id").alias("_id"), F.col("all.role").alias("roles"))
+    met = joined.join(roles, F.col("conv_id").eqNullSafe(F.col("_id"))).select("conv_id", "formatted", "parts", "roles")
+
+    def finish(batches):
+        return in_batches(map(one_result, rows_of(batches)), _ARROW, 1)
+
+    def one_result(row: dict) -> dict:
+        found = [Prefix(**p) for part in row["parts"] for p in part["prefixes"]]
+        return _told(row["conv_id"], row["roles"], {"formatted": row["formatted"], **joined_spans(found)}, loss_roles)
+
+    return met.mapInArrow(finish, RESULT)
 
 
 def _formatted(rows: Iterator[dict], template: Template, loss_roles: tuple[str, ...]) -> Iterator[dict]:
@@ -202,12 +233,12 @@ def _formatted(rows: Iterator[dict], template: Template, loss_roles: tuple[str,
 
 
 def _result(conv, turns: list[Turn], template: Template, loss_roles: tuple[str, ...]) -> dict:
-    found = locate_turns(template, turns)
+    return _told(conv, [role for role, _ in turns], locate_turns(template, turns), loss_roles)
+
+
+def _told(conv, roles: list[str], found: dict, loss_roles: tuple[str, ...]) -> dict:
     names = ("start", "end", "text_start", "text_end")
-    spans = [
-        {"role": role, **dict(zip(names, span)), "loss": role in loss_roles}
-        for (role, _), span in zip(turns, found["spans"])
-    ]
+    spans = [{"role": role, **dict(zip(names, span)), "loss": role in loss_roles} for role, span in zip(roles, found["spans"])]
     return {"conv_id": conv, "formatted": found["formatted"], "turns": spans, "rewritten_at": found["rewritten_at"]}
 
 

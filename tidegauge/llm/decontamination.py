@@ -7,9 +7,12 @@ Along that alignment the words are compared one by one, and the overlap counts w
 ``WINDOW`` consecutive words of the item hold ``MATCHES`` equal ones. Words are
 lower-cased runs between white space.
 
-Defined cases. Items with fewer words than a mask spans are no evidence and never match,
-nor does an item of which a document holds fewer; items between that and ``WINDOW`` words are compared as a whole, at the same share of
-equal words. Null texts have no words. Equal items are compared once and reported under
+Items of ``SHORT`` words to fewer than a mask spans have one hash each, of all their words,
+that meets the document's windows of the same length; they match where every word is equal.
+
+Defined cases. Items of fewer than ``SHORT`` words are no evidence and never match. An item
+that a mask spans matches nothing in documents of fewer words than that; those up to
+``WINDOW`` words are compared as a whole, at the same share of equal words. Null texts have no words. Equal items are compared once and reported under
 the smallest item_id. Rows that repeat id and text are one document. Further columns are
 kept as they are. Empty tables give no matches.
 """
@@ -28,6 +31,7 @@ from tidegauge.session import staged
 # document: the first of 12 words replaced, or two of 13 replaced or cut off at the ends.
 MASKS = ((0, 1, 4, 6, 7), (0, 3, 8, 10, 11), (0, 2, 5, 6, 9), (0, 4, 5, 7, 9))
 SPAN = 12
+SHORT = 5
 WINDOW = 15
 MATCHES = 12
 
@@ -66,14 +70,15 @@ def _windows(rows: DataFrame, *keep: str) -> DataFrame:
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """Distinct items with their words, under the smallest id."""
-    items = benchmark.select("item_id", words("text").alias("w")).filter(F.size("w") >= SPAN)
+    items = benchmark.select("item_id", words("text").alias("w")).filter(F.size("w") >= SHORT)
     return items.groupBy("w").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, text_key, item_id, at, matched``: verified overlaps, ``at`` being the
     document's word that the item's first word falls on (negative if cut off)."""
-    items = staged(benchmark_items(benchmark), "items")
+    every = staged(benchmark_items(benchmark), "items")
+    items, short = every.filter(F.size("w") >= SPAN), every.filter(F.size("w") < SPAN)
     seeds = _windows(items, "item_id").select("key", "item_id", F.col("at").alias("item_at")).distinct()
     docs = docs.select("doc_id", "text", text_hash().alias("text_key"))
     spoken = docs.select(*DOC, words("text").alias("w"))
@@ -96,7 +101,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one = one.select(*DOC, "item_id", "at", under.alias("under"))
     judged = one.join(items.select("item_id", F.col("w").alias("said")), "item_id").withColumn("equal", _equal_places())
     judged = judged.withColumn("matched", F.size("equal")).filter(_dense())
-    return judged.select(*DOC, "item_id", "at", "matched").distinct()
+    judged = judged.select(*DOC, "item_id", "at", "matched").distinct()
+    lengths = sorted(r[0] for r in short.select(F.size("w")).distinct().collect())  # SPAN - SHORT at most
+    for length in lengths:
+        judged = judged.unionByName(_equal_items(spoken, short.filter(F.size("w") == length), length))
+    return judged
+
+
+def _equal_items(spoken: DataFrame, items: DataFrame, length: int) -> DataFrame:
+    """Places where a document has all words of an item of ``length`` words."""
+
+    def window(i: Column) -> Column:
+        return F.xxhash64(F.lit(length), *(F.get("w", i + k) for k in range(length)))
+
+    starts = F.sequence(F.lit(0), F.size("w") - length)
+    hashed = spoken.select(*DOC, "w", F.when(F.size("w") >= length, F.transform(starts, window)).alias("h"))
+    placed = hashed.select(*DOC, "w", F.posexplode_outer("h").alias("at", "key")).filter(F.col("key").isNotNull())
+    placed = placed.select(*DOC, "at", "key", F.slice("w", F.col("at") + 1, length).alias("under"))
+    known = items.select(window(F.lit(0)).alias("key"), "item_id", F.col("w").alias("said"))
+    # A short item is a dozen words at most.
+    met = placed.join(broadcast_if_small(known, BROADCAST_ROWS // 10), "key").filter(F.col("under") == F.col("said"))
+    return met.select(*DOC, "item_id", "at", F.lit(length).alias("matched")).distinct()
 
 
 def _equal_places() -> Column:
@@ -134,13 +159,13 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = staged(contaminated(docs, benchmark), "contaminated")
     found = found.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
     own = [c for c in docs.columns if c not in ("contaminated", "item_id", "n_items", "matched_words")]
-    met = docs.select(*own, text_hash().alias("_key")).join(
+    met = _keyed(docs.select(*own)).join(
         broadcast_if_small(found, BROADCAST_ROWS),
-        F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")),
+        F.col("_own.doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")),
         "left",
     )
     return met.select(
-        *own,
+        "_own.*",
         F.col("_text_key").isNotNull().alias("contaminated"),
         "item_id",
         F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
@@ -151,12 +176,17 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones."""
     found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"))
-    kept = docs.withColumn("_key", text_hash()).join(
+    kept = _keyed(docs).join(
         broadcast_if_small(staged(found, "contaminated"), BROADCAST_ROWS),
-        F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")),
+        F.col("_own.doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")),
         "left_anti",
     )
-    return kept.drop("_key")
+    return kept.select("_own.*")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """All columns in one struct, whatever their names, beside the hash of the text."""
+    return docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_own"), text_hash().alias("_key"))
 
 
 def _sql_seeds(picked: tuple[int, ...]) -> str:
@@ -192,7 +222,14 @@ _SQL_WINDOWS = " UNION ALL ".join(
             lambda q: q + lag >= 1 AND said.w[greatest(q + lag, 1)] IS NOT DISTINCT FROM items.w[q]) AS e, len(items.w) AS n
         FROM hits JOIN items ON items.id = item_id JOIN said ON said.id = doc_id
     ),
+    brief AS (
+        SELECT min(item_id) AS id, w FROM (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark)
+        WHERE len(w) BETWEEN {SHORT} AND {SPAN - 1} GROUP BY w
+    ),
     found AS (
+        SELECT DISTINCT said.id AS doc_id, brief.id AS item_id, len(brief.w) AS matched FROM brief JOIN said
+        ON list_has_any(list_transform(range(1, len(said.w) - len(brief.w) + 2), lambda i: said.w[i : i + len(brief.w) - 1]), [brief.w])
+        UNION ALL
         SELECT doc_id, item_id, len(e) AS matched FROM equal
         WHERE len(list_filter(range(1, len(e) + 1), lambda k:
             k >= ceil(least(n, {WINDOW}) * {MATCHES} / {WINDOW})

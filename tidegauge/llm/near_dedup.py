@@ -329,13 +329,14 @@ def dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near copies."""
     groups = staged(near_groups(docs, shingle, percent), "groups")
     gone = groups.filter("not leads").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct()
-    keyed = docs.withColumn("_k", text_hash())
+    own = F.struct(*(F.col(c) for c in docs.columns)).alias("_own")
+    keyed = docs.select(own, F.col("doc_id").alias("_i"), text_hash().alias("_k"))
     kept = keyed.join(
-        broadcast_if_small(gone, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")), "left_anti"
+        broadcast_if_small(gone, BROADCAST_ROWS), F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")), "left_anti"
     )
     if _repeats(groups):
-        kept = kept.dropDuplicates(["doc_id", "_k"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["_i", "_k"])
+    return kept.select("_own.*")
 
 
 @query(

@@ -14,7 +14,7 @@ is the log of how much more often it stands in toxic text than in other text. Pl
 by their neighbouring words, since copies of one toxic document share all their words: a
 stem whose places are mostly the same is the copies' and not a toxic one. A phrase around a
 stem is an exception if ``MIN_SUPPORT`` non-toxic documents hold it and toxic ones rarely
-do. At most ``MAX_STEMS`` stems and phrases are considered.
+do.
 
 Defined cases. Null and blank texts have no hits and get the score of an empty text.
 Without toxic (or without other) training documents, or
@@ -42,7 +42,6 @@ from tidegauge.llm.common import SPACES, crc32_of, query, table
 
 MODULUS, HELD_OUT = 3, 1
 MAX_LABELLED = 20_000
-MAX_STEMS = 2_000
 MIN_SUPPORT = 5
 MIN_SHARE = 0.6  # of a stem's places that are toxic
 MIN_EVIDENCE = 25.0  # a G statistic; by chance one stem in two millions reaches it
@@ -168,7 +167,7 @@ def _candidates(rows: DataFrame, rate: float) -> list[str]:
     sums = rows.mapInArrow(run, "stem string, toxic bigint, docs bigint").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
     able = sums.filter((F.col("toxic") >= MIN_SUPPORT) & (F.col("toxic") >= 2 * rate * F.col("docs")))
     told = able.withColumn("evidence", F.round(_evidence(F.col("toxic"), F.col("docs"), rate), 6)).filter(F.col("evidence") >= MIN_EVIDENCE)
-    return [r["stem"] for r in told.orderBy(F.desc("evidence"), "stem").limit(MAX_STEMS).collect()]
+    return [r["stem"] for r in told.orderBy(F.desc("evidence"), "stem").collect()]
 
 
 def _weights(rows: DataFrame, candidates: list[str], rate: float, words: tuple[int, int]) -> dict[str, float]:
@@ -215,7 +214,7 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon) -> frozenset[str]:
 
     counts = rows.mapInArrow(run, "phrase string, toxic bigint").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("docs"))
     able = counts.filter((F.col("docs") - F.col("toxic") >= MIN_SUPPORT) & (F.col("toxic") <= 0.2 * F.col("docs")))
-    return frozenset(r["phrase"] for r in able.orderBy(F.desc("docs"), "phrase").limit(MAX_STEMS).collect())
+    return frozenset(r["phrase"] for r in able.select("phrase").collect())
 
 
 def _curve(density: np.ndarray, toxic: np.ndarray, count: np.ndarray) -> tuple[float, float]:
