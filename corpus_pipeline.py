@@ -15,8 +15,8 @@ from tidegauge.llm import decontamination, line_dedup, mixing, near_dedup, quali
 from tidegauge.llm.common import prepare, table
 from tidegauge.session import staged
 
-#: Words per shingle and least similarity, in percent, of near copies.
-SHINGLE, SIMILAR = 5, 80
+#: Words per shingle and least similarity, in percent, of near copies: those of op8's contract.
+SHINGLE, SIMILAR = 2, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
