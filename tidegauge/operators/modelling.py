@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidegauge.functions.special import lgamma, normal_cdf
+from tidegauge.functions.special import generalised_error_cdf, lgamma, normal_cdf, student_t_cdf
 from tidegauge.operators.ordered import prefix_sum, with_rank
 from tidegauge.operators.quantiles import exact_quantiles
 from tidegauge.session import staged
@@ -163,22 +163,33 @@ def fit_all(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     return out
 
 
-def ks_gaussian(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
-    """Kolmogorov-Smirnov statistic against the fitted Gaussian, with asymptotic p-value.
+def distribution(family: Column, x: Column, loc: Column, scale: Column, shape: Column) -> Column:
+    """Distribution function of the fitted family of a row."""
+    z = (x - loc) / scale
+    return (
+        F.when(family == "gaussian", normal_cdf(z))
+        .when(family == "student_t", student_t_cdf(z, shape))
+        .when(family == "ged", generalised_error_cdf(z, shape))
+    )
+
+
+def ks_fitted(df: DataFrame, fits: DataFrame, by: Sequence[str], x: str) -> DataFrame:
+    """Kolmogorov-Smirnov statistic and asymptotic p-value of every fit of every group.
 
-    Equal values are counted before ranking, and ranks come from range
-    partitions and chunked sums, so a large group is never in one task.
+    ``fits`` holds ``(*by, family, loc, scale, shape)``. Equal values are counted before
+    ranking, and ranks come from range partitions and chunked sums, so a large group is never
+    in one task.
     """
     by = list(by)
-    fit = df.groupBy(*by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("loc"), F.greatest(F.stddev_pop(x), F.lit(1e-12)).alias("scale")
-    )
-    counts = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    known = df.filter(F.col(x).isNotNull())
+    counts = known.groupBy(*by, F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     ranked = prefix_sum(with_rank(counts, by, ["_x"], "_r"), by, {"_upto": F.col("_c")}, "_r")
-    cdf = normal_cdf((F.col("_x") - F.col("loc")) / F.col("scale"))
-    gaps = ranked.join(fit, by).withColumn("_cdf", cdf)
+    wanted = fits.select(*by, "family", F.col("loc").alias("_loc"), F.col("scale").alias("_scale"), F.col("shape").alias("_shape"))
+    gaps = ranked.join(sizes, by).join(wanted, by)
+    gaps = gaps.withColumn("_cdf", distribution(F.col("family"), F.col("_x"), F.col("_loc"), F.col("_scale"), F.col("_shape")))
     gap = F.greatest(F.col("_upto") / F.col("n") - F.col("_cdf"), F.col("_cdf") - (F.col("_upto") - F.col("_c")) / F.col("n"))
-    stats = gaps.groupBy(*by).agg(F.max(gap).alias("ks_stat"), F.max("n").alias("n"))
+    stats = gaps.groupBy(*by, "family").agg(F.max(gap).alias("ks_stat"), F.max("n").alias("n"))
     lam = F.col("n") * F.col("ks_stat") * F.col("ks_stat")
     tail = F.lit(0.0)
     for k in range(1, 101):
@@ -186,6 +197,13 @@ def ks_gaussian(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     return stats.withColumn("ks_pvalue", F.greatest(F.least(tail, F.lit(1.0)), F.lit(0.0)))
 
 
+def ks_gaussian(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
+    """``ks_fitted`` for the Gaussian of each group's own mean and deviation."""
+    fit = df.groupBy(*by).agg(F.avg(x).alias("loc"), F.greatest(F.stddev_pop(x), F.lit(1e-12)).alias("scale"))
+    fit = fit.withColumns({"family": F.lit("gaussian"), "shape": F.lit(None).cast("double")})
+    return ks_fitted(df, fit, by, x).drop("family")
+
+
 # Reported levels and percentiles.
 LEVELS = [0.01, 0.02, 0.05, 0.10, 0.125, 0.15, 0.20, 0.25]
 PERCENTS = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p99_9": 0.999}

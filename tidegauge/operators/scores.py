@@ -24,6 +24,7 @@ from tidegauge.operators.scaling import apply_scaler, fit_scaler, persistence_re
 from tidegauge.session import staged
 
 
+HELD_GRAMS = 256  # Gram matrices of different keys that a task holds
 MAX_SENT_KEYS = 10_000  # axes of more keys are joined by a shuffle and not sent to every task
 EXPRESSION_TERMS = 64  # larger projections leave the generated code
 
@@ -201,8 +202,8 @@ def principal_axes(train: DataFrame, cols: Sequence[str], components: int) -> li
 def keyed_axes(train: DataFrame, key: Sequence[str], cols: Sequence[str], components: int) -> DataFrame:
     """``principal_axes`` of every key by itself: the key and ``axes``, one array per component.
 
-    A task multiplies its Arrow batches key by key; one Gram matrix per key and task is
-    exchanged, and the axes of a key are found where its sums meet.
+    A task sums the products of its Arrow batches key by key, up to ``HELD_GRAMS`` keys at a
+    time; cells of the Gram matrices are summed on, and one matrix a key gives the axes.
     """
     key, cols = list(key), list(cols)
     if not 1 <= components <= len(cols):
@@ -213,22 +214,37 @@ def keyed_axes(train: DataFrame, key: Sequence[str], cols: Sequence[str], compon
     found = T.StructType([*fields, T.StructField("axes", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+
+        def told() -> pa.RecordBatch:
+            names = [pd.Series(list(part), dtype=object) for part in zip(*sums)]
+            columns = [pa.array(n, kind, from_pandas=True) for n, kind in zip(names, kinds)]
+            matrices = pa.array([gram.ravel() for gram in sums.values()], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([*columns, matrices], names=[*key, "gram"])
+
         for batch in batches:
-            table = batch.to_pandas()
-            rows = []
-            for name, part in table.groupby(key, dropna=False):
+            kinds = [batch.column(i).type for i in range(len(key))]
+            for name, part in batch.to_pandas().groupby(key, dropna=False):
                 x = part[cols].to_numpy(float)
-                rows.append({**dict(zip(key, name)), "gram": (x.T @ x).ravel().tolist()})
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[*key, "gram"]), preserve_index=False)
+                sums[name] = sums.get(name, 0.0) + x.T @ x
+            if len(sums) > HELD_GRAMS:
+                yield told()
+                sums.clear()
+        if sums:
+            yield told()
 
     def axes(part: pd.DataFrame) -> pd.DataFrame:
-        gram = np.sum([np.array(g) for g in part["gram"]], axis=0).reshape(width, width)
+        gram = np.array(part["gram"].iloc[0]).reshape(width, width)
         values, vectors = np.linalg.eigh(gram)
         top = np.argsort(values)[::-1][:components]
         return part[key].head(1).assign(axes=[vectors[:, top].T.tolist()])
 
     values = train.select(*key, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
-    return values.mapInArrow(partial, grams).groupBy(*key).applyInPandas(axes, found)
+    cells = values.mapInArrow(partial, grams).select(*key, F.posexplode("gram").alias("cell", "part"))
+    sums = cells.groupBy(*key, "cell").agg(F.sum("part").alias("part"))
+    whole = sums.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("cell", "part"))).alias("cells"))
+    return whole.select(*key, F.col("cells.part").alias("gram")).groupBy(*key).applyInPandas(axes, found)
 
 
 def keyed_spe_score(

@@ -70,6 +70,29 @@ def ks_statistic(spark, sf_dir):
     return rounded(out.select("event_type", "n", "ks_stat"), "ks_stat")
 
 
+# Moment fits with shapes whose distribution functions are elementary: five degrees, and Laplace.
+@query(
+    "ks_families",
+    f"""WITH f AS (SELECT event_type, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY event_type),
+    r AS (SELECT e.event_type, n, (value - m) / s AS z, row_number() OVER (PARTITION BY e.event_type ORDER BY value) AS i FROM events e JOIN f USING (event_type)),
+    q AS (SELECT *, z / sqrt(3.0 / 5) / sqrt(5.0) AS u, z * sqrt(2.0) AS w FROM r),
+    c AS (SELECT event_type, n, i, unnest(['gaussian', 'student_t', 'ged']) AS family,
+      unnest([{sql_normal_cdf('z')}, 0.5 + (u / (1 + u * u) * (1 + 2 / (3 * (1 + u * u))) + atan(u)) / pi(), 0.5 + 0.5 * sign(w) * (1 - exp(-abs(w)))]) AS c FROM q),
+    k AS (SELECT event_type, family, any_value(n) AS n, max(greatest(i / n - c, c - (i - 1) / n)) AS ks_stat FROM c GROUP BY event_type, family)
+    SELECT event_type, family, n, {sql_round('ks_stat')} AS ks_stat,
+      {sql_round('greatest(0, least(1, list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END) * exp(-2.0 * k * k * n * ks_stat * ks_stat)))))')} AS ks_pvalue FROM k""",
+)
+def ks_families(spark, sf_dir):
+    """Goodness of fit of all three families, per event type."""
+    events = views.table(spark, sf_dir, "events")
+    moments = events.groupBy("event_type").agg(F.avg("value").alias("loc"), F.stddev_pop("value").alias("s"))
+    shapes = {"gaussian": (1.0, None), "student_t": ((3 / 5) ** 0.5, 5.0), "ged": (0.5**0.5, 1.0)}
+    family = F.explode(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(c).alias("c"), F.lit(v).cast("double").alias("shape")) for f, (c, v) in shapes.items())))
+    fits = moments.withColumn("f", family).select("event_type", "f.family", "loc", (F.col("s") * F.col("f.c")).alias("scale"), "f.shape")
+    out = modelling.ks_fitted(events, staged(fits, "fits"), ["event_type"], "value")
+    return rounded(out.select("event_type", "family", "n", "ks_stat", "ks_pvalue"), "ks_stat", "ks_pvalue")
+
+
 _NULL_COLUMNS = ["sparsity_rate", "mean_abs_nonzero", "max_abs", "std_null", *modelling.PERCENTS]
 _DELTA_SQL = """dl AS (SELECT series_id, label, CASE WHEN abs(z) >= 0.5 THEN value - m ELSE 0 END AS d FROM z)"""
 
