@@ -12,6 +12,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ from tidegauge.functions.waveforms import (
     waveform,
 )
 from tidegauge.operators.metrics import count_if
-from tidegauge.operators.ordered import feedback_scan, geometric_scan, prefix_sum, with_lag
+from tidegauge.operators.ordered import chunked, feedback_scan, geometric_scan, prefix_sum, with_lag
 from tidegauge.operators.quantiles import exact_quantiles
 from tidegauge.session import staged
 
@@ -34,6 +35,7 @@ CELL = ["series_id", "sensor", "t"]
 # Regime names, and the id formats below, are part of the result.
 REGIMES = ["low_dynamics", "medium_dynamics", "high_dynamics"]
 NO_PARAMETERS = "map<string,double>"
+ONSETS = 16_384  # of a series that one task tries for a shape
 MAX_THETAS = 100  # so many reversion rates get a plan branch each; more run row by row in one
 
 
@@ -365,32 +367,48 @@ def first_valid_onset(
 ) -> DataFrame:
     """Smallest onset in ``[first, stop)`` whose injection leaves no bound; null if none.
 
-    ``shapes`` are scenarios without onset; every candidate onset becomes rows of
-    supported cells, aggregated to one flag before the minimum.
+    ``shapes`` are scenarios without onset. A shape is evaluated once and slides along pieces
+    of its series, which overlap by the longest shape: a task keeps the least headroom of
+    every onset of a piece while it adds one step of the shape after the other, so neither
+    onsets nor cells of shifted shapes become rows. Missing values leave no bound.
     """
     jump = F.lit(1).cast("long") if step is None else step.cast("long")
-    candidates = shapes.withColumn("_stop", stop.cast("long") - 1).withColumn(
-        "onset",
-        F.explode(F.when(F.col("_stop") >= first, F.sequence(F.lit(first).cast("long"), F.col("_stop"), jump))),
-    ).drop("_stop")
-    tagged = candidates.withColumn("_id", F.col("scenario_id")).withColumn(
-        "scenario_id", F.concat_ws("@", "scenario_id", F.col("onset").cast("string"))
-    )
-    cells = scenario_deltas(tagged, random=False).join(clean.select(*CELL, "value"), CELL)
-    y = F.col("value") + F.col("delta")
-    fine = cells.join(bounds, "sensor", "left").groupBy("series_id", "scenario_id").agg(
-        F.bool_and(
-            (y >= F.coalesce("low", F.lit(float("-inf"))) - 1e-9)
-            & (y <= F.coalesce("high", F.lit(float("inf"))) + 1e-9)
-        ).alias("_ok")
-    )
-    onset = F.substring_index("scenario_id", "@", -1).cast("long")
-    best = (
-        fine.filter("_ok")
-        .select("series_id", F.expr("regexp_replace(scenario_id, '@[0-9]+$', '')").alias("scenario_id"), onset.alias("onset"))
-        .groupBy("series_id", "scenario_id")
-        .agg(F.min("onset").alias("onset"))
+    longest = shapes.agg(F.max("duration")).first()[0]
+    if longest is None:
+        return shapes.drop("onset").withColumn("onset", F.lit(None).cast("long"))
+    size = max(ONSETS, int(longest))
+    still = shapes.drop("onset").withColumns({"onset": F.lit(0).cast("long"), "_stop": stop.cast("long"), "_jump": jump})
+    deltas = scenario_deltas(still.drop("_stop", "_jump"), random=False).groupBy("series_id", "scenario_id", "sensor").agg(
+        F.sort_array(F.collect_list(F.struct("i", "delta"))).alias("_d")
     )
+    shape = still.select("series_id", "scenario_id", "_stop", "_jump").join(deltas.withColumn("_d", F.col("_d.delta")), ["series_id", "scenario_id"])
+    limits = bounds.select("sensor", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))
+    shape = shape.join(limits, "sensor", "left")
+    cells = chunked(clean.select(*CELL, F.col("value").cast("double").alias("value")), ahead=int(longest) - 1, size=size)
+    pieces = cells.groupBy("series_id", "sensor", "_chunk").agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("_x"))
+    pieces = pieces.select("series_id", "sensor", "_chunk", F.col("_x.t").alias("_t"), F.col("_x.value").alias("_x"))
+    met = pieces.join(shape, ["series_id", "sensor"])
+
+    def slide(part: pd.DataFrame) -> pd.DataFrame:
+        start = int(part["_chunk"].iloc[0]) * size
+        jump, last = int(part["_jump"].iloc[0]), min(int(part["_stop"].iloc[0]), start + size)
+        onsets = np.arange(first + max(0, -(-(start - first) // jump)) * jump, last, jump)
+        fine, cells = np.ones(len(onsets), dtype=bool), np.zeros(len(onsets), dtype=np.int64)
+        for times, values, deltas, low, high in zip(part["_t"], part["_x"], part["_d"], part["low"], part["high"]):
+            x = np.full(2 * size + 1, np.nan)
+            x[np.asarray(times, dtype=np.int64) - start] = np.asarray(values, dtype=float)
+            low, high = (-np.inf if pd.isna(low) else low), (np.inf if pd.isna(high) else high)
+            for i, delta in enumerate(deltas):
+                y = x[onsets - start + i] + (np.nan if delta is None else delta)
+                fine &= ~((y < low - 1e-9) | (y > high + 1e-9))
+                cells += ~np.isnan(x[onsets - start + i])
+        found = onsets[fine & (cells > 0)]
+        out = part[["series_id", "scenario_id"]].head(1).assign(onset=int(found[0]) if len(found) else -1)
+        return out[out["onset"] >= 0]
+
+    fields = T.StructType([shapes.schema["series_id"], shapes.schema["scenario_id"], T.StructField("onset", T.LongType())])
+    found = met.groupBy("series_id", "scenario_id", "_chunk").applyInPandas(slide, fields)
+    best = found.groupBy("series_id", "scenario_id").agg(F.min("onset").alias("onset"))
     return shapes.drop("onset").join(best, ["series_id", "scenario_id"], "left")
 
 
