@@ -321,3 +321,20 @@ def test_shape_search_in_slices(spark, monkeypatch):
     want = run()
     monkeypatch.setattr(modelling, "MAX_GROUPS", 1)
     assert all(np.allclose(run()[g][:3], want[g][:3]) and want[g][3] for g in "abc")
+
+
+@pytest.mark.parametrize("sources", [1, 5])
+def test_farthest_pair_without_all_pairs(spark, monkeypatch, sources):
+    rng = np.random.default_rng(30)
+    rows = []
+    for case, n in (("a", 40), ("b", 7), ("c", 1)):
+        centre = rng.normal(size=25)
+        for k in range(n):
+            for t, d in enumerate(centre + rng.normal(size=25) * rng.uniform(0.1, 2)):
+                rows.append((case, f"k{k}", t, 0.0, 0.0, float(d), True))
+    df = spark.createDataFrame(rows, "case_id string, candidate string, t long, y double, clean double, delta double, support boolean")
+    want = {r["case_id"]: r["max_separation"] for r in recovery.candidate_separation(df, 1.0, "l1").collect()}
+    monkeypatch.setattr(recovery, "MAX_CANDIDATES", 10)
+    monkeypatch.setattr(recovery, "SOURCES", sources)
+    got = {r["case_id"]: r["max_separation"] for r in recovery.candidate_separation(df, 1.0, "l1").collect()}
+    assert got == pytest.approx(want) and got["c"] == 0.0 < got["b"]

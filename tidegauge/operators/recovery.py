@@ -24,7 +24,8 @@ from tidegauge.operators.solver import delta_bounds, recover_rolling, recover_wh
 from tidegauge.session import staged
 
 SCENARIO = ["series_id", "scenario_id"]
-MAX_CANDIDATES = 1_000
+MAX_CANDIDATES = 1_000  # of a case, up to which all pairs are summed; more are searched best first
+SOURCES = 64  # candidates of a case whose distances to all others one round sums
 
 
 def lag_variance(normal: DataFrame, key: Sequence[str], value: str, lag: int, t: str = "t") -> DataFrame:
@@ -185,7 +186,8 @@ def candidate_separation(
 
     Rows are ``(case_id, candidate, t, y, clean, delta, support)``. The largest ``linf``
     distance is the largest spread at one ``t``, so no pairs are formed; ``l1``
-    distances are summed per block of ``t`` into one matrix of candidates.
+    distances are summed per block of ``t`` into one matrix of candidates, or for many
+    candidates searched best first.
     """
     if norm not in ("linf", "l1"):
         raise ValueError("norm must be linf or l1")
@@ -198,30 +200,13 @@ def candidate_separation(
         spread = candidates.groupBy("case_id", "t").agg((F.max("delta") - F.min("delta")).alias("_d"))
         distance = spread.groupBy("case_id").agg(F.max("_d").alias("max_separation"))
     else:
-        if not checks.filter(F.col("candidate_count") > MAX_CANDIDATES).isEmpty():
-            raise ValueError(f"at most {MAX_CANDIDATES} candidates per case for l1 distances")
-        block = max(1, CHUNK // MAX_CANDIDATES)
-        schema = "case_id string, a string, b string, s double"
-
-        def pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-            wide = pdf.pivot(index="t", columns="candidate", values="delta").sort_index(axis=1)
-            names, x = list(wide.columns), wide.to_numpy()
-            pairs = [
-                (names[i], names[j], float(np.abs(x[:, i] - x[:, j]).sum()))
-                for i, j in itertools.combinations(range(len(names)), 2)
-            ]
-            out = pd.DataFrame(pairs, columns=["a", "b", "s"])
-            out.insert(0, "case_id", str(pdf["case_id"].iloc[0]))
-            return out
-
+        most = checks.agg(F.max("candidate_count")).first()[0] or 0
+        block = max(1, CHUNK // max(most, MAX_CANDIDATES))
         text = candidates.select(
             F.col("case_id").cast("string"), F.col("candidate").cast("string"), "t", "delta",
             F.floor(F.col("t") / block).alias("_block"),
         )
-        sums = text.groupBy("case_id", "_block").applyInPandas(pair_sums, schema)
-        distance = sums.groupBy("case_id", "a", "b").agg(F.sum("s").alias("_s")).groupBy("case_id").agg(
-            F.max("_s").alias("max_separation")
-        )
+        distance = _all_pairs(text) if most <= MAX_CANDIDATES else _farthest_pair(text)
         checks = checks.withColumn("case_id", F.col("case_id").cast("string"))
     far = F.col("max_separation") > tau
     return (
@@ -233,6 +218,67 @@ def candidate_separation(
     )
 
 
+PAIR_SUMS = "case_id string, a string, b string, s double"
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    sums = parts.groupBy("case_id", "a", "b").agg(F.sum("s").alias("_s"))
+    return sums.groupBy("case_id").agg(F.max("_s").alias("max_separation"))
+
+
+def _all_pairs(text: DataFrame) -> DataFrame:
+    def pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="t", columns="candidate", values="delta").sort_index(axis=1)
+        names, x = list(wide.columns), wide.to_numpy()
+        pairs = [
+            (names[i], names[j], float(np.abs(x[:, i] - x[:, j]).sum()))
+            for i, j in itertools.combinations(range(len(names)), 2)
+        ]
+        out = pd.DataFrame(pairs, columns=["a", "b", "s"])
+        out.insert(0, "case_id", str(pdf["case_id"].iloc[0]))
+        return out
+
+    return _summed(text.groupBy("case_id", "_block").applyInPandas(pair_sums, PAIR_SUMS))
+
+
+def _farthest_pair(text: DataFrame) -> DataFrame:
+    """Largest ``l1`` distance of a case by branch and bound.
+
+    Two candidates are no farther apart than the sum of their distances to the mean of all. The
+    ones farthest out are measured against all others first; as soon as no two of the rest
+    could beat the best pair, that pair is the answer.
+    """
+    middle = text.groupBy("case_id", "t").agg(F.avg("delta").alias("_m"))
+    far = text.join(middle, ["case_id", "t"]).groupBy("case_id", "candidate").agg(F.sum(F.abs(F.col("delta") - F.col("_m"))).alias("r"))
+    rest = staged(far, "reach")
+    best = staged(rest.groupBy("case_id").agg(F.lit(0.0).alias("max_separation")), "best")
+    first = Window.partitionBy("case_id").orderBy(F.desc("r"), "candidate")
+
+    def source_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="t", columns="candidate", values="delta")
+        x, names = wide.to_numpy(), wide.columns.to_numpy()
+        parts = []
+        for a in pdf.loc[pdf["_source"], "candidate"].unique():
+            away = np.abs(x - wide[a].to_numpy()[:, None]).sum(axis=0)
+            parts.append(pd.DataFrame({"a": a, "b": names, "s": away}))
+        out = pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": [], "s": []}, dtype=object)
+        out.insert(0, "case_id", str(pdf["case_id"].iloc[0]))
+        return out
+
+    while True:
+        open_ = rest.join(best, "case_id").filter(2 * F.col("r") > F.col("max_separation"))
+        sources = open_.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= SOURCES)
+        sources = staged(sources.select("case_id", "candidate", F.lit(True).alias("_source")), "sources")
+        if sources.isEmpty():
+            return best
+        marked = text.join(sources, ["case_id", "candidate"], "left").withColumn("_source", F.coalesce("_source", F.lit(False)))
+        marked = marked.join(sources.select("case_id").distinct(), "case_id", "left_semi")
+        found = _summed(marked.groupBy("case_id", "_block").applyInPandas(source_sums, PAIR_SUMS)).withColumnRenamed("max_separation", "_new")
+        better = F.greatest("max_separation", F.coalesce("_new", F.lit(0.0))).alias("max_separation")
+        best = staged(best.join(found, "case_id", "left").select("case_id", better), "best")
+        rest = staged(rest.join(sources.drop("_source"), ["case_id", "candidate"], "left_anti"), "reach")
+
+
 # --------------------------------------------------------------------- benchmark
 Estimator = Callable[[DataFrame], DataFrame]
 
