@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.operators import ordered, scaling, scores
 from tidegauge.operators.quantiles import _refined_quantiles, exact_quantiles
@@ -165,3 +166,26 @@ def test_interpolation(spark):
     rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "k string, t long, x double")
     assert by_key(scaling.interpolate_linear(rows, ["k"], ["x"]), "x")["a"] == [1, 1, 2, 3, 4, 4]
     assert by_key(scaling.fill_both_ways(rows, ["k"], ["x"]), "x")["a"] == [1, 1, 1, 1, 4, 4]
+
+
+def test_a_state_that_is_never_forgotten_takes_three_passes(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(2, 500)).cumsum(axis=1)
+    data = [(k, t, float(x[k, t])) for k in range(2) for t in range(500 if k == 0 else 90)]
+    df = spark.createDataFrame(data, "k int, t long, x double").repartition(3)
+
+    def step(columns, state):
+        level, out = (state or [0.0])[0], []
+        for v in columns["x"].tolist():
+            level += 0.01 * (v - level)
+            out.append(level)
+        return {"level": np.array(out)}, [level]
+
+    calls = []
+    inner = ordered._run_sorted
+    monkeypatch.setattr(ordered, "_run_sorted", lambda *a: calls.append(1) or inner(*a))
+    out = ordered.feedback_scan(df, ["k"], step, [T.StructField("level", T.DoubleType())], size=10)
+    got = {(r["k"], r["t"]): r["level"] for r in out.collect()}
+    assert len(calls) == 3 and len(got) == out.count() == 590
+    for k, n in ((0, 500), (1, 90)):
+        want, _ = step({"x": x[k, :n]}, None)
+        assert np.allclose([got[k, t] for t in range(n)], want["level"], atol=1e-12)

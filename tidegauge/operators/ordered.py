@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -411,10 +412,12 @@ def feedback_scan(
 
     ``step(columns, state)`` runs a piece of one series in ``t`` order and returns its
     output arrays and the end state; ``state=None`` is the series start. Chunks first
-    run in parallel from the start state; then only chunks whose true incoming
-    state differs from the one used run again, until none differs. Such states
-    forget their start (they return to zero), so few rounds are needed, but
-    the result is the sequential one in any case. Returns key, ``t`` and ``fields``.
+    run in parallel from the start state, then those whose true incoming state differs from
+    the one used run again. Most states forget their start (they return to zero), so this
+    settles most series; what a key still has wrong from some chunk on streams through one
+    task in order. That makes three passes at most, and the sequential result in any case.
+    No pass writes again what an earlier one got right: each appends its chunks under its
+    number, and the last pass over a chunk counts. Returns key, ``t`` and ``fields``.
     """
     key = list(key)
     result = [*key, t, *[f.name for f in fields]]
@@ -423,23 +426,38 @@ def feedback_scan(
 
     group = [*key, "_chunk"]
     rows = staged(chunked(df, t, size=size).drop("_own"), "chunks")
-    unused = F.lit(None).cast("array<double>")
-    done = staged(_run_sorted(rows, key, group, step, fields, t).withColumn("_used", unused), "scan")
-    while True:
-        ends = done.filter("_end IS NOT NULL").groupBy(*group).agg(
-            F.max_by("_end", t).alias("_end"), F.max_by("_used", t).alias("_used")
-        )
-        incoming = ends.select(*key, (F.col("_chunk") + 1).alias("_chunk"), F.col("_end").alias("_in"))
-        stale = staged(
-            ends.join(incoming, group).filter(~F.col("_used").eqNullSafe(F.col("_in"))).select(*group, "_in"),
-            "stale",
-        )
-        if stale.isEmpty():
-            return done.select(*result)
-        again = _run_sorted(rows.join(stale, group), key, group, step, fields, t)
-        again = again.join(stale.withColumnRenamed("_in", "_used"), group)
-        kept = done.join(stale.select(*group), group, "left_anti")
-        done = staged(kept.unionByName(again), "scan")
+    passes = [staged(_run_sorted(rows, key, group, step, fields, t), "scan")]
+    ends = passes[0].filter("_end IS NOT NULL").groupBy(*group).agg(F.max_by("_end", t).alias("_end"))
+    ends = staged(ends.withColumn("_used", F.lit(None).cast("array<double>")).withColumn("_pass", F.lit(0)), "ends")
+
+    stale = _stale(ends, key, group)
+    if not stale.isEmpty():
+        again = staged(_run_sorted(rows.join(stale, group), key, group, step, fields, t), "scan")
+        passes.append(again)
+        better = again.filter("_end IS NOT NULL").groupBy(*group).agg(F.max_by("_end", t).alias("_end"))
+        better = better.join(stale.withColumnRenamed("_in", "_used"), group).withColumn("_pass", F.lit(1))
+        ends = staged(ends.join(stale.select(*group), group, "left_anti").unionByName(better), "ends")
+        stale = _stale(ends, key, group)
+    if len(passes) > 1 and not stale.isEmpty():
+        # The first wrong chunk of a key has the right state before it, and so has all that follows.
+        first = stale.groupBy(*key).agg(F.min("_chunk").alias("_from"), F.min_by("_in", "_chunk").alias("_in"))
+        first = staged(first, "tails")
+        tails = rows.join(first, key).filter(F.col("_chunk") >= F.col("_from")).drop("_from")
+        passes.append(staged(_run_sorted(tails, key, key, step, fields, t).withColumn("_chunk", F.floor(F.col(t) / size).cast("long")), "scan"))
+        last = ends.join(first.select(*key, "_from"), key, "left")
+        ends = last.withColumn("_pass", F.when(F.col("_chunk") >= F.col("_from"), 2).otherwise(F.col("_pass")))
+    if len(passes) == 1:
+        return passes[0].select(*result)
+    valid = staged(ends.select(*group, "_pass"), "passes")
+    parts = [p.join(valid.filter(F.col("_pass") == i), group, "left_semi").select(*result) for i, p in enumerate(passes)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _stale(ends: DataFrame, key: list[str], group: list[str]) -> DataFrame:
+    """Chunks that ran from another state than the one before them left, with that state."""
+    incoming = ends.select(*key, (F.col("_chunk") + 1).alias("_chunk"), F.col("_end").alias("_in"))
+    wrong = ends.join(incoming, group).filter(~F.col("_used").eqNullSafe(F.col("_in")))
+    return staged(wrong.select(*group, "_in"), "stale")
 
 
 def with_runs(
