@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -156,6 +157,21 @@ def test_candidates():
     assert list(secret_scan.candidates("")) == []
 
 
+def test_a_million_letters_are_scanned_in_no_time():
+    began = time.perf_counter()
+    assert list(secret_scan.candidates("acgt" * 250_000)) == []
+    assert list(secret_scan.candidates("ab" * 100_000 + "7")) == [(0, 200_001)]
+    many = "token=abcdef1 " * 20_000
+    assert len(list(secret_scan.candidates(many))) == 20_000
+    assert time.perf_counter() - began < 5
+
+
+def test_secrets_beside_columns_of_the_same_names(clashing, docs):
+    extra = clashing.selectExpr("*", "1 AS start", "2 AS size", "3 AS digest", "4 AS features", "5 AS probability", "6 AS p", "7 AS vector")
+    rows = lambda df: sorted(map(str, secret_scan.scan_secrets(df).collect()))
+    assert rows(extra) == rows(docs)
+
+
 def test_forest_on_held_out_findings(llm, docs, empty):
     rng = random.Random(9)
     key = lambda n: "".join(rng.choice("abcdef0123456789") for _ in range(n))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
@@ -40,7 +41,8 @@ TREES, DEPTH, SEED = 24, 6, 5
 
 _NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?"
 _ASSIGNED = re.compile(rf"(?i)\b{_NAMES}[\"']?\s*(?:=|:|:=|=>)\s*[\"']?(?P<value>[^\s\"',;]{{6,}})")
-_RUN = re.compile(rf"(?=[A-Za-z_+/=.@:\-]*[0-9])[A-Za-z0-9_+/=.@:\-]{{{MIN_LENGTH},}}")
+_RUN = re.compile(rf"[A-Za-z0-9_+/=.@:\-]{{{MIN_LENGTH},}}")
+_DIGIT = re.compile("[0-9]")
 _NAME = re.compile(rf"(?i)\b{_NAMES}\W*$")
 
 # Words that stand in paths, hosts, samples and placeholders.
@@ -58,10 +60,11 @@ FEATURES = [
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Disjoint candidate spans of a text, in order; an assignment's value goes first."""
     assigned = [m.span("value") for m in _ASSIGNED.finditer(text)]
+    begins = [a for a, _ in assigned]
+    runs = [m.span() for m in _RUN.finditer(text) if _DIGIT.search(m[0])]
     at = 0
-    for start, end in sorted(assigned + [m.span() for m in _RUN.finditer(text)], key=lambda s: (s[0], -s[1])):
-        inside = [a for a in assigned if start < a[0] < end]
-        if start < at or inside:
+    for start, end in sorted(assigned + runs, key=lambda s: (s[0], -s[1])):
+        if start < at or bisect_right(begins, start) < bisect_left(begins, end):
             continue
         while end > start and text[end - 1] in ".:,=":
             end -= 1
