@@ -1,5 +1,7 @@
 """Small literal cases with known results."""
 
+# The inputs and expected outputs below are the literal cases listed in FIXTURES.md.
+
 import math
 
 import numpy as np

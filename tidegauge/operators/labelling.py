@@ -109,10 +109,19 @@ def chrono_split(
     ).drop("_n")
 
 
-def boundary_guard(train: DataFrame, val: DataFrame, key: Sequence[str], ts: str = "timestamp") -> DataFrame:
-    """Validation rows strictly after the last train row of their series."""
+def boundary_guard(train: DataFrame, val: DataFrame, key: Sequence[str], ts: str = "timestamp", gap_seconds: float = 0.0) -> DataFrame:
+    """Validation rows later than the last train row of their series by more than ``gap_seconds``.
+
+    The guard acts where validation begins at or before that row; a series that begins after it
+    keeps all its rows, whatever the gap.
+    """
     last = train.groupBy(*key).agg(F.max(ts).alias("_last"))
-    return val.join(last, list(key), "left").filter(F.col("_last").isNull() | (F.col(ts) > F.col("_last"))).drop("_last")
+    first = val.groupBy(*key).agg(F.min(ts).alias("_first"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    late = micros(ts) > micros("_last") + int(gap_seconds * 1_000_000)
+    apart = F.col("_last").isNull() | (F.col("_first") > F.col("_last"))
+    met = val.join(last, list(key), "left").join(first, list(key), "left")
+    return met.filter(apart | late).select(*val.columns)
 
 
 def assign_blocks(df: DataFrame, blocks: Sequence[tuple[str, str, int, int]], t: str = "t", held_out: Sequence[str] = ()) -> DataFrame:

@@ -196,6 +196,22 @@ def boundary_guard(spark, sf_dir):
     return labelling.boundary_guard(train, val, ["user_id"], "ts").select("event_id")
 
 
+@query(
+    "boundary_guard_gap",
+    """WITH last AS (SELECT user_id, max(ts) AS m FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY user_id),
+    first AS (SELECT user_id, min(ts) AS f FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND (user_id % 3 > 0 OR ts >= TIMESTAMP '2024-01-16') GROUP BY user_id)
+    SELECT e.event_id FROM events e JOIN first USING (user_id) LEFT JOIN last l USING (user_id) WHERE e.ts >= TIMESTAMP '2024-01-10'
+      AND (user_id % 3 > 0 OR e.ts >= TIMESTAMP '2024-01-16') AND (l.m IS NULL OR f > l.m OR epoch_us(e.ts) > epoch_us(l.m) + 172800000000)""",
+)
+def boundary_guard_gap(spark, sf_dir):
+    """Two days of distance for series that overlap, none for those that begin later."""
+    events = views.table(spark, sf_dir, "events")
+    cut = lambda day: F.lit(day).cast("timestamp_ntz")
+    train = events.filter(F.col("ts") < cut("2024-01-16"))
+    val = events.filter((F.col("ts") >= cut("2024-01-10")) & ((F.col("user_id") % 3 > 0) | (F.col("ts") >= cut("2024-01-16"))))
+    return labelling.boundary_guard(train, val, ["user_id"], "ts", gap_seconds=172_800).select("event_id")
+
+
 @query("joined_files", "SELECT event_id, value FROM events UNION ALL SELECT event_id, value FROM events WHERE event_type = 'view'")
 def joined_files(spark, sf_dir):
     events = views.table(spark, sf_dir, "events").select("event_id", "value")
