@@ -45,3 +45,10 @@ def test_no_shapes(spark):
     bounds = spark.createDataFrame([], "sensor string, low double, high double")
     out = injection.first_valid_onset(clean, shapes.withColumn("parameters", injection.no_parameters()), bounds, 0, F.lit(5))
     assert out.count() == 0 and "onset" in out.columns
+
+
+@pytest.mark.parametrize("n,start,every", [(100, 0, 7), (60, 3, 1), (55, 0, 60), (21, 0, 2), (300, 50, 24)])
+def test_a_range_of_onsets_gives_the_listed_grid(spark, n, start, every):
+    onsets = range(start, n, every)
+    grid = lambda o: injection.scenario_grid(spark, "s", n, ["step", "ramp"], ["a", "b", "c"], [20, 50, 11], o, [1.0, 2.0]).drop("parameters").collect()
+    assert grid(onsets) == grid(list(onsets)) and len(grid(onsets)) > 0

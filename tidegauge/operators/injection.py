@@ -236,22 +236,39 @@ def scenario_grid(
     spark: SparkSession, series_id: str, n: int, families: Sequence[str], channels: Sequence[str],
     durations: Sequence[int], onsets: Sequence[int], amplitudes: Sequence[float],
 ) -> DataFrame:
-    """Full sweep in nested order, skipping intervals that leave the series."""
+    """Full sweep in nested order, skipping intervals that leave the series.
+
+    ``onsets`` may be a ``range``, whose members are computed and not written into the plan.
+    """
     top = max(0, n - min(durations) - 1)
-    spans = [(d, min(o, top)) for d, o in itertools.product(durations, onsets) if min(o, top) + d <= n]
-    total = len(families) * len(channels) * len(spans) * len(amplitudes)
-    a, s, c = len(amplitudes), len(spans), len(channels)
+    if isinstance(onsets, range):
+        # Onsets that fit a duration are the first ones of the range, or all if the last allowed one fits.
+        fitting = [len(onsets) if top + d <= n else len(range(onsets.start, min(onsets.stop, n - d + 1), onsets.step)) for d in durations]
+    else:
+        spans = [(d, min(o, top)) for d, o in itertools.product(durations, onsets) if min(o, top) + d <= n]
+        fitting = [len(spans)]
+    a, s, c = len(amplitudes), sum(fitting), len(channels)
     at = F.col("id")
-    rows = spark.range(total)
+    rows = spark.range(len(families) * c * s * a)
     span = F.pmod(F.floor(at / a), F.lit(s))
+    if isinstance(onsets, range):
+        before = list(itertools.accumulate(fitting, initial=0))
+        place = F.lit(0)
+        for i in range(1, len(durations)):
+            place = F.when(span >= before[i], i).otherwise(place)
+        duration = _pick(durations, place, "long")
+        number = span - _pick(before[:-1], place, "long")
+        onset = F.least(onsets.start + number * onsets.step, F.lit(top)).cast("long")
+    else:
+        duration, onset = _pick([d for d, _ in spans], span, "long"), _pick([o for _, o in spans], span, "long")
     family = _pick(families, F.floor(at / (a * s * c)), "string")
     return rows.select(
         F.lit(series_id).alias("series_id"),
         F.format_string("sweep_%06d_%s", at, family).alias("scenario_id"),
         family.alias("family"),
         F.array(_pick(channels, F.pmod(F.floor(at / (a * s)), F.lit(c)), "string")).alias("sensors"),
-        _pick([o for _, o in spans], span, "long").alias("onset"),
-        _pick([d for d, _ in spans], span, "long").alias("duration"),
+        onset.alias("onset"),
+        duration.alias("duration"),
         _pick(amplitudes, F.pmod(at, F.lit(a)), "double").alias("amplitude"),
         no_parameters().alias("parameters"),
     )

@@ -249,7 +249,7 @@ def panel_length(spark, sf_dir) -> int:
 def scenario_grid(spark, sf_dir):
     """A sweep with one onset per day of the panel."""
     n = panel_length(spark, sf_dir)
-    out = injection.scenario_grid(spark, "panel", n, **{**GRID, "onsets": list(range(0, n, 24))})
+    out = injection.scenario_grid(spark, "panel", n, **{**GRID, "onsets": range(0, n, 24)})
     return out.select("scenario_id", "family", F.col("sensors")[0].alias("sensor"), "onset", "duration", "amplitude")
 
 
