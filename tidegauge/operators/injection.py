@@ -27,7 +27,7 @@ from tidegauge.functions.waveforms import (
     waveform,
 )
 from tidegauge.operators.metrics import count_if
-from tidegauge.operators.ordered import chunked, feedback_scan, geometric_scan, prefix_sum, with_lag
+from tidegauge.operators.ordered import chunked, feedback_scan, geometric, geometric_scan, prefix_sum, with_lag
 from tidegauge.operators.quantiles import exact_quantiles
 from tidegauge.session import staged
 
@@ -36,7 +36,7 @@ CELL = ["series_id", "sensor", "t"]
 REGIMES = ["low_dynamics", "medium_dynamics", "high_dynamics"]
 NO_PARAMETERS = "map<string,double>"
 ONSETS = 16_384  # of a series that one task tries for a shape
-MAX_THETAS = 100  # so many reversion rates get a plan branch each; more run row by row in one
+MAX_THETAS = 100  # so many reversion rates get a plan branch each; more share one scan over arrays
 
 
 def no_parameters() -> Column:
@@ -96,13 +96,9 @@ _DELTA = T.StructField("delta", T.DoubleType())
 
 
 def _reverting_step(columns: dict[str, np.ndarray], state: list[float] | None):
-    """``s = rho * s + x`` with the rate as a column."""
-    s = state[0] if state else 0.0
-    out = np.empty(len(columns["_x"]))
-    for i, (rho, x) in enumerate(zip(columns["_rho"].tolist(), columns["_x"].tolist())):
-        s = rho * s + x
-        out[i] = s
-    return {"delta": out}, [s]
+    """``s = rho * s + x`` of one scenario, whose ``rho`` is the same in every row."""
+    out = geometric(columns["_x"], float(columns["_rho"][0]), state[0] if state else 0.0)
+    return {"delta": out}, [float(out[-1])]
 
 
 def _mean_reverting(steps: DataFrame, seed: int) -> DataFrame:

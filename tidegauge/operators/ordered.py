@@ -356,6 +356,18 @@ def geometric_scan(
     return joined.drop("_chunk", "_own", *drop)
 
 
+def geometric(x: np.ndarray, rho: float, start: float) -> np.ndarray:
+    """``s = rho * s + x`` over an array from ``start``, in passes that double their reach."""
+    s = x.astype(float)
+    if len(s):
+        s[0] += rho * start
+    reach, power = 1, rho
+    while reach < len(s) and power:
+        s[reach:] = s[reach:] + power * s[:-reach]
+        reach, power = 2 * reach, power * power
+    return s
+
+
 Step = Callable[
     [dict[str, np.ndarray], "list[float] | None"], "tuple[dict[str, np.ndarray], list[float]]"
 ]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from tidegauge.operators.ordered import Step
+from tidegauge.operators.ordered import Step, geometric
 from tidegauge.operators.scores import ADAPTIVE_FIELDS, RESET_FIELDS, adaptive_step, reset_step
 from tidegauge.session import new_path
 
@@ -184,11 +184,8 @@ def ewma_step(y: str, alpha: float) -> Step:
     def step(columns: dict[str, np.ndarray], state: list[float] | None):
         x = columns[y].astype(float)
         level, before = state if state else (0.0, x[0])
-        levels = np.empty(len(x))
-        for i, v in enumerate(x.tolist()):
-            level = alpha * v + (1.0 - alpha) * level
-            levels[i] = level
-        return {"ewma": np.abs(levels), "residual": np.diff(x, prepend=before)}, [level, float(x[-1])]
+        levels = geometric(alpha * x, 1.0 - alpha, level)
+        return {"ewma": np.abs(levels), "residual": np.diff(x, prepend=before)}, [float(levels[-1]), float(x[-1])]
 
     return step
 
