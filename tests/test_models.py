@@ -152,7 +152,9 @@ def test_warm_windows_equal_cold_ones(spark):
         options = {"window": 24, "tol": 1e-8, "max_iter": 5_000}
         cold = solver.recover_rolling(rows, ["k"], terms, **options).orderBy("t").toPandas()
         warm = solver.recover_rolling(rows, ["k"], terms, **options, warm=True).orderBy("t").toPandas()
-        assert np.abs(cold["delta_hat"] - warm["delta_hat"]).max() < 1e-5
+        # Each is as near to the exact solution as its duality gap proves.
+        apart, proven = np.abs(cold["delta_hat"] - warm["delta_hat"]), np.sqrt(2 * cold["gap"]) + np.sqrt(2 * warm["gap"])
+        assert (apart <= proven + 1e-9).all() and apart.median() < 1e-6
         assert warm["iterations"].sum() < cold["iterations"].sum()
 
 
