@@ -130,7 +130,9 @@ def scenario_deltas(scenarios: DataFrame, seed: int = 42, random: bool = True) -
     """Sparse disturbance: ``(series_id, scenario_id, sensor, t, i, delta)`` on the support only.
 
     Random families are drawn from hashes of (seed, scenario, index). With
-    ``random=False`` no scenario of a random family may be present.
+    ``random=False`` no scenario of a random family may be present. The rows ask to be
+    merged: Spark takes them for as few as the scenarios' series they come from, and would
+    send them whole through the driver.
     """
     steps = _steps(scenarios)
     fixed = steps.filter(~F.col("family").isin(RANDOM_FAMILIES)) if random else steps
@@ -142,7 +144,7 @@ def scenario_deltas(scenarios: DataFrame, seed: int = 42, random: bool = True) -
     return rows.select(
         "series_id", "scenario_id", F.explode("sensors").alias("sensor"),
         (F.col("onset") + F.col("i")).cast("long").alias("t"), "i", F.col("delta").cast("double").alias("delta"),
-    )
+    ).hint("merge")
 
 
 def inject(clean: DataFrame, scenarios: DataFrame, seed: int = 42, random: bool = True) -> DataFrame:
@@ -165,7 +167,7 @@ def inject_whole(clean: DataFrame, scenarios: DataFrame, seed: int = 42, random:
     The result is scenarios x rows by definition; it is only for estimators that
     look at the whole series.
     """
-    ids = scenarios.select("series_id", "scenario_id")
+    ids = scenarios.select("series_id", "scenario_id").hint("merge")
     cells = ids.join(clean.select(*CELL, "value"), "series_id")
     deltas = scenario_deltas(scenarios, seed, random).drop("i").withColumn("support", F.lit(True))
     return cells.join(deltas, ["series_id", "scenario_id", "sensor", "t"], "left").withColumns(

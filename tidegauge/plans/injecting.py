@@ -26,7 +26,10 @@ def lengths(rows):
 
 
 def series_scenarios(rows, families, duration=12):
-    """One scenario per series and family, onset at a third, amplitude 10 + family index."""
+    """One scenario per series and family, onset at a third, amplitude 10 + family index.
+
+    Joins of these rows are merged, see ``injection.scenario_deltas``.
+    """
     family = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(i).alias("k")) for i, f in enumerate(families)]))
     return (
         lengths(rows).withColumn("_f", family).select("series_id", "n", "_f.*")
@@ -40,6 +43,7 @@ def series_scenarios(rows, families, duration=12):
             (10.0 + F.col("k")).alias("amplitude"),
             injection.no_parameters().alias("parameters"),
         )
+        .hint("merge")
     )
 
 
