@@ -43,3 +43,14 @@ def test_exploded_disturbances_do_not_pass_the_driver(spark):
     assert not sent_whole(injection.check_envelope(rows, scen, deltas))
     assert not sent_whole(injection.inject(rows, scen, random=False))
     assert not sent_whole(injection.inject_whole(rows, scen, random=False))
+
+
+def test_exploded_scenarios_meet_clean_cells_without_the_driver(spark):
+    rows, scen = scenario_case(spark)
+    bounds = rows.groupBy("sensor").agg(F.lit(10.0).alias("low"), F.lit(50.0).alias("high"))
+    out = injection.check_envelope(rows, scen, injection.scenario_deltas(scen, random=False), bounds)
+    assert not sent_whole(out)
+    want = sum(not 10 <= 1.5 * i <= 50 for i in range(0, 60, 3)) - sum(1.5 * i > 50 for i in range(12, 30, 3))
+    got = {r["scenario_id"]: r["violation_count"] for r in out.collect()}
+    supported = sum(1.5 * i + 30.0 > 50 or 1.5 * i + 30 < 10 for i in range(12, 30, 3))
+    assert got["0_step"] == want - sum(1.5 * i < 10 for i in range(12, 30, 3)) + supported

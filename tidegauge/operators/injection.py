@@ -352,7 +352,7 @@ def check_envelope(
     cells = hit.select(*columns)
     if bounds is not None:
         already = excess(clean.select(*CELL, "value"), F.col("value"))
-        outside = scenarios.select("series_id", "scenario_id").join(already, "series_id")
+        outside = scenarios.select("series_id", "scenario_id").hint("merge").join(already, "series_id")
         outside = outside.join(deltas, ["series_id", "scenario_id", "sensor", "t"], "left_anti")
         cells = cells.unionByName(outside.select(*columns))
     worst = cells.groupBy("series_id", "scenario_id", "sensor").agg(
