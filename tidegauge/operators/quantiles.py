@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tidegauge.session import staged
 
 SMALL_GROUP = 1_000_000
+SORTED_GROUP = 100_000  # values of a group that one task sorts in an array
 CELLS = 16_384
 PER_OCTAVE = 1_024
 OFFSET = 1_100 * PER_OCTAVE  # keeps every positive double above bucket 0
@@ -21,21 +22,64 @@ def _bucket(v: Column) -> Column:
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
 
 
+def _blended(low: Column, high: Column, share: Column) -> Column:
+    """``low * (1 - share) + high * share``, the first product not rounded on its own.
+
+    That is how the twins' engine computes it (a fused multiply-add). A quantile often falls
+    on the same short decimal as another value of the data, and the last bit then decides a
+    comparison. The product's rounding error is exact by Dekker's splitting.
+    """
+
+    def halves(c: Column) -> tuple[Column, Column]:
+        wide = c * 134_217_729.0
+        top = wide - (wide - c)
+        return top, c - top
+
+    rest, other = 1.0 - share, high * share
+    product = low * rest
+    (a, b), (c, d) = halves(low), halves(rest)
+    lost = ((a * c - product) + a * d + b * c) + b * d
+    total = product + other
+    back = total - product
+    lost = lost + ((product - (total - back)) + (other - back))
+    return total + F.nanvl(lost, F.lit(0.0))  # infinite values have no splitting
+
+
+def _sorted_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], out: str) -> DataFrame:
+    sorted_ = F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_x")
+    lists = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(sorted_).filter(F.size("_x") > 0)
+    rows = lists.select(*by, "_x", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q"))
+    place = F.col("q") * (F.size("_x") - 1)
+    rows = rows.select(*by, "q", "_x", place.alias("_pos"), F.floor(place).cast("int").alias("_at"))
+    low = F.get("_x", F.col("_at"))
+    high = F.get("_x", F.ceil("_pos").cast("int"))
+    found = rows.select(*by, "q", low.alias("_low"), high.alias("_high"), (F.col("_pos") - F.col("_at")).alias("_share"))
+    return found.select(*by, "q", _between(F.col("_low"), F.col("_high"), F.col("_share")).alias(out))
+
+
+def _between(low: Column, high: Column, share: Column) -> Column:
+    return F.when(share == 0, low).otherwise(_blended(low, high, share))
+
+
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], out: str = "value",
     small: int = SMALL_GROUP,
 ) -> DataFrame:
     """Rows ``(*by, q, out)``: the quantile ``q`` of ``value`` per group, nulls ignored.
 
-    Groups of at most ``small`` rows (checked first) use the built-in aggregate,
-    which holds the distinct values of a group. Otherwise a histogram on a fixed
-    log scale finds the bucket of each wanted rank, only rows of those buckets
-    are read again, and their distinct values are split into cells before any
-    ranking: two scans, all counts pre-aggregated, the same result.
+    Groups of at most ``small`` rows (checked first) use the built-in aggregate for medians,
+    which holds the distinct values of a group, and sorted arrays for other levels if they are
+    no longer than ``SORTED_GROUP``. Otherwise a histogram on a fixed log scale finds the
+    bucket of each wanted rank, only rows of those buckets are read again, and their distinct
+    values are split into cells before any ranking: two scans, all counts pre-aggregated, the
+    same result to the last bit.
     """
     by = list(by)
     largest = df.groupBy(*by).agg(F.count(value).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if largest <= small:
+    median = all(q == 0.5 for q in quantiles)  # halves need no rounding
+    if not median and largest <= min(small, SORTED_GROUP):
+        return _sorted_quantiles(df, by, value, quantiles, out)
+    if median and largest <= small:
         levels = F.array(*[F.lit(float(q)) for q in quantiles])
         level = F.lit(float(quantiles[0])) if len(quantiles) == 1 else levels
         picked = (
@@ -122,6 +166,7 @@ def _refined_quantiles(
         .join(ranked, [*group, "_b", "_cell"])
         .filter("_from <= _place AND _place < _to")
         .groupBy(*group, "q")
-        .agg((low + (high - low) * share).alias(out))
+        .agg(low.alias("_low"), high.alias("_high"), share.alias("_share"))
+        .select(*group, "q", _between(F.col("_low"), F.col("_high"), F.col("_share")).alias(out))
     )
     return result if by else result.drop("_all")
