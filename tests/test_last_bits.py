@@ -5,8 +5,9 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidegauge.operators import injection
+from tidegauge.operators import injection, scaling
 from tidegauge.operators.quantiles import _refined_quantiles, exact_quantiles
 
 
@@ -47,3 +48,15 @@ def test_regimes_on_a_cutoff(spark):
     want = twin(data, """SELECT g, quantile_cont(d, 1.0 / 3), quantile_cont(d, 2.0 / 3) FROM (
         SELECT g, abs(v - lag(v) OVER (PARTITION BY g ORDER BY t)) AS d FROM rows) GROUP BY g HAVING count(d) > 0""")
     assert got == {g: (a, b) for g, a, b in want}
+
+
+def test_moments_in_order_equal_the_twin_to_the_last_bit(spark):
+    data, rows = groups(spark)
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, None)], "g long, t long, v double"))
+    got = {r["g"]: (r["mean_v"], r["std_v"]) for r in scaling.fit_in_order(rows, ["g"], "v", 40).collect()}
+    want = {g: (m, s) for g, m, s in twin(data, "SELECT g, avg(v), stddev_pop(v) FROM (FROM rows ORDER BY g, t) GROUP BY g")}
+    assert got.pop(-1) == (None, None)
+    assert got == want
+    far = scaling.fit_in_order(rows, ["g"], "v", 10**6).filter(F.col("g") >= 0)
+    for r in far.collect():
+        assert (r["mean_v"], r["std_v"]) == pytest.approx(want[r["g"]])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidegauge.operators.ordered import chunk_window, chunked, fill, own_rows, with_lag
+from tidegauge.operators.ordered import CHUNK, chunk_window, chunked, fill, own_rows, with_lag
 from tidegauge.operators.quantiles import exact_quantiles
 from tidegauge.session import staged
 
@@ -24,6 +27,38 @@ def fit_scaler(train: DataFrame, key: Sequence[str], cols: Sequence[str]) -> Dat
     )
 
 
+@F.pandas_udf(T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())]))
+def _moments(values: pd.Series) -> pd.DataFrame:
+    means, stds = [], []
+    for xs in values:
+        total = mean = squares = 0.0
+        n = 0
+        for x in xs.tolist():
+            n += 1
+            total += x
+            gap = x - mean
+            mean += gap / n
+            squares += (x - mean) * gap
+        means.append(total / n if n else None)
+        stds.append(math.sqrt(squares / n) if n else None)
+    return pd.DataFrame({"mean": means, "std": stds}, dtype="float64")
+
+
+def fit_in_order(train: DataFrame, key: Sequence[str], col: str, longest: int, t: str = "t") -> DataFrame:
+    """``fit_scaler`` of one column whose last bits do not depend on how rows were split.
+
+    Values are added in the order of ``t``, the squares by Welford's recurrence, as the twins
+    do: where a value equals a threshold up to rounding, that decides. Keys are read whole
+    by a task, so with more than a chunk of rows in one (``longest``) sums by parts serve.
+    """
+    if longest > CHUNK:
+        return fit_scaler(train, key, [col])
+    value = F.when(F.col(col).isNotNull(), F.struct(t, F.col(col).cast("double").alias("_v")))
+    rows = train.groupBy(*key).agg(F.sort_array(F.collect_list(value)).alias("_x"))
+    rows = rows.withColumn("_m", _moments(F.col("_x._v")))
+    return rows.select(*key, F.col("_m.mean").alias(f"mean_{col}"), F.col("_m.std").alias(f"std_{col}"))
+
+
 def guarded_scale(std: Column, floor: float = EPS64, strict: bool = True) -> Column:
     """``std`` if it is above ``floor`` (or not below it when not strict), else 1."""
     usable = std > floor if strict else std >= floor

@@ -25,7 +25,8 @@ z AS (SELECT p.*, f.m, f.s, (p.value - f.m) / (CASE WHEN f.s > 2.220446049250313
 def fitted(spark, sf_dir):
     """Split series with the train-normal mean and deviation of each series and ``z``."""
     rows = views.split_series(spark, sf_dir)
-    params = scaling.fit_scaler(rows.filter("split = 'train' AND label = 0"), KEY, ["value"])
+    train = rows.filter("split = 'train' AND label = 0")
+    params = scaling.fit_in_order(train, KEY, "value", longest_series(rows))
     z = (F.col("value") - F.col("mean_value")) / scaling.guarded_scale(F.col("std_value"))
     return rows.join(params, "series_id").withColumn("z", z)
 
