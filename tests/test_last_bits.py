@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import injection, scaling
+from tidegauge.operators import injection, scaling, scores
 from tidegauge.operators.quantiles import _refined_quantiles, exact_quantiles
 
 
@@ -50,6 +50,21 @@ def test_regimes_on_a_cutoff(spark):
     assert got == {g: (a, b) for g, a, b in want}
 
 
+def test_reset_scan_adds_row_by_row():
+    """Alarms of a statistic that equals its limit."""
+    rng = np.random.default_rng(3)
+    for columns in (1, 3):
+        drift = np.round(rng.exponential(50, (60_000, columns)), 2) - 50.0 - 10.0
+        before, largest, end = scores.reset_scan(drift, np.full(len(drift), 80.0), np.zeros(columns))
+        s, want = [0.0] * columns, []
+        for row in drift.tolist():
+            s = [max(0.0, a + x) for a, x in zip(s, row)]
+            want.append(s)
+            if max(s) > 80.0:
+                s = [0.0] * columns
+        assert before.tolist() == want and largest.tolist() == [max(w) for w in want] and end.tolist() == s
+
+
 def test_moments_in_order_equal_the_twin_to_the_last_bit(spark):
     data, rows = groups(spark)
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, None)], "g long, t long, v double"))

@@ -41,30 +41,33 @@ def cusum(
     return rows.withColumn("alarm", F.col("s") > h)
 
 
-STRETCHES = (32, 4096)  # least and most rows that are summed before the next alarm is looked for
-
-
 def reset_scan(drift: np.ndarray, limit: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``S = max(0, S + x)`` per column, all columns to zero after a row whose largest is over its limit.
 
-    Between two alarms the statistic is the running sum less its running minimum, so a
-    stretch of rows is one array operation; it ends at the first alarm in it. Stretches
-    grow while there is none, and start from the carried state, which keeps their sums small.
+    Rows are added one by one, as the recurrence says: running sums less their minimum round
+    otherwise, and on short decimals a statistic often equals its limit.
     Returns the statistics before the reset, their largest, and the state at the end.
     """
-    before, largest = np.empty_like(drift), np.empty(len(drift))
-    at, size = 0, STRETCHES[0]
-    while at < len(drift):
-        sums = state + np.cumsum(drift[at : at + size], axis=0)
-        values = sums - np.minimum(0.0, np.minimum.accumulate(sums, axis=0))
-        top = values.max(axis=1)
-        over = np.flatnonzero(top > limit[at : at + size])
-        rows = over[0] + 1 if len(over) else len(values)
-        before[at : at + rows], largest[at : at + rows] = values[:rows], top[:rows]
-        state = np.zeros(drift.shape[1]) if len(over) else values[-1]
-        size = max(STRETCHES[0], size // 2) if len(over) else min(STRETCHES[1], size * 2)
-        at += rows
-    return before, largest, state
+    before, largest = [], []
+    if drift.shape[1] == 1:
+        s = float(state[0])
+        for x, h in zip(drift[:, 0].tolist(), limit.tolist()):
+            s += x
+            if s <= 0.0:
+                s = 0.0
+            before.append(s)
+            if s > h:
+                s = 0.0
+        found = np.array(before, dtype=float).reshape(-1, 1)
+        return found, found[:, 0].copy(), np.array([s])
+    now, zero = state.tolist(), [0.0] * drift.shape[1]
+    for row, h in zip(drift.tolist(), limit.tolist()):
+        now = [0.0 if s + x <= 0.0 else s + x for s, x in zip(now, row)]
+        before.append(now)
+        largest.append(max(now))
+        if largest[-1] > h:
+            now = zero
+    return np.array(before, dtype=float).reshape(drift.shape), np.array(largest, dtype=float), np.array(now)
 
 
 def reset_step(y: str, mu0: str, k: str, h: str) -> Step:
