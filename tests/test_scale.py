@@ -54,3 +54,12 @@ def test_exploded_scenarios_meet_clean_cells_without_the_driver(spark):
     got = {r["scenario_id"]: r["violation_count"] for r in out.collect()}
     supported = sum(1.5 * i + 30.0 > 50 or 1.5 * i + 30 < 10 for i in range(12, 30, 3))
     assert got["0_step"] == want - sum(1.5 * i < 10 for i in range(12, 30, 3)) + supported
+
+
+def test_onsets_are_searched_without_a_group_per_shape(spark):
+    rows, scen = scenario_case(spark)
+    bounds = rows.groupBy("sensor").agg(F.lit(0.0).alias("low"), F.lit(90.0).alias("high"))
+    out = injection.first_valid_onset(rows, scen.drop("onset"), bounds, 0, F.lit(15))
+    assert {r["scenario_id"]: r["onset"] for r in out.collect()}["0_step"] == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInPandas" in plan

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ CELL = ["series_id", "sensor", "t"]
 # Regime names, and the id formats below, are part of the result.
 REGIMES = ["low_dynamics", "medium_dynamics", "high_dynamics"]
 NO_PARAMETERS = "map<string,double>"
-ONSETS = 16_384  # of a series that one task tries for a shape
+ONSETS = 1_024  # of a series that one row holds; Arrow sends thousands of rows at once
 MAX_THETAS = 100  # so many reversion rates get a plan branch each; more share one scan over arrays
 
 
@@ -402,27 +402,44 @@ def first_valid_onset(
     cells = chunked(clean.select(*CELL, F.col("value").cast("double").alias("value")), ahead=int(longest) - 1, size=size)
     pieces = cells.groupBy("series_id", "sensor", "_chunk").agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("_x"))
     pieces = pieces.select("series_id", "sensor", "_chunk", F.col("_x.t").alias("_t"), F.col("_x.value").alias("_x"))
-    met = pieces.join(shape, ["series_id", "sensor"])
+    met = pieces.join(shape.hint("merge"), ["series_id", "sensor"])
+    # One row per shape and piece, its sensors in lists: a group of rows each would cost more than its work.
+    low, high = (F.coalesce(c, F.lit(end)) for c, end in (("low", float("-inf")), ("high", float("inf"))))
+    lists = {"_t": F.col("_t"), "_x": F.col("_x"), "_d": F.col("_d"), "_low": low, "_high": high}
+    rows = met.groupBy("series_id", "scenario_id", "_chunk").agg(
+        F.first("_stop").alias("_stop"), F.first("_jump").alias("_jump"), *[F.collect_list(c).alias(name) for name, c in lists.items()]
+    )
+
+    names = ["_chunk", "_stop", "_jump", *lists]
 
-    def slide(part: pd.DataFrame) -> pd.DataFrame:
-        start = int(part["_chunk"].iloc[0]) * size
-        jump, last = int(part["_jump"].iloc[0]), min(int(part["_stop"].iloc[0]), start + size)
-        onsets = np.arange(first + max(0, -(-(start - first) // jump)) * jump, last, jump)
+    def earliest(chunk: int, stop: int, jump: int, sensors: Iterable[tuple]) -> int:
+        start = chunk * size
+        onsets = np.arange(first + max(0, -(-(start - first) // jump)) * jump, min(stop, start + size), jump)
         fine, cells = np.ones(len(onsets), dtype=bool), np.zeros(len(onsets), dtype=np.int64)
-        for times, values, deltas, low, high in zip(part["_t"], part["_x"], part["_d"], part["low"], part["high"]):
-            x = np.full(2 * size + 1, np.nan)
-            x[np.asarray(times, dtype=np.int64) - start] = np.asarray(values, dtype=float)
-            low, high = (-np.inf if pd.isna(low) else low), (np.inf if pd.isna(high) else high)
+        for times, values, deltas, low, high in sensors:
+            times, deltas = np.asarray(times, dtype=np.int64) - start, np.asarray(deltas, dtype=float)
+            last = max(int(onsets[-1]) - start if len(onsets) else 0, int(times[-1]))
+            x = np.full(last + len(deltas) + 1, np.nan)
+            x[times] = np.asarray(values, dtype=float)
             for i, delta in enumerate(deltas):
-                y = x[onsets - start + i] + (np.nan if delta is None else delta)
+                at = x[onsets - start + i]
+                y = at + delta
                 fine &= ~((y < low - 1e-9) | (y > high + 1e-9))
-                cells += ~np.isnan(x[onsets - start + i])
+                cells += ~np.isnan(at)
         found = onsets[fine & (cells > 0)]
-        out = part[["series_id", "scenario_id"]].head(1).assign(onset=int(found[0]) if len(found) else -1)
-        return out[out["onset"] >= 0]
+        return int(found[0]) if len(found) else -1
+
+    def slide(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [
+                earliest(int(chunk), int(stop), int(jump), zip(*sensors))
+                for chunk, stop, jump, *sensors in zip(*(part[c] for c in names))
+            ]
+            out = part[["series_id", "scenario_id"]].assign(onset=np.array(found, dtype=np.int64))
+            yield out[out["onset"] >= 0]
 
     fields = T.StructType([shapes.schema["series_id"], shapes.schema["scenario_id"], T.StructField("onset", T.LongType())])
-    found = met.groupBy("series_id", "scenario_id", "_chunk").applyInPandas(slide, fields)
+    found = rows.mapInPandas(slide, fields)
     best = found.groupBy("series_id", "scenario_id").agg(F.min("onset").alias("onset"))
     return shapes.drop("onset").join(best, ["series_id", "scenario_id"], "left")
 
