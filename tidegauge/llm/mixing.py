@@ -190,22 +190,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     rows, mixed = mix_rows(docs, weights, budget)
     new = ["pass", "words", "shard", "shard_order"]
     own = [c for c in docs.columns if c not in new]
-    keyed = docs.select(*own, text_hash().alias("_key"))
+    # The documents' columns travel in a struct, so that none of their names meets one of ours.
+    keyed = docs.select("doc_id", text_hash().alias("text_key"), F.struct(*own).alias("own"))
     if rows.groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count():
-        keyed = keyed.dropDuplicates(["doc_id", "_key"])
+        keyed = keyed.dropDuplicates(["doc_id", "text_key"])
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, words: pd.Series) -> pd.Series:
         return pd.Series([_first_words(t, w) for t, w in zip(text, words)])
 
-    taken = staged(mixed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("size").alias("_size"), *new), "copies")
+    taken = staged(mixed.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "size", *new), "copies")
 
     def with_texts(copies: DataFrame) -> DataFrame:
         copies = broadcast_if_small(copies, BROADCAST_ROWS)
-        return keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")))
+        return keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
 
-    whole = with_texts(taken.filter("words = _size")).select(*own, *new)
-    short = with_texts(taken.filter("words < _size")).withColumn("text", cut("text", "words")).select(*own, *new)
+    whole = with_texts(taken.filter("words = size")).select("own.*", *new)
+    short = with_texts(taken.filter("words < size"))
+    short = short.withColumn("own", F.col("own").withField("text", cut("own.text", "words"))).select("own.*", *new)
     return whole.union(short).repartition("shard").sortWithinPartitions("shard", "shard_order", "doc_id", "pass")
 
 
