@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegauge.operators.metrics import count_if, scenario_metrics
-from tidegauge.operators.ordered import CHUNK, with_lag
+from tidegauge.operators.ordered import CHUNK, chunked, with_lag
 from tidegauge.operators.quantiles import exact_quantiles
 from tidegauge.operators.scores import cusum_reset
 from tidegauge.operators.solver import delta_bounds, recover_rolling, recover_whole
@@ -25,6 +25,7 @@ from tidegauge.session import staged
 
 SCENARIO = ["series_id", "scenario_id"]
 MAX_CANDIDATES = 1_000  # of a case, up to which all pairs are summed; more are searched best first
+ONSETS = 1_024  # of a series whose intervals take their rows from one list
 SOURCES = 64  # candidates of a case whose distances to all others one round sums
 
 
@@ -62,6 +63,43 @@ def persistence_declared(attacked: DataFrame, clean: DataFrame, lag: int) -> Dat
     )
 
 
+def interval_rows(
+    scenarios: DataFrame, clean: DataFrame, reach: int, longest: int, facts: DataFrame | None = None
+) -> DataFrame:
+    """Rows of every declared interval, with the clean ones before it: adds ``t, x, past, first``.
+
+    ``clean`` holds ``(series_id, t, value)`` without gaps, history at negative ``t``; ``past`` has its
+    ``reach`` rows before the onset, null where there are none, and ``first`` is the row of the
+    onset. A scenario meets one list of rows, of at least its ``longest`` duration, so its
+    cells are not shuffled. ``facts`` has one row per series whose columns go along.
+    """
+    size = max(ONSETS, reach + longest)
+    shifted = clean.select("series_id", (F.col("t") + reach).alias("_s"), "value")
+    rows = chunked(shifted, "_s", ahead=reach + longest - 1, size=size)
+    lists = rows.groupBy("series_id", "_chunk").agg(F.sort_array(F.collect_list(F.struct("_s", "value"))).alias("_c"))
+    lists = lists.select("series_id", "_chunk", F.col("_c.value").alias("_x"), F.col("_c._s")[0].alias("_from"))
+    if facts is not None:
+        lists = lists.join(facts, "series_id")
+    met = scenarios.withColumn("_chunk", F.floor(F.col("onset") / size).cast("long")).join(lists, ["series_id", "_chunk"])
+    at = (F.col("onset") + reach - F.col("_from")).cast("int")  # place of the onset in the list
+    past = F.array(*[F.get("_x", at - k) for k in range(reach, 0, -1)])
+    own = F.when(at < F.size("_x"), F.slice("_x", at + 1, F.col("duration").cast("int")))
+    met = met.withColumns({"past": past, "_x": own, "first": F.get("_x", at)}).drop("_chunk", "_from")
+    cells = met.select("*", F.posexplode("_x").alias("_i", "x")).drop("_x")
+    return cells.withColumn("t", (F.col("onset") + F.col("_i")).cast("long")).drop("_i")
+
+
+def persistence_past(attacked: DataFrame, lag: int, first: Column) -> DataFrame:
+    """``persistence_declared`` for ``interval_rows``, whose ``past`` holds ``lag`` rows or more.
+
+    ``first`` is the observation at the onset, which stands in where no history is known.
+    """
+    back = F.pmod(F.col("t") - F.col("onset"), F.lit(lag)) - lag  # the last place is -1
+    base = F.get("past", (F.size("past") + back).cast("int"))
+    x_hat = F.coalesce(base, F.get("past", F.size("past") - 1), first)
+    return attacked.withColumn("x_hat", x_hat).withColumn("delta_hat", F.col("y") - F.col("x_hat"))
+
+
 def persistence_undeclared(attacked: DataFrame, key: Sequence[str], lag: int, t: str = "t") -> DataFrame:
     """``x_hat`` is the attacked value ``lag`` rows earlier; rows with ``t < 0`` serve as history."""
     rows = with_lag(attacked, key, {"_lag": ("y", lag)}, t).filter(F.col(t) >= 0)
@@ -284,14 +322,15 @@ Estimator = Callable[[DataFrame], DataFrame]
 
 
 def run_suite(
-    attacked: DataFrame, estimators: dict[str, Estimator], peak: bool = False, extra: Sequence[str] = ()
+    attacked: DataFrame, estimators: dict[str, Estimator], peak: bool = False, extra: Sequence[str] = (), written: bool = False
 ) -> DataFrame:
     """Score every estimator on every scenario, one row per pair.
 
     ``attacked`` holds ``(series_id, scenario_id, t, x, y, delta, onset, offset, amplitude,
-    train_std, n)`` and is written once; each estimator adds ``x_hat, delta_hat, unc``.
+    train_std, n)`` and is written once, unless it is ``written`` already; each estimator adds
+    ``x_hat, delta_hat, unc``.
     """
-    attacked = staged(attacked, "attacked")
+    attacked = attacked if written else staged(attacked, "attacked")
     needed = [*SCENARIO, "t", "x", "delta", "onset", "offset", "amplitude", "train_std", "n", "x_hat", "delta_hat", "unc"]
     parts = [
         fn(attacked).select(*needed, *extra, F.lit(name).alias("estimator")) for name, fn in estimators.items()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators import injection, linear, metrics, recovery, scaling, scores, solver
 from tidegauge.operators.ordered import with_lag, with_rank
 from tidegauge.plans.injecting import (
+    DURATIONS,
     STEPS_SQL,
     STRATIFIED_SQL,
     WAVE_SQL,
@@ -42,15 +43,24 @@ def _body(rows):
     return rows.filter("t >= 0").select("series_id", "t", F.col("value").alias("x"), "n"), std
 
 
+LAGS = (1, 5)
+
+
 def attacked(spark, sf_dir, rows=None):
-    """The attacked cells of every stratified step scenario, those of its interval alone."""
+    """The attacked cells of every stratified step scenario, those of its interval alone.
+
+    With the rows before the interval, and facts of the series: ``train_std``, the uncertainty
+    ``unc_<lag>`` of each lag, and the range ``lo, hi`` of all its rows.
+    """
     rows = block(spark, sf_dir) if rows is None else rows
-    body, std = _body(rows)
-    cells = stratified(spark, sf_dir).join(std, "series_id").withColumn(
-        "t", F.explode(F.sequence("onset", F.col("offset") - 1))
+    facts = rows.groupBy("series_id").agg(
+        F.stddev_samp(F.when(F.col("t") < 0, F.col("value"))).alias("train_std"), F.max("n").alias("n"),
+        F.min("value").alias("lo"), F.max("value").alias("hi"),
     )
-    joined = cells.join(body, ["series_id", "t"])
-    return joined.withColumn("delta", F.col("amplitude")).withColumn("y", F.col("x") + F.col("delta"))
+    for lag in LAGS:
+        facts = facts.join(noise(rows, lag).withColumnRenamed("unc", f"unc_{lag}"), "series_id")
+    cells = recovery.interval_rows(stratified(spark, sf_dir), rows, max(LAGS), max(DURATIONS), facts)
+    return cells.withColumn("delta", F.col("amplitude")).withColumn("y", F.col("x") + F.col("delta"))
 
 
 def attacked_whole(spark, sf_dir, rows=None):
@@ -69,20 +79,38 @@ def inside_only(df):
     return df.filter((F.col("t") >= F.col("onset")) & (F.col("t") < F.col("offset")))
 
 
+def noise(rows, lag):
+    """Deviation of the lag differences in the history, ``unc`` per series."""
+    history = rows.filter("t < 0").withColumn("t", F.col("t") + F.col("n"))
+    return recovery.lag_variance(history, KEY, "value", lag).withColumn("unc", F.sqrt("variance")).drop("variance")
+
+
 def persistence(rows, lag):
-    """Declared persistence as an estimator over attacked rows."""
+    """Declared persistence as an estimator over attacked rows in any order and partitioning."""
     clean = rows.select("series_id", "t", "value")
-    noise = recovery.lag_variance(
-        rows.filter("t < 0").withColumn("t", F.col("t") + F.col("n")), KEY, "value", lag
-    ).withColumn("unc", F.sqrt("variance")).drop("variance")
+    unc = noise(rows, lag)
 
     def estimate(df):
         found = recovery.persistence_declared(inside_only(df), clean, lag)
-        return found.join(noise, "series_id")
+        return found.join(unc, "series_id")
+
+    return estimate
+
+
+def repetition(lag):
+    """The same over ``attacked``, whose cells carry what it needs."""
+
+    def estimate(df):
+        found = recovery.persistence_past(df, lag, F.col("first") + F.col("amplitude"))
+        return found.withColumn("unc", F.col(f"unc_{lag}"))
 
     return estimate
 
 
+ESTIMATORS = {"persistence": repetition(1), "seasonal": repetition(5)}
+EXTRA = ["amplitude_std", "duration", "regime"]
+
+
 # History rows run from -half to -1; n is the block length.
 BLOCK_SQL = f"""{STRATIFIED_SQL},
 clean AS (SELECT series_id, t - n // 2 AS t, value, n - n // 2 AS m FROM series),
@@ -104,8 +132,7 @@ def _register_persistence(name: str, lag: int) -> None:
 
     @query(name, sql)
     def run(spark, sf_dir):
-        rows = block(spark, sf_dir)
-        out = persistence(rows, lag)(attacked(spark, sf_dir, rows))
+        out = repetition(lag)(attacked(spark, sf_dir))
         return rounded(out.select(*PAIR, "t", *UNITS), *UNITS)
 
 
@@ -468,11 +495,7 @@ est AS (SELECT 'persistence' AS estimator, * FROM e1 UNION ALL SELECT 'seasonal'
 
 
 def suite(spark, sf_dir):
-    rows = block(spark, sf_dir)
-    estimators = {"persistence": persistence(rows, 1), "seasonal": persistence(rows, 5)}
-    return recovery.run_suite(
-        attacked(spark, sf_dir, rows), estimators, extra=["amplitude_std", "duration", "regime"]
-    )
+    return recovery.run_suite(attacked(spark, sf_dir), ESTIMATORS, extra=EXTRA)
 
 
 @query(
@@ -536,14 +559,11 @@ def benchmark_improvement(spark, sf_dir):
     UNPIVOT a ON COLUMNS(*) INTO NAME gate VALUE passed""",
 )
 def benchmark_acceptance(spark, sf_dir):
-    rows = block(spark, sf_dir)
-    hits = staged(attacked(spark, sf_dir, rows), "attacked")
-    estimators = {"persistence": persistence(rows, 1), "seasonal": persistence(rows, 5)}
-    results = recovery.run_suite(hits, estimators, extra=["amplitude_std", "duration", "regime"])
+    hits = staged(attacked(spark, sf_dir), "attacked")
+    results = recovery.run_suite(hits, ESTIMATORS, extra=EXTRA, written=True)
     summary = staged(metrics.benchmark_summary(staged(results, "suite")), "summary")
-    limits = rows.groupBy("series_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    found = estimators["seasonal"](hits).join(limits, "series_id").withColumn("estimator", F.lit("seasonal"))
-    broken = metrics.bound_violations(found, ["estimator", "series_id"], "x_hat", F.col("lo"), F.col("hi"))
+    found = ESTIMATORS["seasonal"](hits).withColumn("estimator", F.lit("seasonal"))
+    broken = metrics.bound_violations(found, ["estimator"], "x_hat", F.col("lo"), F.col("hi"))
     return metrics.acceptance(summary, ["persistence"], ["seasonal"], broken)
 
 
@@ -553,8 +573,7 @@ def benchmark_acceptance(spark, sf_dir):
     SELECT series_id, count(*) FILTER (WHERE x_hat < 10 - 1e-4 OR x_hat > 60 + 1e-4) AS violations FROM est GROUP BY series_id""",
 )
 def bound_violations(spark, sf_dir):
-    rows = block(spark, sf_dir)
-    found = persistence(rows, 1)(attacked(spark, sf_dir, rows))
+    found = repetition(1)(attacked(spark, sf_dir))
     return metrics.bound_violations(found, KEY, "x_hat", F.lit(10.0), F.lit(60.0))
 
 
