@@ -22,6 +22,8 @@ from tidegauge.session import spread, staged
 DENSE_ROWS = 1_024  # up to this length the system's inverse is kept; longer ones use its band
 KEPT_SYSTEMS = 32  # solved systems that a task keeps, by length
 STACK = 512  # problems solved together, small enough to stay in cache
+CELLS = 2_000_000  # values of problems that a task looks at together, some 50 MB
+CLOSED = 0.75  # share of open problems at which a stack leaves out the finished ones
 LANE = 32  # successive windows that start from each other's solutions
 
 
@@ -85,8 +87,11 @@ class Band:
         self.d, self.l1, self.l2 = np.array(d), l1, l2
 
     def __call__(self, right: np.ndarray) -> np.ndarray:
-        """Forward and backward substitution, for all rows in step."""
-        x = np.ascontiguousarray(right.T)
+        return np.ascontiguousarray(self.columns(right.T, np.empty(right.T.shape)).T)
+
+    def columns(self, right: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Forward and backward substitution into ``x``, for all columns in step."""
+        np.copyto(x, right)
         n, l1, l2 = len(x), self.l1, self.l2
         for i in range(1, n):
             x[i] -= l1[i] * x[i - 1]
@@ -97,16 +102,24 @@ class Band:
             x[i] -= l1[i + 1] * x[i + 1]
             if i + 2 < n:
                 x[i] -= l2[i + 2] * x[i + 2]
-        return np.ascontiguousarray(x.T)
+        return x
+
 
+class _dense:
+    """The system's inverse, for rows or columns."""
+
+    def __init__(self, n: int, weight: float, terms: Sequence[tuple]):
+        system = weight * np.eye(n)
+        for order, _, _, rho in terms:
+            difference = np.diff(np.eye(n), n=order, axis=0)
+            system += rho * difference.T @ difference
+        self.matrix = np.linalg.inv(system)
+
+    def __call__(self, right: np.ndarray) -> np.ndarray:
+        return right @ self.matrix
 
-def _dense(n: int, weight: float, terms: Sequence[tuple]) -> Callable[[np.ndarray], np.ndarray]:
-    system = weight * np.eye(n)
-    for order, _, _, rho in terms:
-        difference = np.diff(np.eye(n), n=order, axis=0)
-        system += rho * difference.T @ difference
-    matrix = np.linalg.inv(system)
-    return lambda right: right @ matrix
+    def columns(self, right: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.matmul(self.matrix.T, right, out=x)
 
 
 class Solved(NamedTuple):
@@ -139,7 +152,7 @@ def solve_stack(
         if len(inverses) >= KEPT_SYSTEMS:
             inverses.clear()
         inverses[n] = Band(n, weight, terms) if n > DENSE_ROWS else _dense(n, weight, terms)
-    inverse = inverses[n]
+    inverse = inverses[n].columns
 
     if start is None:
         z = [np.diff(d, n=order, axis=1) for order, *_ in terms]
@@ -147,42 +160,100 @@ def solve_stack(
     else:
         d, z, u = start.d, list(start.z), list(start.u)
     out, out_z, out_u = d.copy(), [p.copy() for p in z], [p.copy() for p in u]
-    active = np.arange(rows)
+    # A problem is a column from here on: differences are then taken between whole rows. The
+    # arrays are used again in every round, as new ones would cost more than the arithmetic.
+    pull, low, high, d = (np.ascontiguousarray(c.T) for c in (weight * r, low, high, d))
+    z, u = ([p.T.copy() for p in parts] for parts in (z, u))
+    active, open_ = np.arange(rows), np.ones(rows, dtype=bool)
+    room = _Room(n, rows, terms)
     for it in range(1, max_iter + 1):
-        right = weight * r
+        np.copyto(room.right, pull)
         for (order, _, _, rho), zk, uk in zip(terms, z, u):
-            right += rho * difference_transposed(zk - uk, order)
-        new = inverse(right)
-        gap = np.zeros(len(active))
-        moved = np.max(np.abs(new - d), axis=1)
+            pushed = np.subtract(zk, uk, out=room.a[: n - order])
+            room.right += np.multiply(room.transposed(pushed, order), rho, out=room.b)
+        new = inverse(room.right, room.new)
+        moved = room.largest(new, d)
+        d, room.new = new, d
+        images = room.differences(new, terms)
         for k, (order, penalty, boxed, rho) in enumerate(terms):
-            image = np.diff(new, n=order, axis=1)
-            part = soft(image + u[k], penalty / rho) if penalty > 0 else image + u[k]
+            pushed = np.add(images[k], u[k], out=u[k])
+            part = room.b[: n - order]
+            if penalty > 0:
+                np.subtract(pushed, pushed.clip(-penalty / rho, penalty / rho, out=part), out=part)
+            else:
+                np.copyto(part, pushed)
             if boxed:
-                part = np.clip(part, low, high)
+                np.minimum(np.maximum(part, low, out=part), high, out=part)
                 if watch_box:
-                    moved = np.max(np.abs(part - z[k]), axis=1)
-            z[k] = part
-            u[k] = u[k] + image - part
-            gap = np.maximum(gap, np.max(np.abs(image - part), axis=1))
-        d = new
-        done = (gap < tol) & (moved < tol) & (it >= least_iter)
+                    moved = room.largest(part, z[k])
+            np.copyto(z[k], part)
+            pushed -= part
+        still = open_ & (moved < tol)
         if it == max_iter:
-            done[:] = True
-        if done.any():
-            at = active[done]
-            out[at] = d[done]
-            for k in range(len(terms)):
-                out_z[k][at], out_u[k][at] = z[k][done], u[k][done]
-            iterations[at] = it
-            keep = ~done
-            if not keep.any():
-                break
-            active, d, r, low, high = active[keep], d[keep], r[keep], low[keep], high[keep]
-            z, u = [p[keep] for p in z], [p[keep] for p in u]
+            done = open_
+        elif it < least_iter or not still.any():
+            continue
+        else:  # whether the splits agree is asked only where the estimate stands still
+            at = np.flatnonzero(still)
+            for image, part in zip(reversed(images), reversed(z)):
+                at = at[np.abs(image.take(at, axis=1) - part.take(at, axis=1)).max(axis=0) < tol] if len(at) else at
+            done = np.zeros(len(open_), dtype=bool)
+            done[at] = True
+        if not done.any():
+            continue
+        at = active[done]
+        out[at] = d[:, done].T
+        for k in range(len(terms)):
+            out_z[k][at], out_u[k][at] = z[k][:, done].T, u[k][:, done].T
+        iterations[at] = it
+        open_ = open_ & ~done
+        left = np.count_nonzero(open_)
+        if not left:
+            break
+        if left <= CLOSED * len(open_):  # finished problems go on for a while, without effect
+            active = active[open_]
+            pull, low, high, d = (c.compress(open_, axis=1) for c in (pull, low, high, d))
+            z, u = ([p.compress(open_, axis=1) for p in parts] for parts in (z, u))
+            open_ = np.ones(left, dtype=bool)
+            room = _Room(n, left, terms)
     return Solved(out, iterations, out_z, out_u)
 
 
+class _Room:
+    """Arrays that the rounds of a stack write into, a column per problem."""
+
+    def __init__(self, n: int, columns: int, terms: Sequence[tuple]):
+        self.right, self.new, self.a, self.b, self.c = (np.empty((n, columns)) for _ in range(5))
+        self.images = [np.empty((n - order, columns)) if order else None for order, *_ in terms]
+
+    def largest(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Largest distance by column."""
+        away = np.subtract(x, y, out=self.a[: len(x)])
+        return np.abs(away, out=away).max(axis=0)
+
+    def transposed(self, v: np.ndarray, order: int) -> np.ndarray:
+        """Transposed ``order``-th difference of every column; ``v`` lies in ``a``."""
+        for spare in (self.b, self.c)[:order]:
+            wide = spare[: len(v) + 1]
+            np.negative(v[0], out=wide[0])
+            np.subtract(v[:-1], v[1:], out=wide[1:-1])
+            wide[-1] = v[-1]
+            v = wide
+        return v
+
+    def differences(self, x: np.ndarray, terms: Sequence[tuple]) -> list[np.ndarray]:
+        """The difference of every term's order."""
+        found = []
+        for (order, *_), place in zip(terms, self.images):
+            if order == 2:
+                first = np.subtract(x[1:], x[:-1], out=self.a[:-1])
+                np.subtract(first[1:], first[:-1], out=place)
+            elif order == 1:
+                np.subtract(x[1:], x[:-1], out=place)
+            found.append(place if order else x)
+        return found
+
+
 def _conjugate(v: np.ndarray, low: np.ndarray, high: np.ndarray, penalty: float) -> np.ndarray:
     """Greatest ``v z - penalty |z|`` of ``z`` in the box; the ends and the point next to zero decide."""
     best = v * (zero := np.clip(0.0, low, high)) - penalty * np.abs(zero)
@@ -222,6 +293,19 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Successive batches joined up to ``CELLS`` values, so that stacks of one length are full."""
+    held, cells = [], 0
+    for batch in batches:
+        held.append(batch)
+        cells += len(batch.column(batch.schema.get_field_index("r")).flatten())
+        if cells >= CELLS:
+            yield pa.concat_batches(held)
+            held, cells = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _next_window(last: Solved, rows: np.ndarray) -> Solved:
     """State of the windows one row further on, from those that ``rows`` selects."""
     d = np.concatenate([last.d[rows, 1:], last.d[rows, -1:]], axis=1)
@@ -274,7 +358,7 @@ def solve_problems(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inverses: dict[int, Callable] = {}
-        for batch in batches:
+        for batch in _gathered(batches):
             table = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             starts, r = _lists(table["r"])
             low_at, low = _lists(table["low"])
