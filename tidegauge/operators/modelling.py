@@ -70,8 +70,8 @@ def fit_shape(
 ) -> DataFrame:
     """Likelihood search for Student-t or generalised error parameters per group.
 
-    Each round is one aggregate with the 27 neighbours of every group's current
-    point as 27 sums; a group whose centre wins halves its steps. Only one row
+    Equal values of a group are counted once; each round is one aggregate over them with the
+    27 neighbours of every group's current point as 27 sums. A group whose centre wins halves its steps. Only one row
     per group reaches the driver, at most ``MAX_GROUPS`` at a time. ``converged`` tells
     whether a group's steps got below the tolerance within the rounds.
     """
@@ -81,8 +81,9 @@ def fit_shape(
     if not by:
         raise ValueError("give at least one group column")
     spark = df.sparkSession
-    data = staged(df.select(*by, F.col(x).alias("_x")).dropna(), "errors")
-    start = data.groupBy(*by).agg(
+    known = df.select(*by, F.col(x).alias("_x")).dropna()
+    data = staged(known.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n")), "errors")
+    start = known.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("_x").alias("loc"), F.stddev_pop("_x").alias("scale")
     )
     start = staged(start.filter(F.col("n") >= MIN_SAMPLES), "groups")
@@ -113,7 +114,7 @@ def fit_shape(
     for i in range(len(moves)):
         z, shape = f"((_x - q[{3 * i}]) * q[{3 * i + 1}])", f"q[{3 * i + 2}]"
         term = f"log1p({z} * {z} / {shape})" if family == "student_t" else f"pow(abs({z}), {shape})"
-        sums.append(F.expr(f"sum({term}) AS s{i}"))
+        sums.append(F.expr(f"sum(_n * {term}) AS s{i}"))
     for _ in range(rounds):
         open_groups = [k for k, p in state.items() if p[3] > tolerance]
         if not open_groups:
