@@ -27,6 +27,9 @@ result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,7 @@ from tidegauge.session import staged
 
 # The white space between words, as characters to trim.
 _WHITE = " \t\n\x0b\x0c\r"
+_BLACK = "[^\\x20\\x09-\\x0D]"
 
 PARTS = 4
 MIN_WORDS = 5
@@ -48,7 +52,15 @@ DOC = ["doc_id", "text_key"]
 
 def words(line: Column) -> Column:
     """Words of a line that is not blank."""
-    return F.split(F.trim(line, F.lit(_WHITE)), SPACES)
+    return F.split(spoken(line), " ")
+
+
+def spoken(line: Column) -> Column:
+    """The words of a line that is not blank, joined by one space; most lines are so already."""
+    odd = [F.contains(line, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")]
+    edges = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    plain = F.regexp_replace(F.trim(line, F.lit(_WHITE)), SPACES, " ")
+    return F.when(reduce(or_, odd, edges), plain).otherwise(line)
 
 
 def _half_keys() -> list[Column]:
@@ -57,12 +69,12 @@ def _half_keys() -> list[Column]:
     The lines of a near pair agree on the half, measured on the shorter one, that does
     not hold the edit.
     """
-    n, w, keys = F.col("n"), F.col("w"), []
+    n, said, keys = F.col("n"), F.col("said"), []
     for extra in (0, 1):
         short = n - extra
-        front = F.floor(short / 2).cast("int")
-        back = short - front
-        for side, half in enumerate((F.slice(w, F.lit(1), front), F.slice(w, n - back + 1, back))):
+        front = F.shiftright(short, 1)
+        for side, count in enumerate((front, front - short)):
+            half = F.call_function("substring_index", said, F.lit(" "), count)
             keys.append(F.when(short >= MIN_WORDS, F.xxhash64(short, F.lit(side), half)))
     return keys
 
@@ -71,14 +83,16 @@ def line_places(docs: DataFrame) -> DataFrame:
     """Every line that has words: its place, key, number of words and half keys.
 
     The blank test looks at the line and not at its words, and the outer explode adds no
-    test: a filter on a computed column would compute it twice.
+    test: a filter on a computed column would compute it twice. Words are counted and halves
+    cut in the joined text, which costs far less than an array of words for every line.
     """
     keyed = docs.select("doc_id", "text", text_hash().alias("text_key"))
     lines = keyed.select(*DOC, F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
-    spoken = lines.filter(F.trim("line", F.lit(_WHITE)) != "").select(*DOC, "pos", words(F.col("line")).alias("w"))
-    sized = spoken.withColumn("n", F.size("w"))
+    said = lines.filter(F.rlike("line", F.lit(_BLACK))).select(*DOC, "pos", spoken(F.col("line")).alias("said"))
+    gaps = F.octet_length("said") - F.octet_length(F.replace(F.col("said"), F.lit(" "), F.lit("")))
+    sized = said.withColumn("n", gaps + 1)
     return sized.select(
-        *DOC, "pos", "n", F.xxhash64("w").alias("line_key"), *(k.alias(f"half_{i}") for i, k in enumerate(_half_keys()))
+        *DOC, "pos", "n", F.xxhash64("said").alias("line_key"), *(k.alias(f"half_{i}") for i, k in enumerate(_half_keys()))
     )
 
 
@@ -111,15 +125,19 @@ def near_links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     # The words are read again for these lines alone, from their first place.
     wanted = staged(lines.join(going, "line_key").select("line_key", "doc_id", "pos", "place"), "line-candidates")
     found = staged(_with_words(docs, wanted), "line-words")
-    coarse = found.select("line_key", F.posexplode_outer(_coarse_keys()).alias("slot", "key")).filter(F.col("key").isNotNull())
+    slotted = found.select("line_key", "w", F.explode(F.array(*map(F.lit, range(2 * PARTS)))).alias("slot"))
+    coarse = slotted.filter(_short() >= MIN_WORDS).select("line_key", "slot", _coarse_key().alias("key"))
+    coarse = staged(coarse, "line-quarters")
     quarters = staged(_shared(coarse), "line-keys")
     slots = coarse.join(broadcast_if_small(quarters, BROADCAST_ROWS), "key").groupBy("line_key").agg(
         F.collect_list(F.struct("slot", "key")).alias("slots")
     )
-    variants = found.join(slots, "line_key").select("line_key", "place", "w", F.explode_outer("slots").alias("s")).select(
-        "line_key", "place", F.explode_outer(_fine_keys()).alias("key")
-    ).filter(F.col("key").isNotNull())
-    variants = staged(variants, "line-variants")
+    parted = found.join(slots, "line_key").select("line_key", "place", "w", F.explode_outer("slots").alias("s")).select(
+        "line_key", "place", "w", "s.slot", F.col("s.key").alias("coarse")
+    )
+    regions = parted.select("line_key", "place", "coarse", _extra().alias("extra"), _region().alias("region"))
+    counted = regions.select("*", F.explode_outer(_fine_numbers()).alias("number"))
+    variants = staged(counted.select("line_key", "place", _fine_key().alias("key")), "line-variants")
     earliest = variants.groupBy("key").agg(
         F.min("place").alias("first"), F.min_by("line_key", "place").alias("earlier_key"), F.count("*").alias("c")
     ).filter("c > 1")
@@ -136,8 +154,9 @@ def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Candidate lines with their words; the documents are exchanged only if there are many."""
     w = wanted.select(F.col("doc_id").alias("_d"), "pos", "place", "line_key")
     met = docs.select("doc_id", "text").join(broadcast_if_small(w, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_d")))
-    line = F.get(F.split("text", "\n"), F.col("pos"))
-    said = met.select("line_key", "place", words(line).alias("w")).filter(F.xxhash64("w") == F.col("line_key"))
+    # The explode keeps the split from being repeated wherever the line is used.
+    line = F.explode_outer(F.array(F.get(F.split("text", "\n"), F.col("pos")))).alias("line")
+    said = met.select("line_key", "place", line).select("line_key", "place", words(F.col("line")).alias("w")).filter(F.xxhash64(F.array_join("w", " ")) == F.col("line_key"))
     return said.dropDuplicates(["line_key"])
 
 
@@ -146,47 +165,52 @@ def _bounds(short: Column, part: int | Column) -> tuple[Column, Column]:
     return F.floor(short * part / PARTS).cast("int"), F.floor(short * (part + 1) / PARTS).cast("int")
 
 
-def _coarse_keys() -> Column:
-    """Keys of the line without one part, as the shorter (or equal) and as the longer line."""
-    w, keys = F.col("w"), []
-    n = F.size("w")
-    for extra in (0, 1):
-        short = n - extra
-        for part in range(PARTS):
-            start, end = _bounds(short, part)
-            rest = F.concat(F.slice(w, F.lit(1), start), F.slice(w, end + extra + 1, n - end - extra))
-            keys.append(F.when(short >= MIN_WORDS, F.xxhash64(short, F.lit(part), rest)))
-    return F.array(*keys)
+def _extra() -> Column:
+    """A slot is a part, of the line as the shorter (or equal) or (1) as the longer one of a pair."""
+    return F.when(F.col("slot") < PARTS, 0).otherwise(1)
+
 
+def _short() -> Column:
+    return F.size("w") - _extra()
 
-def _fine_keys() -> Column:
-    """Keys without one word of the part that a coarse key left out.
 
-    The coarse key stands for the rest of the line. The shorter line of a pair that
-    differs in length emits the places where a word may be missing.
+def _coarse_key() -> Column:
+    """Key of the line without the part of its slot.
+
+    One expression for all slots: eight of them make a method that Java does not compile.
     """
-    w, slot, key = F.col("w"), F.col("s.slot"), F.col("s.key")
-    extra = F.floor(slot / PARTS).cast("int")
-    part = F.pmod(slot, F.lit(PARTS))
-    short = F.size(w) - extra
+    w, extra, short = F.col("w"), _extra(), _short()
+    part = F.pmod("slot", F.lit(PARTS))
     start, end = _bounds(short, part)
-    region = F.slice(w, start + 1, end - start + extra)
-    size = F.size(region)
+    rest = F.concat(F.slice(w, F.lit(1), start), F.slice(w, end + extra + 1, F.size(w) - end - extra))
+    return F.xxhash64(short, part, rest)
 
-    def without(i: Column) -> Column:
-        return F.concat(F.slice(region, F.lit(1), i), F.slice(region, i + 2, size))
 
-    # Left: the number of words of the part that remain, so that a line with a word left
-    # out meets others of its length, and the shorter line as a whole.
-    dropped = F.when(
-        size > 0,
-        F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.xxhash64(key, size - 1, i, without(i))),
-    ).otherwise(F.array())
-    whole = F.when(
-        extra == 0,
-        F.transform(F.sequence(F.lit(0), size), lambda i: F.xxhash64(key, size, i, region)),
-    ).otherwise(F.array())
-    return F.concat(dropped, whole)
+def _region() -> Column:
+    """The words of the part that a coarse key left out."""
+    extra = _extra()
+    start, end = _bounds(_short(), F.pmod("slot", F.lit(PARTS)))
+    return F.slice("w", start + 1, end - start + extra)
+
+
+def _fine_numbers() -> Column:
+    """Numbers of a part's variants: its words left out one by one, then, in the shorter (or
+    equal) line of a pair, the places where a word may be missing. A part has a word at least.
+    """
+    size = F.size("region")
+    return F.sequence(F.lit(0), F.when(F.col("extra") == 0, 2 * size).otherwise(size - 1))
+
+
+def _fine_key() -> Column:
+    """Key of one variant of a part; the coarse key stands for the rest of the line.
+
+    It holds the number of words of the part that remain, so that a line with a word left
+    out meets others of its length, and the shorter line as a whole.
+    """
+    region, number, size = F.col("region"), F.col("number"), F.size("region")
+    without = F.concat(F.slice(region, F.lit(1), number), F.slice(region, number + 2, size))
+    dropped = F.xxhash64("coarse", size - 1, number, without)
+    return F.when(number < size, dropped).otherwise(F.xxhash64("coarse", size, number - size, region))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -231,10 +255,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._key") == F.col("g.text_key")), "left"
     )
     lines = F.split(F.col("d.text"), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g.gone"))
-    text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(
-        F.array_join(F.transform(F.array_sort(stay), lambda i: lines[i]), "\n")
-    )
+
+    def kept_lines(said: Column) -> Column:
+        stay = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(said) - 1), F.col("g.gone")))
+        return F.array_join(F.transform(stay, lambda i: said[i]), "\n")
+
+    # As the element of an array, the split text gets a name in the function and is not split
+    # again for every line.
+    text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(F.transform(F.array(lines), kept_lines)[0])
     zero = F.lit(0).cast("bigint")
     return met.select(
         *kept, text.alias("text"), F.coalesce("g.n_near", zero).alias("n_near"), F.coalesce("g.n_exact", zero).alias("n_exact")
