@@ -3,8 +3,9 @@
 Rows of a key wait in its state until the watermark has passed them, and are then scored in
 time order, so disorder within the delay changes nothing. A row that is older than the
 watermark when it arrives is late: it is returned with empty results and counted in
-``late_rows``, the number of late rows of the key so far. Rows without a time are left out. A detector's memory is the rows
-of one key between two watermarks; limit them by the source's rate options. ``Closing``
+``late_rows``, the number of late rows of the key so far. Rows without a time are left out. Keys
+share the state of one of ``GROUPS`` groups. A detector's memory is the rows and keys of one
+group between two watermarks; limit the rows by the source's rate options. ``Closing``
 scores what still waits when a stream is known to have ended.
 """
 
@@ -24,25 +25,36 @@ from tidegauge.operators.scores import ADAPTIVE_FIELDS, RESET_FIELDS, adaptive_s
 from tidegauge.session import new_path
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Keys are told apart by a hash and share the state of their group: calls of the state cost
+# milliseconds, which short series would pay one by one. It stays the same for a stream's life.
+GROUPS = 512
+# The keys of a group in the order they came, and of each the detector's state and late rows.
 _STATE = T.StructType(
     [
-        T.StructField("values", T.ArrayType(T.DoubleType())),
-        T.StructField("late", T.LongType()),
+        T.StructField("keys", T.ArrayType(T.ArrayType(T.StringType()))),
+        T.StructField("values", T.ArrayType(T.ArrayType(T.DoubleType()))),
+        T.StructField("late", T.ArrayType(T.LongType())),
         T.StructField("timer", T.LongType()),
     ]
 )
-# A sorted run of waiting rows: their times and one list per column.
+# A run of waiting rows sorted by time: the places of their keys, their times and columns, as the
+# bytes of NumPy arrays.
 _RUN = T.StructType(
     [
-        T.StructField("micros", T.ArrayType(T.LongType())),
-        T.StructField("columns", T.ArrayType(T.ArrayType(T.DoubleType()))),
+        T.StructField("places", T.BinaryType()),
+        T.StructField("micros", T.BinaryType()),
+        T.StructField("columns", T.ArrayType(T.BinaryType())),
     ]
 )
 END = "9999-01-01"  # the time of the row that declares a stream complete
 
 
+def _bytes(places: np.ndarray, times: np.ndarray, held: list[np.ndarray]) -> tuple:
+    return places.tobytes(), times.tobytes(), [h.tobytes() for h in held]
+
+
 class OrderedProcessor(StatefulProcessor):
-    """Runs a step function over the rows of a key in time order, as the watermark passes."""
+    """Runs a step function over the rows of each key in time order, as the watermark passes."""
 
     def __init__(self, step: Step, key: list[str], ts: str, columns: list[str], fields: list[str]) -> None:
         self.step, self.key, self.ts, self.columns, self.fields = step, key, ts, columns, fields
@@ -52,39 +64,47 @@ class OrderedProcessor(StatefulProcessor):
         self.state = handle.getValueState("state", _STATE)
         self.runs = handle.getListState("runs", _RUN)
 
-    def _known(self) -> tuple[list[float] | None, int, int | None]:
+    def _known(self) -> tuple[list[tuple], list[list[float] | None], list[int], int | None]:
         if not self.state.exists():
-            return None, 0, None
-        values, late, timer = self.state.get()
-        return None if values is None else list(values), int(late), timer
-
-    def _keep(self, values, late: int, timer: int | None) -> None:
-        self.state.update((None if values is None else [float(v) for v in values], late, timer))
+            return [], [], [], None
+        keys, values, late, timer = self.state.get()
+        return [tuple(k) for k in keys], list(values), list(late), timer
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         border = timerValues.getCurrentWatermarkInMs() * 1000
-        values, late, timer = self._known()
+        keys, values, late, timer = self._known()
+        known = {k: i for i, k in enumerate(keys)}
         earliest, refused = None, []
         for chunk in rows:
-            micros = chunk[self.ts].astype("datetime64[us]").astype("int64").to_numpy()
+            micros = chunk[self.ts].to_numpy(np.int64)
+            names = zip(*(chunk[k].tolist() for k in self.key))
+            places = np.array([known.setdefault(n, len(known)) for n in names], dtype=np.int64)
             fresh = micros >= border
             if not fresh.all():
-                refused.append(chunk.loc[~fresh, [*self.key, self.ts]])
+                refused.append((places[~fresh], micros[~fresh]))
             if fresh.any():
-                waiting = chunk[fresh]
-                held = [waiting[c].to_numpy(float) for c in self.columns]
-                order = np.lexsort((*held[::-1], micros[fresh]))
-                times = micros[fresh][order]
-                self.runs.appendValue((times.tolist(), [h[order].tolist() for h in held]))
+                order = np.flatnonzero(fresh)[np.argsort(micros[fresh], kind="stable")]
+                times = micros[order]
+                held = [chunk[c].to_numpy(float)[order] for c in self.columns]
+                self.runs.appendValue(_bytes(places[order], times, held))
                 earliest = int(times[0]) if earliest is None else min(earliest, int(times[0]))
-        late += sum(len(part) for part in refused)
-        self._keep(values, late, self._timer(timer, earliest))
-        for part in refused:
-            empty = {f: pd.Series([None] * len(part), dtype=object) for f in self.fields}
-            yield part.reset_index(drop=True).assign(**empty, late_rows=late)
+        keys = list(known)
+        values += [None] * (len(keys) - len(values))
+        late += [0] * (len(keys) - len(late))
+        for places, _ in refused:
+            for place in places.tolist():
+                late[place] += 1
+        self.state.update(([list(k) for k in keys], values, late, self._timer(timer, earliest)))
+        for places, micros in refused:
+            empty = {f: pd.Series([None] * len(places), dtype=object) for f in self.fields}
+            yield self._rows(keys, late, places, micros, empty)
+
+    def _rows(self, keys: list[tuple], late: list[int], places: np.ndarray, micros: np.ndarray, out: dict) -> pd.DataFrame:
+        ids = {c: [keys[p][i] for p in places.tolist()] for i, c in enumerate(self.key)}
+        return pd.DataFrame({**ids, self.ts: micros, **out, "late_rows": np.array(late)[places]})
 
     def _timer(self, timer: int | None, earliest: int | None) -> int | None:
-        """One timer a key, for the millisecond in which its first waiting row is passed."""
+        """One timer a group, for the millisecond in which its first waiting row is passed."""
         if earliest is None or (timer is not None and timer <= earliest // 1000 + 1):
             return timer
         if timer is not None:
@@ -94,29 +114,34 @@ class OrderedProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         border = timerValues.getCurrentWatermarkInMs() * 1000
-        values, late, _ = self._known()
+        keys, values, late, _ = self._known()
         due, waiting = [], []
-        for times, columns in self.runs.get():
-            times = np.array(times, dtype=np.int64)
-            held = [np.array(c, dtype=float) for c in columns]
+        for places, times, columns in self.runs.get():
+            places, times = np.frombuffer(places, dtype=np.int64), np.frombuffer(times, dtype=np.int64)
+            held = [np.frombuffer(c, dtype=float) for c in columns]
             passed = int(np.searchsorted(times, border))
             if passed:
-                due.append((times[:passed], [h[:passed] for h in held]))
+                due.append([x[:passed] for x in (places, times, *held)])
             if passed < len(times):
-                waiting.append((times[passed:], [h[passed:] for h in held]))
+                waiting.append([x[passed:] for x in (places, times, *held)])
         if waiting:
-            self.runs.put([(t.tolist(), [h.tolist() for h in held]) for t, held in waiting])
+            self.runs.put([_bytes(p, t, held) for p, t, *held in waiting])
         else:
             self.runs.clear()
-        first = min((int(t[0]) for t, _ in waiting), default=None)
+        first = min((int(t[0]) for _, t, *_ in waiting), default=None)
         if due:
-            times = np.concatenate([t for t, _ in due])
-            held = [np.concatenate(parts) for parts in zip(*(h for _, h in due))]
-            order = np.lexsort((*held[::-1], times))
-            out, values = self.step({c: h[order] for c, h in zip(self.columns, held)}, values)
-            ids = {k: [v] * len(times) for k, v in zip(self.key, key)}
-            yield pd.DataFrame({**ids, self.ts: times[order].astype("datetime64[us]"), **out, "late_rows": late})
-        self._keep(values, late, self._timer(None, first))
+            places, times, *held = (np.concatenate(parts) for parts in zip(*due))
+            order = np.lexsort((*held[::-1], times, places))
+            places, times, held = places[order], times[order], [h[order] for h in held]
+            starts = np.flatnonzero(np.diff(places, prepend=-1)).tolist()
+            done = []
+            for start, end in zip(starts, [*starts[1:], len(places)]):
+                place = int(places[start])
+                out, state = self.step({c: h[start:end] for c, h in zip(self.columns, held)}, values[place])
+                values[place] = [float(v) for v in state]
+                done.append(out)
+            yield self._rows(keys, late, places, times, {f: np.concatenate([out[f] for out in done]) for f in self.fields})
+        self.state.update(([list(k) for k in keys], values, late, self._timer(None, first)))
 
     def close(self) -> None:
         pass
@@ -125,8 +150,8 @@ class OrderedProcessor(StatefulProcessor):
 def _run(stream: DataFrame, key: Sequence[str], step: Step, ts: str, fields: Sequence[T.StructField], delay: str) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     schema = T.StructType(
-        [stream.schema[k] for k in key]
-        + [stream.schema[ts]]
+        [T.StructField(k, T.StringType()) for k in key]
+        + [T.StructField(ts, T.LongType())]
         + list(fields)
         + [T.StructField("late_rows", T.LongType())]
     )
@@ -135,11 +160,16 @@ def _run(stream: DataFrame, key: Sequence[str], step: Step, ts: str, fields: Seq
     # are dropped by Spark when they are late, and would not be counted. The row of ``Closing``
     # moves the watermark and goes no further either.
     rows = stream.withColumn("_event", F.col(ts)).withWatermark("_event", delay)
-    rows = rows.filter(F.col("_event") < F.lit(END).cast("timestamp")).select(*key, ts, *columns)
+    rows = rows.filter(F.col("_event") < F.lit(END).cast("timestamp"))
+    # Keys travel as text, which pandas leaves as it is where some are null, times as microseconds.
+    names = [F.col(k).cast("string").alias(k) for k in key]
+    group = F.pmod(F.xxhash64(*names), F.lit(GROUPS)).alias("_group")
     processor = OrderedProcessor(step, list(key), ts, columns, [f.name for f in fields])
-    return rows.groupBy(*key).transformWithStateInPandas(
+    out = rows.select(group, *names, F.unix_micros(F.col(ts).cast("timestamp")).alias(ts), *columns).groupBy("_group").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
+    typed = {k: F.col(k).cast(stream.schema[k].dataType) for k in key}
+    return out.withColumns({**typed, ts: F.timestamp_micros(ts).cast(stream.schema[ts].dataType)})
 
 
 class Closing:
