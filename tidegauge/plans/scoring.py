@@ -606,9 +606,7 @@ def series_score_summary(spark, sf_dir):
     rows = scores.ewma_score(rows, part, ["r_value"], out="residual_ewma", longest=n)
     names = ["cusum", "residual_cusum", "ewma", "residual_ewma"]
     long = staged(rows.unpivot([*part, "t", "label"], names, "baseline", "score"), "scores")
-    out = metrics.summarize_scores(long, ["series_id", "baseline"], 0.9, 3).drop(
-        "validation_median", "test_normal_median", "test_normal_q99"
-    )
+    out = metrics.summarize_scores(long, ["series_id", "baseline"], 0.9, 3, distribution=False)
     out = rounded(out, "point_fpr", "point_tpr", "event_recall", "median_detection_delay")
     return rounded(out, "threshold", digits=5)
 
