@@ -63,3 +63,45 @@ def test_onsets_are_searched_without_a_group_per_shape(spark):
     assert {r["scenario_id"]: r["onset"] for r in out.collect()}["0_step"] == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan and "MapInPandas" in plan
+
+
+def joined_whole(rows, scen, seed, random):
+    """Whole series by a join with the sparse disturbances."""
+    cells = scen.select("series_id", "scenario_id").join(rows, "series_id")
+    deltas = injection.scenario_deltas(scen, seed, random).drop("i").withColumn("support", F.lit(True))
+    joined = cells.join(deltas, ["series_id", "scenario_id", "sensor", "t"], "left")
+    return joined.withColumns({"delta": F.coalesce("delta", F.lit(0.0)), "support": F.coalesce("support", F.lit(False))})
+
+
+def test_whole_series_compute_their_disturbance_in_the_cells(spark):
+    """The exploded cells were sorted and joined with the exploded disturbances, though a series had met its scenarios."""
+    rows, scen = scenario_case(spark)
+    other = rows.withColumns({"sensor": F.lit("other"), "value": F.col("value") + 1})
+    rows = rows.unionByName(other)
+    odd = scen.filter("family = 'step'").withColumns({"scenario_id": F.concat("scenario_id", F.lit("_late")), "onset": F.lit(17).cast("long")})
+    both = scen.filter("family = 'ramp'").withColumns(
+        {"scenario_id": F.concat("scenario_id", F.lit("_both")), "sensors": F.array(F.lit("other"), F.lit("value")), "duration": F.lit(1).cast("long")}
+    )
+    none = scen.filter("family = 'ramp'").withColumns({"scenario_id": F.concat("scenario_id", F.lit("_none")), "duration": F.lit(0).cast("long")})
+    fixed = scen.unionByName(odd).unionByName(both).unionByName(none)
+    drawn = scen.withColumns(
+        {"family": F.when(F.col("family") == "step", "brownian").otherwise("ou"), "scenario_id": F.concat("scenario_id", F.lit("_random"))}
+    )
+    columns = ["series_id", "scenario_id", "sensor", "t", "value", "delta", "support"]
+    for scenarios, random in ((fixed, False), (fixed.unionByName(drawn), True)):
+        out = injection.inject_whole(rows, scenarios, 5, random, keep=["amplitude", "family"])
+        assert out.filter("y <> value + delta OR amplitude <> 30 OR family IS NULL").count() == 0
+        want = joined_whole(rows, scenarios, 5, random).select(columns).collect()
+        assert sorted(map(tuple, out.select(columns).collect())) == sorted(map(tuple, want))
+    plan = injection.inject_whole(rows, fixed, random=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_the_largest_disturbance_is_known_from_the_scenario(spark):
+    rows, scen = scenario_case(spark)
+    scen = scen.filter("family = 'ramp'").withColumn("onset", F.explode(F.array(*[F.lit(k).cast("long") for k in (0, 12, 16, 19, 25)])))
+    scen = scen.withColumn("scenario_id", F.concat_ws("_", "scenario_id", "onset"))
+    got = {tuple(r[:2]): r[2] for r in scen.select("series_id", "scenario_id", injection.fixed_peak(F.lit(20))).collect()}
+    cells = injection.inject_whole(rows, scen, random=False).filter("support").groupBy("series_id", "scenario_id").agg(F.max(F.abs("delta")))
+    want = {tuple(r[:2]): r[2] for r in cells.collect()}
+    assert len(got) == 15 and {k: v for k, v in got.items() if v is not None} == want

@@ -32,6 +32,8 @@ from tidegauge.operators.quantiles import exact_quantiles
 from tidegauge.session import staged
 
 CELL = ["series_id", "sensor", "t"]
+SCENARIO_CELL = ["series_id", "scenario_id", "sensor", "t"]
+SHAPE = ["family", "sensors", "onset", "duration", "amplitude", "parameters"]
 # Regime names, and the id formats below, are part of the result.
 REGIMES = ["low_dynamics", "medium_dynamics", "high_dynamics"]
 NO_PARAMETERS = "map<string,double>"
@@ -147,6 +149,14 @@ def scenario_deltas(scenarios: DataFrame, seed: int = 42, random: bool = True) -
     ).hint("merge")
 
 
+def fixed_peak(length: Column) -> Column:
+    """Largest absolute disturbance of a scenario of a fixed family on the rows before ``length``."""
+    family, rows = canonical_family(F.col("family")), F.least(F.col("duration"), length - F.col("onset")).cast("long")
+    steps = F.when(rows > 0, F.sequence(F.lit(0).cast("long"), rows - 1))
+    shape = lambda i: F.abs(waveform(family, i, F.col("duration"), F.col("amplitude"), F.col("parameters")))
+    return F.array_max(F.transform(steps, shape))
+
+
 def inject(clean: DataFrame, scenarios: DataFrame, seed: int = 42, random: bool = True) -> DataFrame:
     """Supported cells of every scenario: clean ``value``, ``delta`` and ``y = value + delta``.
 
@@ -161,22 +171,30 @@ def inject(clean: DataFrame, scenarios: DataFrame, seed: int = 42, random: bool
     )
 
 
-def inject_whole(clean: DataFrame, scenarios: DataFrame, seed: int = 42, random: bool = True) -> DataFrame:
+def inject_whole(
+    clean: DataFrame, scenarios: DataFrame, seed: int = 42, random: bool = True, keep: Sequence[str] = ()
+) -> DataFrame:
     """Every cell of the scenario's series, once per scenario, with ``y, delta, support``.
 
     The result is scenarios x rows by definition; it is only for estimators that
-    look at the whole series.
+    look at the whole series. Shapes are computed in the cells, which meet their scenarios on
+    the series alone and are not shuffled again; only random families are joined. Columns
+    ``keep`` of the scenarios go along.
     """
-    ids = scenarios.select("series_id", "scenario_id").hint("merge")
-    cells = ids.join(clean.select(*CELL, "value"), "series_id")
-    deltas = scenario_deltas(scenarios, seed, random).drop("i").withColumn("support", F.lit(True))
-    return cells.join(deltas, ["series_id", "scenario_id", "sensor", "t"], "left").withColumns(
-        {
-            "delta": F.coalesce("delta", F.lit(0.0)),
-            "support": F.coalesce("support", F.lit(False)),
-            "y": F.col("value") + F.coalesce("delta", F.lit(0.0)),
-        }
-    )
+    ids = scenarios.select("series_id", "scenario_id", F.struct(*SHAPE).alias("_s"), *(F.col(c).alias(f"_k_{c}") for c in keep))
+    cells = clean.select(*CELL, "value").join(ids.hint("merge"), "series_id")
+    family, i = canonical_family(F.col("_s.family")), F.col("t") - F.col("_s.onset").cast("long")
+    on = (i >= 0) & (i < F.col("_s.duration").cast("long")) & F.array_contains("_s.sensors", F.col("sensor"))
+    shape = waveform(family, i, F.col("_s.duration"), F.col("_s.amplitude"), F.col("_s.parameters")).cast("double")
+    cells = cells.withColumns({"support": F.coalesce(on, F.lit(False)), "delta": shape})
+    if random:
+        cells = cells.withColumn("support", F.col("support") & family.isNotNull())
+        drawn = scenarios.filter(canonical_family(F.col("family")).isin(RANDOM_FAMILIES))
+        drawn = scenario_deltas(drawn, seed).select(*SCENARIO_CELL, F.col("delta").alias("_drawn"))
+        cells = cells.join(drawn, SCENARIO_CELL, "left").withColumn("delta", F.coalesce("delta", "_drawn"))
+    delta = F.when(F.col("support"), F.coalesce("delta", F.lit(0.0))).otherwise(0.0)
+    cells = cells.withColumn("delta", delta).withColumn("y", F.col("value") + F.col("delta"))
+    return cells.select(*SCENARIO_CELL, "value", "delta", "support", "y", *(F.col(f"_k_{c}").alias(c) for c in keep))
 
 
 def inject_open(

@@ -266,19 +266,23 @@ def regression_metrics(df: DataFrame, by: Sequence[str], y: str, prediction: str
 
 # ----------------------------------------------------------- scenario metrics
 def scenario_metrics(
-    df: DataFrame, by: Sequence[str], train_std: Column, peak: bool = False, t: str = "t"
+    df: DataFrame, by: Sequence[str], train_std: Column, peak: bool | Column = False, t: str = "t"
 ) -> DataFrame:
     """Score recovered scenarios; one row per (scenario, estimator, t) comes in.
 
     Needs ``delta_hat, delta, x_hat, x, unc, onset, offset, amplitude``. With ``peak``
     the denominator is the largest true disturbance and the true support is
-    where it exceeds a tenth of it, for waveforms that are not constant. With a
+    where it exceeds a tenth of it, for waveforms that are not constant. A column as
+    ``peak`` is that denominator, known beforehand, which saves a join. With a
     column ``n`` (rows of the series) only supported rows need to come in; the
     absent ones count as recovered exactly.
     """
     sparse = "n" in df.columns
     inside = (F.col(t) >= F.col("onset")) & (F.col(t) < F.col("offset"))
-    if peak:
+    varies = isinstance(peak, Column) or peak
+    if isinstance(peak, Column):
+        df = df.withColumn("_peak", peak)
+    elif peak:
         peaks = df.groupBy(*by).agg(
             F.greatest(
                 F.max(F.abs("amplitude")), F.max(F.when(inside, F.abs("delta"))), F.lit(1e-6)
@@ -289,7 +293,7 @@ def scenario_metrics(
         df = df.withColumn("_peak", F.abs("amplitude"))
     tenth = 0.1 * F.col("_peak")
     found = F.abs("delta_hat") > tenth
-    true_on = F.abs("delta") > tenth if peak else inside
+    true_on = F.abs("delta") > tenth if varies else inside
     err = F.col("delta_hat") - F.col("delta")
     xerr = F.col("x_hat") - F.col("x")
     covered = (F.abs(xerr) <= Z90 * F.col("unc")).cast("int")

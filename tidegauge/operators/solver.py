@@ -23,6 +23,7 @@ DENSE_ROWS = 1_024  # up to this length the system's inverse is kept; longer one
 KEPT_SYSTEMS = 32  # solved systems that a task keeps, by length
 STACK = 512  # problems solved together, small enough to stay in cache
 CELLS = 2_000_000  # values of problems that a task looks at together, some 50 MB
+CELL_BYTES = 32  # of a value with its row and box; columns that go along count for more values
 CLOSED = 0.75  # share of open problems at which a stack leaves out the finished ones
 LANE = 32  # successive windows that start from each other's solutions
 
@@ -298,7 +299,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, cells = [], 0
     for batch in batches:
         held.append(batch)
-        cells += len(batch.column(batch.schema.get_field_index("r")).flatten())
+        cells += max(len(batch.column(batch.schema.get_field_index("r")).flatten()), batch.nbytes // CELL_BYTES)
         if cells >= CELLS:
             yield pa.concat_batches(held)
             held, cells = [], 0
@@ -413,25 +414,28 @@ def delta_bounds(y: Column, x_min: Column, x_max: Column, inside: Column | None
     return low, high
 
 
-def whole_problems(rows: DataFrame, key: Sequence[str], t: str = "t") -> DataFrame:
-    """One problem per key from rows ``(t, r, low, high)``.
+def whole_problems(rows: DataFrame, key: Sequence[str], t: str = "t", carry: Sequence[str] = ()) -> DataFrame:
+    """One problem per key from rows ``(t, r, low, high)``, with arrays of the columns ``carry``.
 
     A problem is one block or one event-centred crop, whose arrays one task holds; the
     solution of a whole series couples all its rows. Rolling windows have no such bound.
     """
-    cells = F.sort_array(F.collect_list(F.struct(t, "r", "low", "high")))
-    return spread(rows, *key).groupBy(*key).agg(cells.alias("_c")).select(
-        *key, F.col(f"_c.{t}").alias(t), F.col("_c.r").alias("r"), F.col("_c.low").alias("low"), F.col("_c.high").alias("high")
-    )
+    columns = [t, "r", "low", "high", *carry]
+    cells = F.sort_array(F.collect_list(F.struct(*columns)))
+    return spread(rows, *key).groupBy(*key).agg(cells.alias("_c")).select(*key, *(F.col(f"_c.{c}").alias(c) for c in columns))
 
 
 def recover_whole(
-    rows: DataFrame, key: Sequence[str], terms: Sequence[tuple], weight: float = 1.0, t: str = "t", **options
+    rows: DataFrame, key: Sequence[str], terms: Sequence[tuple], weight: float = 1.0, t: str = "t",
+    carry: Sequence[str] = (), **options,
 ) -> DataFrame:
-    """Offline recovery: ``(*key, t, delta_hat, iterations, loss, gap)``."""
-    solved = solve_problems(whole_problems(rows, key, t), terms, [*key, t], weight, **options)
-    pairs = F.arrays_zip(F.col(t), F.col("solution"))
-    return solved.select(*key, F.inline(pairs).alias(t, "delta_hat"), "iterations", "loss", "gap")
+    """Offline recovery: ``(*key, t, delta_hat, *carry, iterations, loss, gap)``.
+
+    Columns ``carry`` of the rows go through the solver, so that no join need bring them back.
+    """
+    solved = solve_problems(whole_problems(rows, key, t, carry), terms, [*key, t, *carry], weight, **options)
+    pairs = F.arrays_zip(F.col(t), F.col("solution"), *(F.col(c) for c in carry))
+    return solved.select(*key, F.inline(pairs).alias(t, "delta_hat", *carry), "iterations", "loss", "gap")
 
 
 def recover_rolling(

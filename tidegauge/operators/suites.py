@@ -53,12 +53,16 @@ def prediction_estimator(unc: float, declared: bool = True) -> Estimator:
 
 
 def sparse_estimator(
-    terms: Sequence[tuple], x_min: Column, x_max: Column, unc: float, declared: bool = True, scale: Column | None = None, **options
+    terms: Sequence[tuple], x_min: Column, x_max: Column, unc: float, declared: bool = True, scale: Column | None = None,
+    facts: Sequence[str] | None = None, **options,
 ) -> Estimator:
     """Step or multi-order recovery of the residual against ``prediction``.
 
     Off the interval a declared disturbance is zero, so only the rows that a difference
-    over its border reaches take part. ``scale`` divides the series while it is solved.
+    over its border reaches take part. ``scale`` divides the series while it is solved. ``facts``
+    are the columns that all rows of a scenario share; with them named, the other columns go through
+    the solver and rows are not joined with its solutions. That is for declared intervals,
+    whole blocks would make large arrays.
     """
     reach = max(order for order, *_ in terms)
     unit = F.lit(1.0) if scale is None else scale
@@ -67,8 +71,14 @@ def sparse_estimator(
         near = df.filter(inside(reach)) if declared else df
         rows = recovery.solver_rows(near, "prediction", x_min, x_max, inside() if declared else None)
         rows = rows.withColumns({c: F.col(c) / unit for c in ("r", "low", "high")})
-        found = recovery.recover_whole(rows, SCENARIO, terms, **options)
-        out = near.join(found.select(*SCENARIO, "t", "delta_hat", "gap"), [*SCENARIO, "t"])
+        if facts is None:
+            found = recovery.recover_whole(rows, SCENARIO, terms, **options)
+            # Spark takes the cells of solutions for as few as the solutions and would broadcast them
+            out = near.join(found.select(*SCENARIO, "t", "delta_hat", "gap").hint("merge"), [*SCENARIO, "t"])
+        else:
+            carry = [c for c in near.columns if c not in (*SCENARIO, *facts, "t")]
+            found = recovery.recover_whole(rows, [*SCENARIO, *facts], terms, carry=carry, **options)
+            out = found.select(*near.columns, "delta_hat", "gap")
         out = out.withColumn("delta_hat", F.col("delta_hat") * unit)
         out = out.withColumn("x_hat", F.col("y") - F.col("delta_hat")).withColumn("unc", F.lit(unc))
         return out.filter(inside()) if declared else out

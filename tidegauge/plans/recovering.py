@@ -250,9 +250,7 @@ def solver_input(spark, sf_dir, declared=True):
     """One step scenario per series with the train mean as prediction and the train range as box."""
     rows = fitted(spark, sf_dir).withColumn("sensor", F.lit("value"))
     scen = series_scenarios(rows, ["step"], 10)
-    whole = injection.inject_whole(rows, scen, random=False).join(
-        scen.select(*PAIR, "onset", "duration", "amplitude"), PAIR
-    )
+    whole = injection.inject_whole(rows, scen, random=False, keep=["onset", "duration", "amplitude"])
     fit = rows.groupBy("series_id").agg(
         F.max("mean_value").alias("prediction"), F.max("std_value").alias("scale"),
         F.min("value").alias("lo"), F.max("value").alias("hi"),
@@ -593,9 +591,7 @@ def family_recovered(spark, sf_dir):
     std = views.split_series(spark, sf_dir).filter("split = 'train'").groupBy("series_id").agg(
         F.stddev_samp("value").alias("train_std")
     )
-    whole = injection.inject_whole(rows, scen, random=False).join(
-        scen.select(*PAIR, "family", "onset", "duration", "amplitude"), PAIR
-    )
+    whole = injection.inject_whole(rows, scen, random=False, keep=["family", "onset", "duration", "amplitude"])
     whole = whole.join(std, "series_id").withColumnRenamed("value", "x").withColumn(
         "offset", F.col("onset") + F.col("duration")
     )
