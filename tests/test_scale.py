@@ -105,3 +105,12 @@ def test_the_largest_disturbance_is_known_from_the_scenario(spark):
     cells = injection.inject_whole(rows, scen, random=False).filter("support").groupBy("series_id", "scenario_id").agg(F.max(F.abs("delta")))
     want = {tuple(r[:2]): r[2] for r in cells.collect()}
     assert len(got) == 15 and {k: v for k, v in got.items() if v is not None} == want
+
+
+def test_scenarios_are_spread_before_they_become_cells(spark):
+    """Scenarios have few bytes; merged into few tasks, each of these held a share of all cells for its shuffle."""
+    rows, scen = scenario_case(spark)
+    more = scen.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("scenario_id", F.concat_ws("_", "scenario_id", "k"))
+    tasks = injection.scenario_deltas(more, random=False).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(r["count"] for r in tasks) == 3 * 2 * 50 * 6

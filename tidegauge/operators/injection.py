@@ -29,7 +29,7 @@ from tidegauge.functions.waveforms import (
 from tidegauge.operators.metrics import count_if
 from tidegauge.operators.ordered import chunked, feedback_scan, geometric, geometric_scan, prefix_sum, with_lag
 from tidegauge.operators.quantiles import exact_quantiles
-from tidegauge.session import staged
+from tidegauge.session import spread, staged
 
 CELL = ["series_id", "sensor", "t"]
 SCENARIO_CELL = ["series_id", "scenario_id", "sensor", "t"]
@@ -76,6 +76,7 @@ def rejected_scenarios(scenarios: DataFrame, lengths: DataFrame, sensors: Sequen
 
 def _steps(scenarios: DataFrame) -> DataFrame:
     rows = scenarios.withColumn("family", canonical_family(F.col("family"))).filter("duration > 0")
+    rows = spread(rows, "series_id", "scenario_id")  # few bytes would be few tasks, which then hold all cells
     return rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("duration").cast("long") - 1)))
 
 
